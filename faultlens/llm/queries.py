@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import exact_dedup, mixing, sharding
+from faultlens.llm import bpe, exact_dedup, mixing, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, finish=bpe.digests)
+
+
 def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard(_documents(spark, sf_dir), n_shards=16)
     return out.select(
@@ -34,6 +40,7 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_bpe_chunks": op6_bpe_chunks,
         "op7_virtual_slots": op7_virtual_slots,
         "op9_mixing_tree": op9_mixing_tree,
         "op10_extendible_hash": op10_extendible_hash,
