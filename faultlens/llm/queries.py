@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, exact_dedup, mixing, sharding
+from faultlens.llm import bpe, exact_dedup, mixing, pfor, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,13 @@ def op7_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = pfor.write(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return pfor.read_checksums(spark, folder)
+
+
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(_documents(spark, sf_dir))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -42,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_bpe_chunks": op6_bpe_chunks,
         "op7_virtual_slots": op7_virtual_slots,
+        "op8_patched_blocks": op8_patched_blocks,
         "op9_mixing_tree": op9_mixing_tree,
         "op10_extendible_hash": op10_extendible_hash,
     }
