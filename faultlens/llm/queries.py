@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, exact_dedup, mixing, pfor, sharding
+from faultlens.llm import bpe, exact_dedup, fingerprints, mixing, pfor, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(_documents(spark, sf_dir))
+
+
 def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +51,7 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_improbable_features": op1_improbable_features,
         "op6_bpe_chunks": op6_bpe_chunks,
         "op7_virtual_slots": op7_virtual_slots,
         "op8_patched_blocks": op8_patched_blocks,
