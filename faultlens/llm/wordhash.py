@@ -59,8 +59,17 @@ def flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def words(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first): word hashes with their byte spans; first[k] is the index of text k's first word."""
+    (value,), begin, end, first = spans(buffer, starts, _IS_SPACE, (None,))
+    return value, begin, end, first
+
+
+def spans(
+    buffer: np.ndarray, starts: np.ndarray, breaks: np.ndarray, prefixes: tuple[int | None, ...]
+) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, start, end, first) of the runs of bytes not in `breaks` (a flag for each byte value); for each of
+    `prefixes` the hashes of the runs' first so many bytes (None: of the whole run)."""
     low = _LOWER[buffer]
-    space = _IS_SPACE[low]
+    space = breaks[low]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(space) and not space[0]:
         edge = np.concatenate(([0], edge))
@@ -68,10 +77,14 @@ def words(buffer: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     total = np.empty(len(low) + 1, dtype=np.uint64)
     total[0] = 0
     np.cumsum((low.astype(np.uint64) + np.uint64(1)) * powers(_MULT, len(low)), out=total[1:])
-    value = (total[end] - total[begin]) * powers(_INV, len(low) + 1)[begin]
-    value = mix64(value + (end - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-    first = np.searchsorted(begin, starts)
-    return value, begin, end, first
+    scale = powers(_INV, len(low) + 1)[begin]
+    hashes = []
+    for most in prefixes:
+        last = end if most is None else np.minimum(end, begin + most)
+        salt = np.uint64(0 if most is None else mix64(np.array([most], dtype=np.uint64))[0])
+        value = (total[last] - total[begin]) * scale + salt
+        hashes.append(mix64(value + (last - begin).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+    return hashes, begin, end, np.searchsorted(begin, starts)
 
 
 def windows(value: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +131,9 @@ def sequence_keys(value: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def distinct_sets(value: np.ndarray, text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, first): each text's distinct hashes in ascending order; first[k]:first[k+1] are text k's."""
-    order = np.lexsort((value, text))
+    order = np.argsort(value)  # then a stable sort by text, which is quick on small integers
+    small = text.astype(np.uint16) if n_texts <= 1 << 16 else text
+    order = order[np.argsort(small[order], kind="stable")]
     v, t = value[order], text[order]
     keep = np.ones(len(v), dtype=bool)
     keep[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
