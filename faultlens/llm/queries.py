@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, exact_dedup, fingerprints, mixing, pfor, sharding, toxicity
+from faultlens.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_documents(spark, sf_dir))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_documents(spark, sf_dir))
+
+
 def op5_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -57,6 +61,7 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_improbable_features": op1_improbable_features,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_toxicity_cnn": op5_toxicity_cnn,
         "op6_bpe_chunks": op6_bpe_chunks,
         "op7_virtual_slots": op7_virtual_slots,
