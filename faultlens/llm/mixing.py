@@ -177,10 +177,27 @@ def mix(
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, whole, as often as it takes them, with their columns."""
     documents, _ = mix(docs, block_words=None, **options)
-    times = documents.where("taken > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copy").alias("_copy"), (F.col("taken") / F.col("size")).cast("int").alias("_times")
+    drawn, _ = stored(
+        documents.select(
+            F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copy").alias("_copy"),
+            F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("_times"),
+        ),
+        "mix-times",
     )
-    alike = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")).withColumn("_nth", F.row_number().over(alike))
-    on = own["doc_id"].eqNullSafe(times["_id"]) & own["source"].eqNullSafe(times["_source"]) & (own["_size"] == times["_words"]) & (own["_nth"] == times["_copy"])
-    return own.join(times, on).withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs.columns[i] for i in range(len(docs.columns))])
+    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    alike = drawn.where("_copy > 1").select("_id", "_source", "_words").distinct()
+
+    def same(left: DataFrame, right: DataFrame):
+        return left["doc_id"].eqNullSafe(right["_id"]) & left["source"].eqNullSafe(right["_source"]) & (left["_size"] == right["_words"])
+
+    single = drawn.where("_copy = 1 and _times > 0")
+    if alike.isEmpty():
+        chosen = own.join(single, same(own, single))
+    else:  # rows alike in doc_id, source and size are numbered to tell them apart
+        on = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & a["_source"].eqNullSafe(b["_source"]) & (a["_words"] == b["_words"])
+        ones = single.join(alike, on(single, alike), "left_anti")
+        many = drawn.join(alike, on(drawn, alike), "left_semi").where("_times > 0")
+        order = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
+        numbered = own.join(alike, same(own, alike), "left_semi").withColumn("_nth", F.row_number().over(order))
+        chosen = own.join(ones, same(own, ones)).unionByName(numbered.join(many, same(numbered, many) & (numbered["_nth"] == many["_copy"])).drop("_nth"))
+    return chosen.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, toxicity
+from faultlens.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, surrogates, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op1_improbable_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_edited(_documents(spark, sf_dir))
 
 
+def op2_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = _documents(spark, sf_dir)
+    return token_counts.count_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, end_id=50256)
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replaced(_documents(spark, sf_dir)).select("doc_id", "text", "n_entities", "kinds")
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_documents(spark, sf_dir))
 
@@ -61,6 +72,8 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_improbable_features": op1_improbable_features,
+        "op2_separator_scan": op2_separator_scan,
+        "op3_surrogates": op3_surrogates,
         "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_toxicity_cnn": op5_toxicity_cnn,
         "op6_bpe_chunks": op6_bpe_chunks,
