@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from faultlens.bindings import registry
+from faultlens.plans import search
 from faultlens.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
+for _name in ("relational",):
+    import_module(f"faultlens.bindings.{_name}")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "source")
+    return search.flagship(spark, table(spark, sf_dir, "documents"))
 
 
-def queries() -> dict[str, Query]:
-    return {}
+def queries() -> dict[str, registry.Query]:
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLE)
