@@ -90,7 +90,7 @@ def ecc_trend(corrected: Column, uncorrected: Column) -> Column:
 
 def event_log(line: Column) -> Column:
     """struct<id,time,sensor,event,severity> of a '|'-separated system event log line."""
-    p = F.transform(F.split(line, r"\|"), F.trim)
+    p = F.transform(F.split(line, r"\|"), lambda x: F.trim(x))
     at = lambda i: F.try_element_at(p, F.lit(i))
     said = F.lower(F.concat_ws(" ", at(4), at(5)))
     severity = F.when(said.rlike("uncorrect|critical|non-recoverable"), "Critical").when(said.rlike("correct|warning|threshold"), "Warning").otherwise("Info")

@@ -40,7 +40,7 @@ def fixes(body: Column) -> Column:
 
 
 def reported_by(body: Column) -> Column:
-    return F.transform(every(body, r"(?im)^Reported-by:[^\S\n]*(\S[^\n]*)"), F.trim)
+    return F.transform(every(body, r"(?im)^Reported-by:[^\S\n]*(\S[^\n]*)"), lambda x: F.trim(x))
 
 
 def trailer_urls(body: Column, name: str) -> Column:

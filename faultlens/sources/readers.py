@@ -77,7 +77,7 @@ def maintainers(spark: SparkSession, path: str) -> DataFrame:
     """name, status, people (array), files (array), excluded (array): sections of a MAINTAINERS file; sections of one
     name are merged."""
     block = spark.read.text(path, wholetext=True).select(F.explode(F.split("value", r"\n\s*\n")).alias("b")).where(F.col("b").rlike(r"(?m)^[A-Z]:\s"))
-    tag = lambda t: F.transform(F.regexp_extract_all("b", F.lit(rf"(?m)^{t}:[^\S\n]*(\S[^\n]*)$"), F.lit(1)), F.trim)
+    tag = lambda t: F.transform(F.regexp_extract_all("b", F.lit(rf"(?m)^{t}:[^\S\n]*(\S[^\n]*)$"), F.lit(1)), lambda x: F.trim(x))
     one = block.select(F.regexp_extract("b", r"(?m)^([^\n:]*\S[^\n:]*)\n[A-Z]:\s", 1).alias("name"), F.try_element_at(tag("S"), F.lit(1)).alias("status"), tag("M").alias("people"), tag("F").alias("files"), tag("X").alias("excluded"))
     many = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c)
     return one.groupBy("name").agg(F.min("status").alias("status"), many("people"), many("files"), many("excluded"))
