@@ -34,7 +34,7 @@ SEGMENT = 256 * BLOCK
 HEAD = struct.Struct("<IBH")
 TRAILER = struct.Struct("<QQQQ8s")
 MAGIC = b"PFORIDS1"
-CACHED = 200_000
+CACHED = 500_000
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -205,6 +205,22 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
 
 
+class _Kept(dict):
+    """key -> make(key), bounded: forgets all when full."""
+
+    def __init__(self, make, most: int = CACHED) -> None:
+        super().__init__()
+        self.make, self.most = make, most
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.make(key)
+        if len(self) >= self.most:
+            self.clear()
+        if len(key) < 64:
+            self[key] = value
+        return value
+
+
 class WordEncoder:
     """Encodes with the tokenizers library. This kind of vocabulary drops white space and never merges across it, so
     what stands between two white-space characters is encoded once and kept (bounded). Plain pieces (ASCII, Latin-1
@@ -216,34 +232,23 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.units: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.units, self.pieces = _Kept(self._unit, CACHED // 4), _Kept(self._piece)
 
     def _unit(self, unit: str) -> bytes:
-        tokens = self.model.tokenize(unit.encode().decode("latin-1").translate(self.letters))
-        ids = np.array([t.id for t in tokens], dtype="<u4").tobytes()
-        if len(self.units) >= CACHED:
-            self.units.clear()
-        if len(unit) < 64:
-            self.units[unit] = ids
-        return ids
+        tokens = self.model.tokenize(unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters))
+        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
 
     def _piece(self, piece: str) -> bytes:
         if _PLAIN.fullmatch(piece):
-            get = self.units.get
-            ids = b"".join([get(u) or self._unit(u) for u in _UNITS.findall(piece.lower())])
-        else:
-            ids = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self.pieces) >= CACHED:
-            self.pieces.clear()
-        if len(piece) < 64:
-            self.pieces[piece] = ids
-        return ids
+            low = piece.lower()
+            if low.isalpha():  # of plain characters, letters only: one unit
+                return self._unit(low)
+            return b"".join(map(self.units.__getitem__, _UNITS.findall(low)))
+        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        get = self.pieces.get
-        words = _SPACES.split(text) if _ODD_SPACE.search(text) else text.split()
-        return b"".join([(i if (i := get(w)) is not None else self._piece(w)) for w in words if w])
+        words = [w for w in _SPACES.split(text) if w] if _ODD_SPACE.search(text) else text.split()
+        return b"".join(map(self.pieces.__getitem__, words))
 
 
 _encoders: dict[int, WordEncoder] = {}
