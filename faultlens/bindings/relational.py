@@ -140,12 +140,12 @@ def _(s, d):
     return joins.resolve_prefixes(refs, "ref", h, "hash").select("ref_id", "doc_id")
 
 
-@query("j19_judge_merge", """WITH a AS (SELECT doc_id, CAST(quality AS DOUBLE) AS v FROM labels WHERE doc_id % 3 <> 0), b AS (SELECT doc_id, CAST(toxic AS DOUBLE) AS v FROM labels WHERE doc_id % 4 <> 0)
+@query("j19_judge_merge", """WITH a AS (SELECT doc_id, CAST(quality AS DOUBLE) AS v FROM labels WHERE toxic = 0), b AS (SELECT doc_id, CAST(toxic AS DOUBLE) AS v FROM labels WHERE quality = 1)
  SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, a.v AS a, b.v AS b, coalesce((a.v + b.v) / 2, a.v, b.v) AS v FROM a FULL JOIN b ON a.doc_id = b.doc_id""")
 def _(s, d):
     one = t(s, d, "labels")
-    a = one.where("doc_id % 3 <> 0").select("doc_id", F.col("quality").cast("double").alias("v"))
-    b = one.where("doc_id % 4 <> 0").select("doc_id", F.col("toxic").cast("double").alias("v"))
+    a = one.where("toxic = 0").select("doc_id", F.col("quality").cast("double").alias("v"))
+    b = one.where("quality = 1").select("doc_id", F.col("toxic").cast("double").alias("v"))
     return joins.outer_merge(a, b, "doc_id", "v")
 
 
@@ -355,13 +355,13 @@ def _(s, d):
 # --- upserts and increments
 
 
-@query("s37_coalesce_merge", """WITH a AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_nationkey < 12 THEN c_mktsegment END AS seg FROM customer WHERE c_custkey % 3 <> 0),
- b AS (SELECT c_custkey AS k, 'x' || c_name AS name, CASE WHEN c_nationkey > 5 THEN lower(c_mktsegment) END AS seg FROM customer WHERE c_custkey % 2 = 0)
+@query("s37_coalesce_merge", """WITH a AS (SELECT c_custkey AS k, c_name AS name, CASE WHEN c_nationkey < 12 THEN c_mktsegment END AS seg FROM customer WHERE c_mktsegment <> 'BUILDING'),
+ b AS (SELECT c_custkey AS k, 'x' || c_name AS name, CASE WHEN c_nationkey > 5 THEN lower(c_mktsegment) END AS seg FROM customer WHERE c_acctbal > 0)
  SELECT coalesce(a.k, b.k) AS k, coalesce(a.name, b.name) AS name, coalesce(b.seg, a.seg) AS seg FROM a FULL JOIN b ON a.k = b.k""")
 def _(s, d):
     c = t(s, d, "customer")
-    a = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).alias("seg"))
-    b = c.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.concat(F.lit("x"), "c_name").alias("name"), F.when(F.col("c_nationkey") > 5, F.lower("c_mktsegment")).alias("seg"))
+    a = c.where("c_mktsegment <> 'BUILDING'").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).alias("seg"))
+    b = c.where("c_acctbal > 0").select(F.col("c_custkey").alias("k"), F.concat(F.lit("x"), "c_name").alias("name"), F.when(F.col("c_nationkey") > 5, F.lower("c_mktsegment")).alias("seg"))
     return upsert.upsert(a, b, ["k"], coalesce=("seg",))
 
 
