@@ -50,8 +50,11 @@ class SlotMap:
             own.sort()
         total = [sum(w for w, _ in own) for own in slots]
         moves: dict[int, int] = {}
+        stuck: set[int] = set()  # shards that cannot give (one large slot); the others are evened out without them
         for _ in range(8 * len(load)):
-            order = sorted(range(self.n_shards), key=lambda k: (total[k], k))
+            order = sorted((k for k in range(self.n_shards) if k not in stuck), key=lambda k: (total[k], k))
+            if len(order) < 2:
+                break
             low, high = order[0], order[-1]
             gap = total[high] - total[low]
             best, step = gap, None  # the gap that is left
@@ -66,7 +69,8 @@ class SlotMap:
                         if 0 <= j < len(slots[low]) and abs(gap - 2 * (w - slots[low][j][0])) < best:
                             best, step = abs(gap - 2 * (w - slots[low][j][0])), (i, j)
             if step is None:
-                break
+                stuck.add(high)
+                continue
             i, j = step
             out = slots[high].pop(i)
             back = slots[low].pop(j) if j is not None else None
