@@ -68,6 +68,20 @@ def _(s, d):
     return symbols.diff_symbols(DIFFS.df(s), "hash", "diff")
 
 
+PATCHES = Literal("id int, kind string, diff string", [
+    (1, "mail", "diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -1 +1 @@\n ctx\n-old  line\n+new line"), (2, "commit", "diff --git a/x.c b/x.c\n@@ -90 +91 @@\n other\n-old line\n+new\tline"),
+    (3, "commit", "diff --git a/y.c b/y.c\n@@ -1 +1 @@\n-old line\n+new line"), (4, "mail", "no diff"),
+])
+
+
+@query("g07_patch_to_commit", f"""WITH {PATCHES.sql('p')}, l AS (SELECT id, kind, [regexp_replace(x, '\\s+', '', 'g') FOR x IN string_split(diff, chr(10)) IF regexp_matches(x, '^(diff --git |[+-])') AND NOT regexp_matches(x, '^(---|\\+\\+\\+) ')] AS b FROM p),
+ f AS (SELECT id, kind, array_to_string(b, chr(10)) AS fp FROM l WHERE len(b) > 0) SELECT m.id AS patch, c.id AS commit_id, 1.0 AS confidence FROM f m JOIN f c ON m.fp = c.fp WHERE m.kind = 'mail' AND c.kind = 'commit'""")
+def _(s, d):
+    f = PATCHES.df(s).withColumn("fp", symbols.patch_fingerprint(F.col("diff"))).where("fp is not null")
+    mail, commit = f.where("kind = 'mail'").select(F.col("id").alias("patch"), "fp"), f.where("kind = 'commit'").select(F.col("id").alias("commit_id"), "fp")
+    return mail.join(commit, "fp").select("patch", "commit_id", F.lit(1.0).alias("confidence"))
+
+
 @query("x27_fault_domains", None)
 def _(s, d):
     return SUBJECTS.df(s).select("id", F.explode(logs.domain_tags(F.col("subject"), F.col("body"))).alias("g")).select("id", "g.*")

@@ -51,3 +51,12 @@ def diff_symbols(diffs: DataFrame, key: str, text: str, sentinel: str = "__NONE_
     )
     none = diffs.select(key).distinct().join(found.select(key).distinct(), key, "left_anti")
     return found.unionByName(none.select(key, F.lit(sentinel).alias("file"), F.lit(sentinel).alias("symbol"), F.lit("sentinel").alias("kind")))
+
+
+def patch_fingerprint(diff: Column) -> Column:
+    """SHA-256 over a diff's file names and changed lines without white space, so that neither line numbers nor
+    re-indented context matter; NULL without changed lines."""
+    lines = F.filter(F.split(F.coalesce(diff, F.lit("")), "\n"), lambda x: x.rlike(r"^(?:diff --git |[+-](?![+-]{2} ))"))
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, r"\s+", ""))
+    changed = F.exists(lines, lambda x: x.rlike("^[+-]"))
+    return F.when(changed, F.sha2(F.array_join(bare, "\n"), 256))

@@ -19,9 +19,12 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: t != "")
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf, dl."""
-    each = docs.select(F.col(key), terms(F.col(text)).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
+def postings(docs: DataFrame, key: str, text: str, stem: bool = False) -> DataFrame:
+    """key, term, tf, dl. stem: English stems instead of words (an Arrow-batched Python function)."""
+    from faultlens.functions.stem import stemmed
+
+    t = terms(F.col(text))
+    each = docs.select(F.col(key), (stemmed(t) if stem else t).alias("t")).select(key, F.size("t").alias("dl"), F.explode("t").alias("term"))
     return each.groupBy(key, "term", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -137,3 +137,11 @@ def test_hardware(spark):
     f = one(spark, hardware.decoded_frame(F.col("v")), v=" foo_bar+0x12/0x34 (kernel/x.c:99)")
     assert (f["function"], f["offset"], f["file"], f["line"]) == ("foo_bar", "0x12", "kernel/x.c", 99)
     assert one(spark, hardware.device_major(F.col("v"), F.lit("block")), v=253)["dynamic"]
+
+
+def test_stemmer(spark):
+    from faultlens.functions.stem import stem, stemmed
+
+    pairs = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "sing": "sing", "conflated": "conflat", "hopping": "hop", "falling": "fall", "filing": "file", "happy": "happi", "sky": "sky", "relational": "relat", "operator": "oper", "electrical": "electr", "goodness": "good", "adoption": "adopt", "rate": "rate", "cease": "ceas", "roll": "roll", "generalizations": "gener"}
+    assert {w: stem(w) for w in pairs} == pairs
+    assert one(spark, stemmed("t"), t=["locked", "locking", "lück", "x1"]) == ["lock", "lock", "lück", "x1"]
