@@ -10,7 +10,11 @@ they stand, part by part, so mentions still corefer (Mr. A. Smith and Mr. Smith,
 
 Collision check: over all distinct values, two values of a type with the same surrogate, or a surrogate that is
 itself a value found in the texts, are given new ones from the next attempt of the key; checked again until none is
-left. So surrogates are one to one within a type. After every 4 attempts the form grows by a character.
+left. So surrogates are one to one within a type. The space of every type grows with the attempt, so no number of
+distinct values exhausts it: after every 4 attempts names get two more syllables, users, hosts, domains and secrets
+two more characters, phone numbers two more digits, and an address's octets may have other lengths. Forms of fixed
+length grow only when they are nearly used up, after every 16 attempts: cards, social security numbers, IBANs and
+access keys by four characters, addresses by an octet.
 
 Scale: only documents with entities are joined to their surrogates; others pass by. Distinct values combine on the
 map side, so a value found in a third of all rows is one row a task, and the join on values is one that adaptive
@@ -136,13 +140,21 @@ def _shaped(value: Column, stream: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once and not written out wherever body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a value at an attempt; a function of its arguments alone."""
     base = F.concat_ws("\u0001", F.lit(key), kind, attempt.cast("string"), value)
     stream = F.concat(F.sha2(base, 512), F.sha2(F.concat(base, F.lit("+")), 512))
-    number = lambda at, n: F.pmod(F.conv(F.substring(stream, at, 6), 16, 10).cast("int"), F.lit(n))
     hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
-    shaped = _shaped(value, stream, hexadecimal)
+    return _let(stream, lambda s: _let(_shaped(value, s, hexadecimal), lambda shaped: _surrogate(kind, value, attempt, s, shaped)))
+
+
+def _surrogate(kind: Column, value: Column, attempt: Column, stream: Column, shaped: Column) -> Column:
+    number = lambda at, n: F.pmod(F.conv(F.substring(stream, at, 6), 16, 10).cast("int"), F.lit(n))
     octet = lambda i, n: F.pmod(F.conv(F.substring(stream, i * 6 + 1, F.lit(6)), 16, 10).cast("int"), F.lit(n))
     octets = F.array_join(
         F.transform(
@@ -152,35 +164,43 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
         ".",
     )
     first = F.substring(value, 1, 1)
-    card_body = F.concat(first, F.substring(shaped, F.lit(2), F.length(shaped) - 2))
-    check = F.coalesce(*[F.when(luhn(F.concat(card_body, F.lit(str(d)))), F.lit(str(d))) for d in range(10)])
-    phone = F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), F.substring(shaped, F.length(F.regexp_extract(value, r"^(\+\d{1,3})?", 0)) + 1, F.length(shaped)))
-    access = F.concat(F.substring(value, 1, 4), F.substring(shaped, F.lit(5), F.length(shaped)))
-    iban = F.concat(F.substring(value, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped)))
+    grown, late = F.floor(attempt / 4).cast("int"), F.floor(attempt / 16).cast("int")
+    digits = lambda n: F.substring(F.translate(F.substring(stream, F.lit(129), F.lit(128)), "abcdef", "012345"), F.lit(1), n)
+    any_octets = F.array_join(F.transform(F.sequence(F.lit(0), late + 3), lambda i: (octet(i, 254) + 1).cast("string")), ".")
+    card_body = F.concat(first, F.substring(shaped, F.lit(2), F.length(shaped) - 2), digits(late * 4))
+    check = lambda body: F.coalesce(*[F.when(luhn(F.concat(body, F.lit(str(d)))), F.lit(str(d))) for d in range(10)])
+    phone = F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), F.substring(shaped, F.length(F.regexp_extract(value, r"^(\+\d{1,3})?", 0)) + 1, F.length(shaped)), digits(grown * 2))
+    access = F.concat(F.substring(value, 1, 4), F.substring(shaped, F.lit(5), F.length(shaped)), digits(late * 4))
+    iban = F.concat(F.substring(value, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped)), digits(late * 4))
     script = _script(value)
 
-    def chosen(lists: dict[str, list[str]], at: int) -> Column:
+    def chosen(lists: dict[str, list[str]], at: int | Column) -> Column:
         pick = lambda names: F.element_at(F.array(*[F.lit(n) for n in names]), number(at, len(names)) + 1)
         return F.when(script == "cyrillic", pick(lists["cyrillic"])).otherwise(pick(lists["latin"]))
 
-    def given(g: str) -> Column:
-        own = chosen({s: GIVEN[(g, s)] for s in ("latin", "cyrillic")}, 1)
-        return F.when(attempt == 0, own).otherwise(F.concat(own, F.lit("-"), F.initcap(F.concat(chosen(SYLLABLES, 7), chosen(SYLLABLES, 13)))))
+    def more(at: int) -> Column:
+        """Two syllables for every 4 attempts, from position `at` of the stream on."""
+        made = F.array_join(F.transform(F.sequence(F.lit(0), grown * 2 - 1), lambda i: chosen(SYLLABLES, i * 6 + at)), "")
+        return F.when(grown > 0, made).otherwise(F.lit(""))
 
-    more = F.when(attempt > 3, F.concat(chosen(SYLLABLES, 25), chosen(SYLLABLES, 31))).otherwise(F.lit(""))
-    family = F.initcap(F.concat(chosen(SYLLABLES, 1), chosen(SYLLABLES, 7), chosen(SYLLABLES, 13), chosen(SYLLABLES, 19), more))
+    own = lambda g: chosen({s: GIVEN[(g, s)] for s in ("latin", "cyrillic")}, 1)
+    first_name = F.when(kind == "given_m", own("m")).when(kind == "given_f", own("f")).otherwise(own("n"))
+    longer_name = F.concat(first_name, F.lit("-"), F.initcap(F.concat(chosen(SYLLABLES, 7), chosen(SYLLABLES, 13), more(19))))
+    family = F.initcap(F.concat(chosen(SYLLABLES, 1), chosen(SYLLABLES, 7), chosen(SYLLABLES, 13), chosen(SYLLABLES, 19), more(25)))
+    name = F.when(kind == "family", family).when(attempt == 0, first_name).otherwise(longer_name)
     cased = lambda made: F.when((F.upper(value) == value) & (F.length(value) > 1), F.upper(made)).otherwise(made)
-    longer = F.concat(shaped, F.substring(stream, F.lit(1), F.floor(attempt / 4).cast("int") * 2))
+    extra = F.substring(stream, F.lit(1), grown * 2)
+    longer = F.concat(shaped, extra)
+    host = F.concat(F.regexp_replace(shaped, r"\.$", ""), extra, F.lit("."))
     return (
-        F.when(kind == "ip", octets)
-        .when(kind == "card", F.concat(card_body, check))
+        F.when(kind == "ip", F.when(grown == 0, octets).otherwise(any_octets))
+        .when(kind == "card", _let(card_body, lambda body: F.concat(body, check(body))))
         .when(kind == "phone", phone)
         .when(kind == "access", access)
         .when(kind == "iban", iban)
-        .when(kind == "given_m", cased(given("m")))
-        .when(kind == "given_f", cased(given("f")))
-        .when(kind == "given_n", cased(given("n")))
-        .when(kind == "family", cased(family))
+        .when(kind.isin("given_m", "given_f", "given_n", "family"), _let(name, cased))
+        .when(kind == "host", host)
+        .when(kind == "ssn", F.concat(shaped, digits(late * 4)))
         .when(kind.isin("user", "secret", "domain"), longer)
         .otherwise(shaped)
     )
@@ -197,8 +217,9 @@ def dictionary(values: DataFrame, key: str, most_attempts: int = 64) -> DataFram
     real = values.select("kind", F.col("value").alias("surrogate")).distinct()
     settled = None
     open_ = values.select("kind", "value", F.lit(0).alias("attempt"))
+    new = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
     for _ in range(most_attempts):
-        made = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)).withColumn("open", F.lit(True))
+        made = open_.withColumn("surrogate", new).withColumn("open", F.lit(True))
         every = made if settled is None else made.unionByName(settled.withColumn("open", F.lit(False)))
         first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("open", "value"))
         taken = real.withColumn("taken", F.lit(True))
