@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.shared import stored
+from faultlens.llm.shared import partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -90,6 +90,11 @@ def sized(docs: DataFrame) -> DataFrame:
     )
 
 
+def in_order(df: DataFrame, *keys: str) -> DataFrame:
+    """df cut by ranges of the keys and sorted: written files follow each other in the order of the keys."""
+    return df.repartitionByRange(partitions(df.sparkSession), *keys).sortWithinPartitions(*keys)
+
+
 def mix(
     docs: DataFrame,
     n_shards: int = 16,
@@ -103,9 +108,10 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, blocks).
 
-    documents: doc_id, source, size, copy, source_size, target, taken (words), one row per row of docs.
-    blocks: source, doc_id, copy, pass, block (number in the document), words, taken, shard, place (sort key in the
-    shard), one row per block drawn. block_words None makes each document one block, taken whole or not at all.
+    documents: doc_id, source, size, copy, source_size, target, taken (words), shards (those that hold
+    blocks of it), one row per row of docs; summed from the dealt blocks.
+    blocks: source, doc_id, copy, size, pass, block (number in the document), words, taken, shard, place (sort key in the
+    shard), one row per block drawn, stored by shard and place. block_words None makes each document one block, taken whole or not at all.
     """
     spark = docs.sparkSession
     sizes, _ = stored(sized(docs), "mix-sizes")
@@ -121,6 +127,7 @@ def mix(
         quota = min(round(t), int(most * size[s]))
         passes, rest = divmod(quota, size[s]) if size[s] else (0, 0)
         plan.append((s, size[s], float(t), passes, rest, blocks[s]))
+    plan.sort(key=lambda p: (p[0] is None, p[0] or ""))  # the tree draws in this order
     kind = "source string, source_size long, target double, passes int, rest long, source_blocks long"
     listing = spark.createDataFrame(plan, kind).coalesce(1)
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
@@ -160,44 +167,46 @@ def mix(
     names = [p[0] for p in plan]
     shares = split_tree(np.array([counts.get(s, 0) for s in names], dtype=np.int64), n_shards, np.random.default_rng(seed))
     ends = spark.createDataFrame(list(zip(names, np.cumsum(shares, axis=1).tolist(), strict=True)), "source string, ends array<long>").coalesce(1)
-    dealt = (
+    shuffled = (
         drawn.join(F.broadcast(ends), same(drawn, ends))
         .drop(ends["source"])
         .withColumn("shard", F.expr("size(filter(ends, e -> e <= rank))"))
-        .select("source", "doc_id", "copy", "pass", "block", "words", "taken", "shard", F.xxhash64(F.lit(seed + 1), "shard", "order").alias("place"))
+        .select("source", "doc_id", "copy", "size", "pass", "block", "words", "taken", "shard", F.xxhash64(F.lit(seed + 1), "shard", "order").alias("place"))
     )
-    by_doc = drawn.groupBy("source", "doc_id", "size", "copy").agg(F.sum("taken").alias("taken"))
+    dealt, _ = stored(in_order(shuffled, "shard", "place", "source", "doc_id", "copy", "pass", "block"), "mix-dealt")
+    by_doc = dealt.groupBy("source", "doc_id", "size", "copy").agg(F.sum("taken").alias("taken"), F.array_sort(F.collect_set("shard")).alias("shards"))
     on = planned["source"].eqNullSafe(by_doc["source"]) & planned["doc_id"].eqNullSafe(by_doc["doc_id"]) & (planned["size"] == by_doc["size"]) & (planned["copy"] == by_doc["copy"])
     documents = planned.join(by_doc, on, "left").select(
-        planned["doc_id"], planned["source"], planned["size"], planned["copy"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
+        planned["doc_id"], planned["source"], planned["size"], planned["copy"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.coalesce("shards", F.array().cast("array<int>")).alias("shards"),
     )
     return documents, dealt
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the mix takes, whole, as often as it takes them, with their columns."""
-    documents, _ = mix(docs, block_words=None, **options)
-    drawn, _ = stored(
-        documents.select(
-            F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copy").alias("_copy"),
-            F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("_times"),
-        ),
-        "mix-times",
+    """The rows of docs that the mix takes, whole, as often as it takes them, with their columns; shard after shard,
+    and in a shard by place."""
+    documents, dealt = mix(docs, block_words=None, **options)
+    drawn = dealt.where("taken > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copy").alias("_copy"),
+        F.col("shard").alias("_shard"), F.col("place").alias("_place"),
     )
     own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
-    alike = drawn.where("_copy > 1").select("_id", "_source", "_words").distinct()
+    alike, _ = stored(
+        documents.where("copy > 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).distinct(), "mix-alike"
+    )
 
     def same(left: DataFrame, right: DataFrame):
         return left["doc_id"].eqNullSafe(right["_id"]) & left["source"].eqNullSafe(right["_source"]) & (left["_size"] == right["_words"])
 
-    single = drawn.where("_copy = 1 and _times > 0")
+    single = drawn.where("_copy = 1")
     if alike.isEmpty():
         chosen = own.join(single, same(own, single))
     else:  # rows alike in doc_id, source and size are numbered to tell them apart
         on = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & a["_source"].eqNullSafe(b["_source"]) & (a["_words"] == b["_words"])
         ones = single.join(alike, on(single, alike), "left_anti")
-        many = drawn.join(alike, on(drawn, alike), "left_semi").where("_times > 0")
+        many = drawn.join(alike, on(drawn, alike), "left_semi")
         order = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
         numbered = own.join(alike, same(own, alike), "left_semi").withColumn("_nth", F.row_number().over(order))
         chosen = own.join(ones, same(own, ones)).unionByName(numbered.join(many, same(numbered, many) & (numbered["_nth"] == many["_copy"])).drop("_nth"))
-    return chosen.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    return in_order(chosen, "_shard", "_place").select(*docs.columns)

@@ -60,7 +60,7 @@ def op8_patched_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(_documents(spark, sf_dir))
-    return documents.select("doc_id", "size", "source_size", "target", "taken")
+    return documents.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 
 def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,6 +76,18 @@ def test_whole_documents(spark):
     assert found == {k: v for k, v in times.items() if v}
 
 
+def test_shards_reach_the_results(spark):
+    docs = spark.createDataFrame(corpus(100), "doc_id long, text string, source string, size string")
+    documents, blocks = mx.mix(docs, block_words=None)
+    dealt = {}
+    for r in blocks.collect():
+        dealt.setdefault((r["source"], r["doc_id"], r["size"], r["copy"]), set()).add(r["shard"])
+    for r in documents.collect():
+        assert r["shards"] == sorted(dealt.get((r["source"], r["doc_id"], r["size"], r["copy"]), set()))
+    order = [r["doc_id"] for r in sorted(blocks.collect(), key=lambda r: (r["shard"], r["place"]))]
+    assert [r["doc_id"] for r in mx.mixed(docs).collect()] == order
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mx.mix(docs)[0].collect() == [] and mx.mixed(docs).collect() == []
