@@ -3,17 +3,24 @@
 A text is a run of pre-tokens (the matches of a pattern) and each is merged by itself. Short texts are pre-tokenised
 at once. A text of more than chunk_chars code points is cut into chunks that overlap by `overlap` on both sides; the
 chunks are pre-tokenised in parallel, each from its own start. Where a chunk and the one before it share a boundary
-in their common stretch they have resynchronised: the pattern looks ahead only, so that from a common boundary on
-both see the same pre-tokens. The text is cut there, and the pieces are merged in parallel and put together in
-order. A text in which some pair of neighbours shares no boundary (a run without pre-token ends) is encoded as one
-piece instead. Decoding looks up every id's bytes and concatenates them.
+in their common stretch they have resynchronised: a match depends on the text from its start on, so from a common
+boundary on both see the same pre-tokens. The text is cut there, and the pieces are merged in parallel and put
+together in order.
 
-Results: a null text counts as empty and has no ids; repeated rows give one result each; ids are little-endian
-unsigned 32-bit numbers in a binary column; an empty table gives an empty result. Bytes that decoding yields may end
-inside a character only where the ids do.
+A boundary serves as a cut only where the piece before it also reads the same by itself: the pattern looks past a run
+of white space (`\\s+(?!\\S)`), so the character before a cut is never white space; and it lies at least MARGIN code
+points before the end of the chunk that found it, as a match that ends nearer could be longer in the whole text. A
+text in which some pair of neighbours shares no such boundary (one long run) is encoded as one piece instead.
+Decoding looks up every id's bytes and concatenates them.
+
+Results: a null text counts as empty and has no ids; repeated rows give one result each, null doc_ids too; ids are
+little-endian unsigned 32-bit numbers in a binary column; an empty table gives an empty result; columns besides
+doc_id and text are not read, whatever their names. Bytes that decoding yields may end inside a character only where
+the ids do.
 
 The vocabulary (under 1 MB) is read by the driver and sent to executors, where each Python worker keeps a bounded
-cache of merged pieces.
+cache of merged pieces. Texts are taken from Arrow batches in steps of STEP bytes, chunks travel by themselves, and
+only the row of a text's ids is as long as the text.
 """
 
 from __future__ import annotations
@@ -28,12 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CACHED = 250_000
+from faultlens.llm.shared import by_bytes, trimmed
+
+CACHED_BYTES = 16 << 20
+STEP = 2 << 20
+HASHED = 1 << 16  # ids a step of a digest
+MARGIN = 4
 
 # Unicode White_Space, as \s of the pattern means it (fixed values)
 _WS = "\t-\r \x85\xa0  -     　"
 _RUNS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 _IRREGULAR = re.compile(f"[{_WS}][{_WS}]|^[{_WS}]|[{_WS}]$")
+_SPACE = re.compile(f"[{_WS}]")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -42,18 +55,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _Pieces(dict):
-    """piece -> (ids as bytes, ids as decimal text); forgets all when full."""
+    """piece -> ids as bytes; forgets all when its entries come to about CACHED_BYTES."""
 
     def __init__(self, codec: Codec, lead: str) -> None:
         super().__init__()
-        self.codec, self.lead = codec, lead
+        self.codec, self.lead, self.held = codec, lead, 0
 
-    def __missing__(self, piece: str) -> tuple[bytes, str]:
-        ids = self.codec.merged(self.lead + piece)
-        value = (np.asarray(ids, dtype="<u4").tobytes(), " ".join(map(str, ids)))
-        if len(self) >= CACHED:
-            self.clear()
+    def __missing__(self, piece: str) -> bytes:
+        value = np.asarray(self.codec.merged(self.lead + piece), dtype="<u4").tobytes()
         if len(piece) < 64:
+            self.held += 4 * len(piece) + len(value) + 200
+            if self.held > CACHED_BYTES:
+                self.clear()
+                self.held = 0
             self[piece] = value
         return value
 
@@ -75,23 +89,20 @@ class Codec:
         self.length = np.fromiter((len(w) for w in words), dtype=np.int64, count=size)
         self.start = np.cumsum(self.length) - self.length
         self.flat = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.decimal = [str(i) for i in range(size)]
 
     def merged(self, piece: str) -> list[int]:
         return [i for token in self.pattern.findall(piece) for i in self.merge(token)]
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """ids as bytes and as decimal text. Texts are taken apart at white space, where pre-tokens surely end:
-        before every single space, or else at the ends of runs of white space."""
+    def encode(self, text: str) -> bytes:
+        """ids as bytes. Texts are taken apart at white space, where pre-tokens surely end: before every single space,
+        or else at the ends of runs of white space."""
         if not text:
-            return b"", ""
+            return b""
         if _IRREGULAR.search(text) is None:
             first, *rest = text.split(" ")
-            known = self.after_space
-            found = [self.bare[first], *[known[p] for p in rest]]
-        else:
-            known = self.bare
-            found = [known[p] for p in _RUNS.findall(text)]
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            return self.bare[first] + b"".join(map(self.after_space.__getitem__, rest))
+        return b"".join(map(self.bare.__getitem__, _RUNS.findall(text)))
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of all ids, one after the other."""
@@ -102,16 +113,15 @@ class Codec:
         return self.flat[np.repeat(self.start[ids] - (end - n), n) + np.arange(end[-1])].tobytes()
 
     def boundaries(self, text: str, low: int, high: int) -> list[int]:
-        """Pre-token ends in (low, high] when pre-tokenising starts at the start of text."""
+        """Pre-token ends in (low, high] that may serve as cuts, when pre-tokenising starts at the start of text."""
         at, out = 0, []
         for run in _RUNS.findall(text):
             end = at + len(run)
             if end > low:
                 if at >= high:
                     break
-                for token in self.pattern.finditer(run):
-                    if low < at + token.end() <= high:
-                        out.append(at + token.end())
+                if _SPACE.match(run[-1]) is None:
+                    out += [at + token.end() for token in self.pattern.finditer(run) if low < at + token.end() <= high]
             at = end
         return out
 
@@ -126,17 +136,22 @@ def _codec(key: str, source) -> Codec:
     return _codecs[key]
 
 
-def ids_only(ids: bytes, text: str, codec: Codec) -> dict:
+def ids_only(ids: bytes, codec: Codec) -> dict:
     return {"ids": ids}
 
 
-def digests(ids: bytes, text: str, codec: Codec) -> dict:
+def digests(ids: bytes, codec: Codec) -> dict:
     """Digests of the decimal ids joined by spaces and of the bytes decoded from the ids."""
-    decoded = codec.decode(np.frombuffer(ids, dtype="<u4"))
-    return {"ids_sha256": hashlib.sha256(text.encode()).hexdigest(), "decoded_sha256": hashlib.sha256(decoded).hexdigest()}
+    said, decoded = hashlib.sha256(), hashlib.sha256()
+    all_ = np.frombuffer(ids, dtype="<u4")
+    for at in range(0, len(all_), HASHED):
+        some = all_[at : at + HASHED]
+        said.update(((" " if at else "") + " ".join(map(codec.decimal.__getitem__, some.tolist()))).encode())
+        decoded.update(codec.decode(some))
+    return {"ids_sha256": said.hexdigest(), "decoded_sha256": decoded.hexdigest()}
 
 
-Finish = Callable[[bytes, str, Codec], dict]
+Finish = Callable[[bytes, Codec], dict]
 _FIELDS = {ids_only: "ids binary", digests: "ids_sha256 string, decoded_sha256 string"}
 
 
@@ -144,54 +159,78 @@ def encode(
     docs: DataFrame, vocabulary: str, pattern: str, chunk_chars: int = 16_384, overlap: int = 512, finish: Finish = ids_only
 ) -> DataFrame:
     """doc_id, n_tokens and what `finish` makes of a text's ids (ids_only: ids; digests: two hashes)."""
+    if chunk_chars <= 2 * overlap:
+        raise ValueError("chunks have to be longer than two overlaps")
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast((read_ranks(vocabulary), pattern))
     key = f"{vocabulary} {pattern}"
     fields = _FIELDS[finish]
 
+    def finished(doc_ids: pa.Array, made: list[bytes], codec: Codec) -> pa.RecordBatch:
+        rows = pa.RecordBatch.from_pylist([{"n_tokens": len(ids) // 4} | finish(ids, codec) for ids in made])
+        return pa.RecordBatch.from_arrays([doc_ids, *rows.columns], ["doc_id", *rows.schema.names])
+
+    @trimmed
     def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, source)
-        for batch in batches:
-            for part in range(0, batch.num_rows, 2000):
-                some = batch.slice(part, 2000)
-                rows: list[dict] = []
-                for text in some.column("text").to_pylist():
-                    ids, decimal = codec.encode(text)
-                    rows.append({"n_tokens": len(ids) // 4} | finish(ids, decimal, codec))
-                made = pa.RecordBatch.from_pylist(rows) if rows else None
-                if made is not None:
-                    yield pa.RecordBatch.from_arrays([some.column("doc_id"), *made.columns], ["doc_id", *made.schema.names])
-
+        for some in by_bytes(batches, "text", STEP):
+            yield finished(some.column("doc_id"), [codec.encode(t) for t in some.column("text").to_pylist()], codec)
+
+    @trimmed
+    def chunks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in by_bytes(batches, "text", STEP):
+            for row, text in enumerate(some.column("text").to_pylist()):
+                text_key = hashlib.sha256(text.encode()).hexdigest()
+                n = -(-len(text) // chunk_chars)
+                for at in range(0, n, 64):
+                    own = range(at, min(n, at + 64))
+                    start = [max(0, c * chunk_chars - overlap) for c in own]
+                    part = [text[a : (c + 1) * chunk_chars + overlap] for a, c in zip(start, own, strict=True)]
+                    columns = [some.column("doc_id").take(pa.array([row] * len(own))), pa.array([text_key] * len(own)), pa.array(own, pa.int32()), pa.array(start, pa.int64()), pa.array(part)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "chunk", "start", "text"])
+
+    @trimmed
     def bounds(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Boundaries near both ends of each chunk. Chunks of rows that are alike stand side by side and become one."""
         codec = _codec(key, source)
-        for batch in batches:
-            head, tail = [], []
-            for text, chunk, start in zip(batch.column("text").to_pylist(), batch.column("chunk").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                nominal = chunk * chunk_chars - start  # where this chunk begins without its overlap
-                near = lambda at: [start + b for b in codec.boundaries(text, max(0, at - overlap), at + overlap)]  # noqa: E731, B023
-                head.append(near(nominal) if chunk else [])
-                tail.append(near(nominal + chunk_chars))
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(head, kind), pa.array(tail, kind)], [*batch.schema.names, "head", "tail"])
-
+        waiting, copies, last = None, 0, None
+        kind = pa.list_(pa.int64())
+
+        def found() -> pa.RecordBatch:
+            text, chunk, start = (waiting.column(c)[0].as_py() for c in ("text", "chunk", "start"))
+            nominal = chunk * chunk_chars - start  # where this chunk begins without its overlap
+
+            def near(at: int) -> list[int]:
+                return [start + b for b in codec.boundaries(text, max(0, at - overlap), min(at + overlap, len(text) - MARGIN))]
+
+            columns = [*waiting.columns, pa.array([copies], pa.int32()), pa.array([near(nominal) if chunk else []], kind), pa.array([near(nominal + chunk_chars)], kind)]
+            return pa.RecordBatch.from_arrays(columns, [*waiting.schema.names, "copies", "head", "tail"])
+
+        for some in by_bytes(batches, "text", STEP):
+            for row, this in enumerate(zip(*(some.column(c).to_pylist() for c in ("doc_id", "text_key", "chunk")), strict=True)):
+                if this == last:
+                    copies += 1
+                    continue
+                if waiting is not None:
+                    yield found()
+                waiting, copies, last = some.slice(row, 1), 1, this
+        if waiting is not None:
+            yield found()
+
+    @trimmed
     def pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, source)
-        for batch in batches:
-            ids = [codec.encode(t)[0] for t in batch.column("text").to_pylist()]
-            at = batch.schema.get_field_index("text")
-            yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
+        for some in by_bytes(batches, "text", STEP):
+            ids = [codec.encode(t) for t in some.column("text").to_pylist()]
+            yield some.set_column(some.schema.get_field_index("text"), "ids", pa.array(ids, pa.binary()))
 
+    @trimmed
     def joined(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(key, source)
         for batch in batches:
-            rows = []
-            for parts in batch.column("parts").to_pylist():
-                ids = b"".join(parts)
-                decimal = " ".join(map(str, np.frombuffer(ids, dtype="<u4").tolist())) if finish is digests else ""
-                rows.append({"n_tokens": len(ids) // 4} | finish(ids, decimal, codec))
-            if rows:
-                made = pa.RecordBatch.from_pylist(rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made.columns], ["doc_id", *made.schema.names])
+            for row in range(batch.num_rows):
+                ids = b"".join(batch.column("parts")[row].as_py())
+                yield finished(batch.column("doc_id").slice(row, 1), [ids], codec)
 
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     id_type = base.schema["doc_id"].dataType.simpleString()
@@ -199,20 +238,17 @@ def encode(
     short = base.where(F.length("text") <= chunk_chars).mapInArrow(whole, result)
 
     name = ["doc_id", "text_key"]
-    long_ = base.where(F.length("text") > chunk_chars).groupBy("doc_id", "text").agg(F.count(F.lit(1)).cast("int").alias("copies")).withColumn("text_key", F.sha2("text", 256))
-    chunks = (
-        long_.withColumn("n_chunks", F.ceil(F.length("text") / chunk_chars).cast("int"))
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)))
-        .withColumn("start", F.greatest(F.lit(0), F.col("chunk") * chunk_chars - overlap).cast("long"))
-        .withColumn("end", F.least(F.length("text"), (F.col("chunk") + 1) * chunk_chars + overlap).cast("long"))
-        .select(*name, "copies", "n_chunks", "chunk", "start", F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int")).alias("text"))
+    kind = f"doc_id {id_type}, text_key string, chunk int, start long, text string"
+    spread = (
+        base.where(F.length("text") > chunk_chars)
+        .mapInArrow(chunks, kind)
         .repartition(*name, "chunk")
+        .sortWithinPartitions(*name, "chunk")
     )
-    kind = f"doc_id {id_type}, text_key string, copies int, n_chunks int, chunk int, start long, text string"
     order = Window.partitionBy(*name).orderBy("chunk")
     all_ = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     stitched = (
-        chunks.mapInArrow(bounds, f"{kind}, head array<long>, tail array<long>")
+        spread.mapInArrow(bounds, f"{kind}, copies int, head array<long>, tail array<long>")
         .withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", F.lag("tail").over(order)))))
         .withColumn("next_cut", F.lead("cut").over(order))
         .withColumn("failed", F.max(F.col("cut").isNull()).over(all_))

@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), one under /tmp/checkpoints."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, a session on one machine (local[...]) gets one
+    under /tmp; any other is refused, as machines that do not share a folder would each keep a part of a table."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file:///tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", found)
     return found if "://" in found else f"file://{found}"
 
 
@@ -56,3 +64,36 @@ def with_part(df: DataFrame, key: str, points: list[float], to: str) -> DataFram
     cut = Bucketizer(splits=[float("-inf"), *points, float("inf")], inputCol="_key_d", outputCol="_part_d", handleInvalid="keep")
     out = cut.transform(df.withColumn("_key_d", F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))))
     return out.withColumn(to, F.col("_part_d").cast("int")).drop("_key_d", "_part_d")
+
+
+# --- Python workers: they are kept for later stages, so what a stage holds has to be given back
+
+
+def by_bytes(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches in order, each with up to `most` bytes in that column (one row at least)."""
+    for batch in batches:
+        length = pc.fill_null(pc.binary_length(batch.column(column)), 0)
+        ends = np.cumsum(length.to_numpy(zero_copy_only=False).astype(np.int64))
+        first = 0
+        while first < batch.num_rows:
+            before = int(ends[first - 1]) if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
+def trimmed(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, after which the worker returns free memory to the system."""
+
+    @wraps(run)
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return whole

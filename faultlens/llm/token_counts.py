@@ -45,7 +45,7 @@ def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, fold
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 out = out or Output(f"{folder}/{name}")
-                out.write(np.frombuffer(codec.encode(text)[0], dtype="<u4").astype(f"<u{width}").tobytes() + end)
+                out.write(np.frombuffer(codec.encode(text), dtype="<u4").astype(f"<u{width}").tobytes() + end)
             n = batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array([name] * n), pa.array(range(nth, nth + n), pa.int64()), batch.column("doc_id")], ["file", "nth", "doc_id"])
             nth += n

@@ -38,3 +38,31 @@ def test_round_trip(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert bpe.encode(docs, PATH, P.PATTERN).collect() == []
+
+
+def test_cuts_beside_white_space(spark):
+    """Runs of white space, contractions and digits at every offset around the cuts of small chunks."""
+    runs = ["\n\n", "\t\n", " \n ", "   ", "\n\n\n", " \n", "'ll ", "12 ", " \n\nx", "\r\n\r\n"]
+    texts = [("word " * 40)[:at] + "s" + run + "next words " * 12 for run in runs for at in range(60, 132)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {r[0]: tuple(r)[1:] for r in bpe.encode(docs, PATH, P.PATTERN, 64, 16, bpe.digests).collect()}
+    assert got == {i: expected(t) for i, t in enumerate(texts)}
+
+
+def test_cuts_of_production_chunks(spark):
+    runs = ["\n\n", "\t\n", " \n ", "    ", "'re "]
+    texts = [("word " * 5000)[: 15_868 + at] + "s" + run + "next paragraph of words " * 400 for run in runs for at in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in bpe.encode(docs, PATH, P.PATTERN, finish=bpe.digests).collect()}
+    assert got == {i: expected(t) for i, t in enumerate(texts)}
+
+
+def test_columns_with_clashing_names_and_other_id_types(spark):
+    docs = spark.createDataFrame([("a", "x y " * 50, 1, "k", 2), ("a", "x y " * 50, 1, "k", 2), (None, None, 1, "k", 2)], "doc_id string, text string, chunk int, text_key string, copies int")
+    got = sorted(tuple(r) for r in bpe.encode(docs, PATH, P.PATTERN, 64, 16, bpe.digests).where("doc_id is not null").collect())
+    assert got == [("a", *expected("x y " * 50))] * 2
+
+
+def test_chunks_are_longer_than_overlaps(spark):
+    with pytest.raises(ValueError, match="overlaps"):
+        bpe.encode(spark.createDataFrame([], "doc_id long, text string"), PATH, P.PATTERN, 64, 32)
