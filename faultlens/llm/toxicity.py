@@ -26,8 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.llm.shared import by_bytes, trimmed
 from faultlens.llm.wordhash import flatten, spans
 
+STEP = 2 << 20
 BUCKETS = 1 << 16
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -266,8 +268,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, threshold (of the row's language), rejected (score >= threshold)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", STEP):
             made = shared.value.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(made, pa.float64())], ["doc_id", "lang", "score"])
 
@@ -289,9 +292,10 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     schema = docs.schema
     has_lang = "lang" in docs.columns
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = shared.value.thresholds
-        for batch in batches:
+        for batch in by_bytes(batches, "text", STEP):
             made = shared.value.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
             langs = batch.column("lang").to_pylist() if has_lang else [None] * len(made)
             yield batch.filter(pa.array([s < cuts.get(l if l is not None else "", 0.5) for s, l in zip(made, langs, strict=True)], pa.bool_()))
