@@ -10,7 +10,9 @@ counts with its best partner, weighted by its features.
 The arithmetic runs on one flat buffer of many texts with gaps between them, so no window spans two texts and the
 digest of a text depends on nothing but the text (and the ranks). A text shorter than a window has one window,
 filled with zero bytes; an empty or null text has no filter. Two digests without filters have likeness 1, one with
-and one without 0. Repeated rows are treated alike; an empty table gives an empty result.
+and one without 0. Repeated rows are treated alike; an empty table gives an empty result. Rows stand in order of
+(doc_id, text), a null doc_id first; doc_id has to be numeric for comparing with the next document (TypeError
+otherwise). Columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm.shared import partitions, split_points, with_part
+from faultlens.llm.shared import by_bytes, partitions, split_points, trimmed, with_part
 from faultlens.llm.wordhash import mix64, powers
 
 WIDTH = 16
@@ -38,6 +40,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _ONE = 1 << 24
 _CHUNK = 1 << 18
+STEP = 2 << 20
 
 _c = np.arange(WIDTH + 2, dtype=np.float64)
 _CLOGC = np.rint(np.where(_c > 0, _c * np.log2(np.maximum(_c, 1)), 0) * _ONE).astype(np.int64)
@@ -202,9 +205,10 @@ def parsed(text: str) -> tuple[np.ndarray, np.ndarray]:
 def fit_ranks(docs: DataFrame) -> np.ndarray:
     """Ranks from the windows of every text of the table: one pass, SCALE + 1 sums reach the driver."""
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SCALE + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in by_bytes(batches, "text", STEP):
             counts += entropy_counts([t.encode() for t in batch.column("text").to_pylist() if t])
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(counts[some], pa.int64())], ["entropy", "n"])
@@ -219,8 +223,9 @@ def fingerprints(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
     """doc_id, fingerprint."""
     ranks = fit_ranks(docs) if ranks is None else ranks
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in by_bytes(batches, "text", STEP):
             made = [written(d) for d in digest([(t or "").encode() for t in batch.column("text").to_pylist()], ranks)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.string())], ["doc_id", "fingerprint"])
 
@@ -277,17 +282,18 @@ def compare_edited(docs: DataFrame, ranks: np.ndarray | None = None, n_parts: in
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids: list = []
         texts: list[str] = []
         size = 0
-        for batch in batches:
+        for batch in by_bytes(batches, "text", STEP):
             id_type = batch.schema.field("doc_id").type
             for doc, text, guest in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "guest")), strict=True):
                 ids.append(doc)
                 texts.append(text)
                 size += len(text)
-                if len(texts) > 1 and (guest or size >= 1 << 21):
+                if len(texts) > 1 and (guest or size >= STEP):
                     yield made(ids, texts, id_type)
                     ids, texts, size = ([], [], 0) if guest else (ids[-1:], texts[-1:], len(text))
 

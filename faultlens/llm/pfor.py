@@ -11,7 +11,9 @@ block: u32 minimum, u8 width, u16 exceptions, packed differences, u16 positions,
 64 differences of w bits fill w little-endian u64 words, low bits first; the last block is filled up with its minimum.
 
 Results: a null text counts as empty, and a document without ids has just the end id; documents are in ascending
-(doc_id, text) order, a null doc_id first; repeated rows are written each; an empty table writes no file.
+(doc_id, text) order, a null doc_id first; repeated rows are written each; an empty table writes no file. Files hold
+doc_ids as 64-bit numbers, so doc_id has to be of an integer type (TypeError otherwise). Columns besides doc_id and
+text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from faultlens.llm.files import Input, Output, listing
-from faultlens.llm.shared import new_folder, partitions, split_points, with_part
+from faultlens.llm.shared import by_bytes, new_folder, partitions, split_points, trimmed, with_part
 
 BLOCK = 1024
 SEGMENT = 256 * BLOCK
+STEP = 2 << 20
 HEAD = struct.Struct("<IBH")
 TRAILER = struct.Struct("<QQQQ8s")
 MAGIC = b"PFORIDS1"
@@ -159,6 +163,15 @@ class Reader:
         if magic != MAGIC:
             raise ValueError(f"not a token file: {uri}")
 
+    def close(self) -> None:
+        self.file.close()
+
+    def __enter__(self) -> Reader:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.close()
+
     def tables(self) -> tuple[np.ndarray, list[int | None], np.ndarray]:
         """(block starts with the end, doc_ids, counts)."""
         data = self.file.read(self.index, self.file.size - TRAILER.size - self.index)
@@ -224,13 +237,16 @@ class _Kept(dict):
 class WordEncoder:
     """Encodes with the tokenizers library. This kind of vocabulary drops white space and never merges across it, so
     what stands between two white-space characters is encoded once and kept (bounded). Plain pieces (ASCII, Latin-1
-    letters) go to the library's merge model directly, all others through its whole pipeline."""
+    letters) go to the library's merge model directly, all others through its whole pipeline. A text in which the
+    string of an added token stands goes to the library as a whole, which gives such strings ids of their own."""
 
     def __init__(self, definition: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        case = re.IGNORECASE if any(t.normalized for t in added) else 0
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) if added else "(?!)", case)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.units, self.pieces = _Kept(self._unit, CACHED // 4), _Kept(self._piece)
 
@@ -244,9 +260,14 @@ class WordEncoder:
             if low.isalpha():  # of plain characters, letters only: one unit
                 return self._unit(low)
             return b"".join(map(self.units.__getitem__, _UNITS.findall(low)))
-        return np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._library(piece)
+
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
+        if self.added.search(text):
+            return self._library(text)
         words = [w for w in _SPACES.split(text) if w] if _ODD_SPACE.search(text) else text.split()
         return b"".join(map(self.pieces.__getitem__, words))
 
@@ -258,6 +279,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None
     """Encode docs and write their ids, each document with end_id appended, to part-NNNNNN.pfor files of the folder
     in ascending doc_id order over all files; returns the folder."""
     spark = docs.sparkSession
+    if not isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        raise TypeError("doc_id has to be of an integer type")
     folder = folder or new_folder(spark, "token-files")
     n = n_files or partitions(spark)
     with open(vocabulary, encoding="utf-8") as f:
@@ -268,12 +291,13 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None
     points = split_points(base, "doc_id", n)
     parted = with_part(base, "doc_id", points, "part").repartitionById(len(points) + 1, "part").sortWithinPartitions("part", "doc_id", "text")
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if key not in _encoders:
             _encoders.clear()
             _encoders[key] = WordEncoder(source.value)
         encode, out, at = _encoders[key].encode, None, None
-        for batch in batches:
+        for batch in by_bytes(batches, "text", STEP):
             for doc, text, part in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
                 if part != at:
                     if out is not None:
@@ -307,7 +331,10 @@ def _read(spark: SparkSession, folder: str, make, kind: pa.DataType, field: str)
 
     def totals(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [Reader(u).n_ids for u in batch.column("uri").to_pylist()]
+            n = []
+            for uri in batch.column("uri").to_pylist():
+                with Reader(uri) as file:
+                    n.append(file.n_ids)
             yield pa.RecordBatch.from_arrays([batch.column("nth"), pa.array(n, pa.int64())], ["nth", "n"])
 
     # one number a file reaches the driver; the number of files is a parameter of the writer
@@ -315,17 +342,21 @@ def _read(spark: SparkSession, folder: str, make, kind: pa.DataType, field: str)
     first = np.cumsum([0, *n_ids])
     starts = spark.createDataFrame([(i, f, int(first[i])) for i, f in enumerate(files)], "nth int, uri string, first long")
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri, at in zip(batch.column("uri").to_pylist(), batch.column("first").to_pylist(), strict=True):
                 rows: tuple[list, list, list, list] = ([], [], [], [])
-                for doc, ids in Reader(uri).documents():
-                    for to, value in zip(rows, (doc, at, len(ids), make(ids)), strict=True):
-                        to.append(value)
-                    at += len(ids)
-                    if len(rows[0]) >= 2000:
-                        yield _rows(rows, kind, field)
-                        rows = ([], [], [], [])
+                with Reader(uri) as file:
+                    held = 0
+                    for doc, ids in file.documents():
+                        for to, value in zip(rows, (doc, at, len(ids), make(ids)), strict=True):
+                            to.append(value)
+                        at += len(ids)
+                        held += len(ids)
+                        if len(rows[0]) >= 2000 or held >= SEGMENT:
+                            yield _rows(rows, kind, field)
+                            rows, held = ([], [], [], []), 0
                 yield _rows(rows, kind, field)
 
     return starts.repartitionById(len(files), "nth").mapInArrow(run, schema)

@@ -13,6 +13,7 @@ import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +51,10 @@ def partitions(spark: SparkSession) -> int:
 
 def split_points(df: DataFrame, key: str, n: int, accuracy: float = 0.2) -> list[float]:
     """At most n - 1 ascending values of a numeric key that split df into parts of about equal numbers of rows.
-    They come from a quantile sketch over every row; it stays a few KB for any number of rows."""
+    They come from a quantile sketch over every row; it stays a few KB for any number of rows. TypeError for a key
+    that is not numeric."""
+    if not isinstance(df.schema[key].dataType, NumericType):
+        raise TypeError(f"{key} has to be numeric")
     if n < 2:
         return []
     found = df.select(F.col(key).cast("double").alias("k")).where("k is not null").approxQuantile("k", [i / n for i in range(1, n)], accuracy / n)

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 
 from faultlens.llm import fingerprints as fp
 
@@ -71,3 +72,14 @@ def test_query_matches_brute_force(spark):
 
 def test_empty_table(spark):
     assert fp.compare_edited(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_null_id_and_clashing_columns(spark):
+    rows = [(None, "first of all " * 9, 1, True), (2, None, 1, True), (1, "another text " * 9, 1, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, part int, guest boolean")
+    got = {r["doc_id"]: r for r in fp.compare_edited(docs, n_parts=3).collect()}
+    texts = {None: rows[0][1], 1: rows[2][1], 2: ""}
+    for own, following in ((None, 1), (1, 2), (2, None)):
+        assert got[own]["edited_sha256"] == hashlib.sha256(fp.edited(texts[own], texts[following]).encode()).hexdigest()
+    with pytest.raises(TypeError, match="numeric"):
+        fp.compare_edited(docs.withColumn("doc_id", docs["text"]))

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -25,7 +26,8 @@ def test_blocks_round_trip(values, bits, percentile):
 
 def texts():
     rng = random.Random(5)
-    own = [None, "", " ", "It's WE'LL don't 12.5% ''' ok", "Éclair ß ÿ × ÷ ²½", "日本 語　x\xa0y", "é Ñ", "<|endoftext|> Σας ΟΔΟΣ", "x" * 3000, "\x1c a\x1fb \x85c", "İstanbul ǅ ŉ"]
+    own = [f"{a}{token}{b}" for token in ("<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|") for a in ("", "a", "word ", "É") for b in ("", "b", " word", "\n")]
+    own += [None, "", " ", "It's WE'LL don't 12.5% ''' ok", "Éclair ß ÿ × ÷ ²½", "日本 語　x\xa0y", "é Ñ", "<|endoftext|> Σας ΟΔΟΣ", "x" * 3000, "\x1c a\x1fb \x85c", "İstanbul ǅ ŉ"]
     return own + [" ".join("".join(rng.choice("aeltrnsdÉéß'1.,") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(1, 900))) for _ in range(60)]
 
 
@@ -35,7 +37,6 @@ def test_same_as_library_and_order(spark):
     folder = pfor.write(docs, PATH, end_id=2, n_files=5)
     got = [tuple(r) for r in pfor.read_checksums(spark, folder).collect()]
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     expected, start = [], 0
     for doc, text, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 2]
@@ -46,6 +47,11 @@ def test_same_as_library_and_order(spark):
     assert all(len(ids[s]) == n and zlib.crc32(ids[s].tobytes()) == c for _, s, n, c in expected)
 
 
+def test_doc_ids_are_whole_numbers(spark):
+    with pytest.raises(TypeError, match="integer"):
+        pfor.write(spark.createDataFrame([("a", "b")], "doc_id string, text string"), PATH)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pfor.read(spark, pfor.write(docs, PATH)).collect() == []
