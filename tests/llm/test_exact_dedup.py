@@ -29,26 +29,48 @@ def brute(rows):
     return out
 
 
-@pytest.mark.parametrize("capacity,depth", [(20_000, 12), (5, 6)])
-def test_groups_match_brute_force(spark, capacity, depth):
+@pytest.mark.parametrize("capacity", [20_000, 5, 1])
+def test_groups_match_brute_force(spark, capacity):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, key string").repartition(3)
-    index = ed.build_index(docs, capacity, depth)
+    index = ed.build_index(docs, capacity)
     got = [(r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in ed.groups(docs, index).collect()]
     assert sorted(got, key=str) == sorted(brute(rows), key=str)
     entries = spark.read.parquet(f"{index}/entries").collect()
-    slots = {r["slot"]: r["bucket"] for r in spark.read.parquet(f"{index}/directory").collect()}
-    assert len(slots) == 1 << depth
-    assert all(slots[(r["key"] % (1 << 64)) >> (64 - depth)] == r["bucket"] for r in entries)
-    kept = ed.deduplicated(docs, capacity=capacity, max_depth=depth)
+    slots = {r["slot"]: r for r in spark.read.parquet(f"{index}/directory").collect()}
+    depth = slots[0]["global_depth"]
+    assert sorted(slots) == list(range(1 << depth))
+    assert all(slots[(r["key"] % (1 << 64)) >> (64 - depth)]["bucket"] == r["bucket"] for r in entries)
+    held = {}
+    for r in entries:
+        held[r["bucket"]] = held.get(r["bucket"], 0) + 1
+    assert max(held.values()) <= capacity
+    kept = ed.deduplicated(docs, capacity=capacity)
     assert kept.columns == docs.columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted(((d, t) for (d, t, _), b in zip(rows, brute(rows), strict=True) if b[3]), key=str)
 
 
-def test_directory_splits_only_full_buckets():
-    counts = {0: 100, 1: 3, 2: 4, 7: 9}
-    got = ed.directory(counts, 10, 3)
-    assert [(f, d) for f, d, _ in got] == [(0, 3), (1, 3), (2, 2), (4, 1)] and sum(n for *_, n in got) == 116
+@pytest.mark.parametrize("capacity", [1, 3, 10, 1000])
+def test_directory_is_that_of_an_extendible_hash(spark, capacity):
+    """Against a plain one: buckets split one by one, the directory doubling where a bucket has its depth."""
+    rng = random.Random(capacity)
+    keys = [rng.getrandbits(64) - (1 << 63) for _ in range(60)] + [rng.getrandbits(50) for _ in range(40)] + [7] * 12
+    got = ed.directory(spark.createDataFrame([(k,) for k in keys], "key long"), capacity).collect()
+    depth = got[0]["global_depth"]
+    todo, expected = [("", [format(k % (1 << 64), "064b") for k in keys])], {}
+    while todo:
+        prefix, own = todo.pop()
+        if len(own) > capacity and len(prefix) < depth:
+            todo += [(prefix + bit, [k for k in own if k[len(prefix)] == bit]) for bit in "01"]
+        else:
+            first = int(prefix.ljust(depth, "0"), 2)
+            expected |= {s: (first, len(prefix)) for s in range(first, first + (1 << (depth - len(prefix))))}
+    assert {r["slot"]: (r["bucket"], r["local_depth"]) for r in got} == expected and len(got) == len(expected)
+
+
+def test_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 5), (2, "ab", "y", 6)], "doc_id long, text string, _hash string, _points int")
+    assert [tuple(r) for r in ed.deduplicated(docs).collect()] == [(1, "a b", "x", 5)]
 
 
 def test_empty_table(spark):
