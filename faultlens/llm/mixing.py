@@ -14,7 +14,8 @@ ValueError for more than max_sources of them, as the plan by source is broadcast
 
 Results: words are `[^\\x20\\x09-\\x0D]+`; a null or empty text has size 0 and is not taken; a null source is a source
 of its own and comes last; rows repeated as a whole are counted and drawn each by itself; an empty table gives an
-empty result. The same input and seed give the same result.
+empty result. The same input and seed give the same result. Columns besides doc_id, text and source are not read, and
+`mixed` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultlens.llm.shared import partitions, stored
+from faultlens.llm.shared import fresh, partitions, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -68,15 +69,22 @@ def split_tree(blocks: np.ndarray, n_shards: int, rng: np.random.Generator) -> n
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """A hypergeometric draw; numbers beyond numpy's range (1e9) take its normal approximation, inside the support."""
+    """A hypergeometric draw. Beyond numpy's range (1e9) by inversion over 20 standard deviations around the mean,
+    outside of which a draw falls with a probability below 1e-80."""
     if good == 0 or n == 0:
         return 0
-    if good + bad < 1_000_000_000:
-        return int(rng.hypergeometric(good, bad, n))
     all_ = good + bad
-    mean = n * good / all_
-    sd = (mean * (bad / all_) * ((all_ - n) / max(1, all_ - 1))) ** 0.5
-    return int(min(max(round(rng.normal(mean, sd)), n - bad, 0), good, n))
+    if all_ < 1_000_000_000:
+        return int(rng.hypergeometric(good, bad, n))
+    low, high = max(0, n - bad), min(good, n)
+    mean = n * (good / all_)
+    reach = 20 * (mean * (bad / all_) * ((all_ - n) / max(1, all_ - 1))) ** 0.5 + 20
+    low, high = max(low, int(mean - reach)), min(high, int(mean + reach))
+    k = np.arange(high - low, dtype=np.float64)
+    up = np.log(good - low - k) + np.log(n - low - k) - np.log(low + k + 1) - np.log(bad - n + low + k + 1)  # log p(k + 1) / p(k)
+    p = np.concatenate(([0.0], np.cumsum(up)))
+    p = np.cumsum(np.exp(p - p.max()))
+    return low + int(np.searchsorted(p, rng.random() * p[-1], side="right").clip(0, high - low))
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -187,26 +195,30 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs that the mix takes, whole, as often as it takes them, with their columns; shard after shard,
     and in a shard by place."""
     documents, dealt = mix(docs, block_words=None, **options)
+    size, shard, place, number = fresh(docs, "size", "shard", "place", "number")
     drawn = dealt.where("taken > 0").select(
         F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), F.col("copy").alias("_copy"),
-        F.col("shard").alias("_shard"), F.col("place").alias("_place"),
+        F.col("shard").alias(shard), F.col("place").alias(place),
     )
-    own = docs.withColumn("_size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    own = docs.withColumn(size, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     alike, _ = stored(
         documents.where("copy > 1").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words")).distinct(), "mix-alike"
     )
 
     def same(left: DataFrame, right: DataFrame):
-        return left["doc_id"].eqNullSafe(right["_id"]) & left["source"].eqNullSafe(right["_source"]) & (left["_size"] == right["_words"])
+        return left["doc_id"].eqNullSafe(right["_id"]) & left["source"].eqNullSafe(right["_source"]) & (left[size] == right["_words"])
 
     single = drawn.where("_copy = 1")
+    columns = [own[c] for c in docs.columns]
     if alike.isEmpty():
-        chosen = own.join(single, same(own, single))
+        chosen = own.join(single, same(own, single)).select(*columns, single[shard], single[place])
     else:  # rows alike in doc_id, source and size are numbered to tell them apart
         on = lambda a, b: a["_id"].eqNullSafe(b["_id"]) & a["_source"].eqNullSafe(b["_source"]) & (a["_words"] == b["_words"])
         ones = single.join(alike, on(single, alike), "left_anti")
         many = drawn.join(alike, on(drawn, alike), "left_semi")
-        order = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-        numbered = own.join(alike, same(own, alike), "left_semi").withColumn("_nth", F.row_number().over(order))
-        chosen = own.join(ones, same(own, ones)).unionByName(numbered.join(many, same(numbered, many) & (numbered["_nth"] == many["_copy"])).drop("_nth"))
-    return in_order(chosen, "_shard", "_place").select(*docs.columns)
+        order = Window.partitionBy("doc_id", "source", size).orderBy("text")
+        numbered = own.join(alike, same(own, alike), "left_semi").withColumn(number, F.row_number().over(order))
+        first = own.join(ones, same(own, ones)).select(*columns, ones[shard], ones[place])
+        again = numbered.join(many, same(numbered, many) & (numbered[number] == many["_copy"]))
+        chosen = first.unionByName(again.select(*[numbered[c] for c in docs.columns], many[shard], many[place]))
+    return in_order(chosen, shard, place).select(*docs.columns)

@@ -8,7 +8,9 @@ and joined by broadcast.
 
 Law: `bytes`, shard sizes are near equal: the edits go on until no move or exchange of slots narrows the gap between
 the largest and the smallest shard. Results: a null text has 0 bytes and size 1; a null doc_id hashes like any value;
-repeated rows count each; `slot` numbers the rows of a shard from 0 by (virtual slot, doc_id, text_crc32, size).
+repeated rows count each; `slot` numbers the rows of a shard from 0 by (virtual slot, doc_id, text_crc32, size); an
+empty table gives an empty result, and a map all the same; columns besides doc_id and text are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from faultlens.llm.shared import new_folder
+
 
 @dataclass(frozen=True)
 class SlotMap:
@@ -100,14 +104,26 @@ class SlotMap:
         return self.edited(moves, self.n_shards + 1)
 
     def save(self, spark: SparkSession, place: str) -> None:
-        """Adds this version to the map's folder, which keeps all versions."""
-        rows = [(self.version, self.n_shards, s, k) for s, k in enumerate(self.shard_of)]
-        spark.createDataFrame(rows, "version int, n_shards int, virtual_slot int, shard int").coalesce(1).write.mode("overwrite").parquet(f"{place}/version={self.version}")
+        """Adds this version to the map's folder, which keeps all versions: the whole map, and each slot's shard in the
+        version before where this one moved it."""
+        before = {s: k for s, k, _ in self.edits}
+        rows = [(self.n_shards, s, k, before.get(s)) for s, k in enumerate(self.shard_of)]
+        spark.createDataFrame(rows, "n_shards int, virtual_slot int, shard int, moved_from int").coalesce(1).write.parquet(f"{place}/version={self.version}")
 
     @classmethod
     def load(cls, spark: SparkSession, place: str, version: int) -> SlotMap:
-        rows = sorted(spark.read.parquet(f"{place}/version={version}").select("virtual_slot", "shard", "n_shards").collect())
-        return cls(version, rows[0][2] if rows else 0, tuple(r[1] for r in rows))
+        rows = sorted(tuple(r) for r in spark.read.parquet(f"{place}/version={version}").select("virtual_slot", "shard", "n_shards", F.coalesce("moved_from", F.lit(-1))).collect())
+        edits = tuple((s, old, k) for s, k, _, old in rows if old >= 0)
+        return cls(version, rows[0][2], tuple(r[1] for r in rows), edits)
+
+    @classmethod
+    def latest(cls, spark: SparkSession, place: str) -> SlotMap | None:
+        """The newest complete version in the folder; None where there is none."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        done = store.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{place}/version=*/_SUCCESS"))
+        versions = [int(f.getPath().getParent().getName().partition("=")[2]) for f in done or []]
+        return cls.load(spark, place, max(versions)) if versions else None
 
 
 def with_slot(docs: DataFrame, n_slots: int) -> DataFrame:
@@ -145,13 +161,20 @@ def assigned(records: DataFrame, mapping: SlotMap, rows: list[int]) -> DataFrame
 
 
 def shard(docs: DataFrame, n_shards: int = 16, n_slots: int = 8192, place: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, shard, slot, virtual_slot, map_version. place: where versions of the map go."""
+    """doc_id, size, text_crc32, shard, slot, virtual_slot, map_version.
+
+    place: the map's folder. Its newest version is edited (version 1 is dealt out where the folder holds none), the
+    edited one is stored as the next version, and rows are assigned by what is read back."""
     spark = docs.sparkSession
+    place = place or new_folder(spark, "slot-map")
     records = with_slot(docs, n_slots)
     load, rows = slot_loads(records, n_slots)
-    first = SlotMap.first(n_slots, n_shards)
-    mapping = first.rebalanced(load)
-    if place:
-        first.save(spark, place)
-        mapping.save(spark, place)
+    held = SlotMap.latest(spark, place)
+    if held is None:
+        SlotMap.first(n_slots, n_shards).save(spark, place)
+        held = SlotMap.load(spark, place, 1)
+    if (held.n_shards, len(held.shard_of)) != (n_shards, n_slots):
+        raise ValueError(f"the stored map has {held.n_shards} shards and {len(held.shard_of)} slots")
+    held.rebalanced(load).save(spark, place)
+    mapping = SlotMap.load(spark, place, held.version + 1)
     return assigned(records, mapping, rows).select("doc_id", "size", "text_crc32", "shard", "slot", "virtual_slot", F.lit(mapping.version).alias("map_version"))

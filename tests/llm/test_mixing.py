@@ -56,7 +56,36 @@ def test_split_tree_keeps_all_counts():
         blocks = rng.integers(0, 1000, 7)
         out = mx.split_tree(blocks, n, rng)
         assert (out.sum(axis=1) == blocks).all() and (out >= 0).all() and np.ptp(out.sum(axis=0)) <= 1
-    assert 0 <= mx._hypergeometric(rng, 3_000_000_000, 1_000_000_000, 2_000_000_000) - 1_400_000_000 < 200_000_000
+
+
+def test_splits_have_the_hypergeometric_law():
+    """The draw for large numbers, made to run on small ones too, against exact probabilities."""
+    from math import comb
+
+    class Small:  # a generator that refuses numpy's own draw
+        def __init__(self, seed):
+            self.random = np.random.default_rng(seed).random
+
+    rng = np.random.default_rng(2)
+    for good, bad, n in ((3_000_000_000, 1_000_000_000, 2_000_000_000), (5, 4_000_000_000, 3_000_000_000), (2_000_000_000, 3, 1_999_999_999)):
+        for _ in range(20):
+            x = mx._hypergeometric(rng, good, bad, n)
+            sd = (n * good / (good + bad) * bad / (good + bad)) ** 0.5
+            assert max(0, n - bad) <= x <= min(good, n) and abs(x - n * good / (good + bad)) <= 8 * sd + 1
+    scale = 1_000_000_000  # one rare kind among many: the law is that of a few draws
+    draws = [mx._hypergeometric(Small(s), 4, scale, scale // 4) for s in range(4000)]
+    for k in range(5):
+        assert abs(draws.count(k) / 4000 - comb(4, k) * 0.25**k * 0.75 ** (4 - k)) < 0.03
+
+
+def test_every_node_of_the_tree_is_met_exactly():
+    """Quotas by node, re-derived from the leaves: halves of the shards hold the halves' blocks, source by source."""
+    blocks = np.array([5000, 1, 0, 333, 77_777])
+    out = mx.split_tree(blocks, 16, np.random.default_rng(3))
+    total = blocks.sum()
+    for a, b in ((0, 16), (0, 8), (8, 16), (4, 8), (12, 14), (15, 16)):
+        assert out[:, a:b].sum() == total * b // 16 - total * a // 16
+    assert (out.sum(axis=1) == blocks).all() and abs(out[4, :8].sum() / 77_777 - 0.5) < 0.02
 
 
 def test_whole_documents(spark):
@@ -88,6 +117,15 @@ def test_shards_reach_the_results(spark):
     assert [r["doc_id"] for r in mx.mixed(docs).collect()] == order
 
 
+def test_columns_with_clashing_names(spark):
+    rows = [(d, t, s, "p", 1, 2) for d, t, s, _ in corpus(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _size string, _id int, shard int")
+    plain = mx.mixed(docs.select("doc_id", "text", "source")).collect()
+    got = mx.mixed(docs)
+    assert got.columns == docs.columns
+    assert [tuple(r) for r in got.collect()] == [(*r, "p", 1, 2) for r in plain]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mx.mix(docs)[0].collect() == [] and mx.mixed(docs).collect() == []
