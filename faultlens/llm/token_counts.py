@@ -3,11 +3,13 @@
 A file is nothing but ids (little-endian, 2 or 4 bytes), each document closed by an end id. Files are cut into blocks
 of block_bytes that are searched in parallel; a block knows its separators, but not where its first document began.
 A prefix scan over the blocks of a file (number of separators so far, end of the last one) gives each block its
-carry, and a second one over files the numbers over the whole folder. No task reads more than a block.
+carry, and a second one over files (in runs of FILES files, then over the runs) the numbers over the whole folder. No
+task holds more than a block, however long a document is.
 
 Results: ids behind the last separator of a file are a document too, with closed = false (none if there are no such
 ids); two separators in a row enclose an empty document; a file that ends inside an id is rejected with ValueError;
-an empty folder gives an empty result. Writing: a null text counts as empty; repeated rows are written each.
+an empty folder gives an empty result. Writing: a null text counts as empty; repeated rows are written each, null
+doc_ids too; columns besides doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,9 +24,10 @@ from pyspark.sql import functions as F
 
 from faultlens.llm import bpe
 from faultlens.llm.files import Input, Output, listing
-from faultlens.llm.shared import new_folder, stored
+from faultlens.llm.shared import by_bytes, new_folder, stored, trimmed
 
 BLOCK_BYTES = 4 << 20
+FILES = 1024
 
 
 def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, folder: str | None = None, width: int = 2) -> tuple[str, DataFrame]:
@@ -39,10 +42,11 @@ def write_flat(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, fold
     key = f"{vocabulary} {pattern}"
     end = np.array([end_id], dtype=f"<u{width}").tobytes()
 
+    @trimmed
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, out, nth = bpe._codec(key, source), None, 0
         name = f"part-{TaskContext.get().partitionId():06d}.bin"
-        for batch in batches:
+        for batch in by_bytes(batches, "text", bpe.STEP):
             for text in batch.column("text").to_pylist():
                 out = out or Output(f"{folder}/{name}")
                 out.write(np.frombuffer(codec.encode(text), dtype="<u4").astype(f"<u{width}").tobytes() + end)
@@ -75,6 +79,7 @@ def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_by
         .repartition(max(1, min(n_blocks, 10_000)))
     )
 
+    @trimmed
     def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -98,8 +103,12 @@ def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_by
     per_file = carried.groupBy("f").agg(
         F.sum("n").alias("n"), F.coalesce(F.max("last"), F.lit(0)).alias("tail"), (F.max("bytes") / width).cast("long").alias("n_ids")
     ).withColumn("open_end", F.col("tail") < F.col("n_ids"))
-    order = Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
-    files_ = per_file.withColumn("base", F.coalesce(F.sum(F.col("n") + F.col("open_end").cast("long")).over(order), F.lit(0)))
+    # over files in two levels: inside runs of FILES files, and over the runs
+    held = per_file.select("f", F.floor(F.col("f") / FILES).alias("run"), (F.col("n") + F.col("open_end").cast("long")).alias("n"))
+    runs = held.groupBy("run").agg(F.sum("n").alias("n"))
+    runs = runs.select("run", F.coalesce(F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("run_base"))
+    inner = Window.partitionBy("run").orderBy("f").rowsBetween(Window.unboundedPreceding, -1)
+    files_ = held.withColumn("inner_base", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(runs, "run").select("f", (F.col("run_base") + F.col("inner_base")).alias("base"))
     begins = F.concat(F.array("open"), F.transform(F.slice("at", 1, F.greatest(F.size("at") - 1, F.lit(0))), lambda x: x + 1))
     inside = (
         found.join(carried.select("f", "block", "first_nth", "open"), ["f", "block"])
@@ -108,8 +117,7 @@ def scan(spark: SparkSession, folder: str, end_id: int, width: int = 2, block_by
         .select("f", "file", (F.col("first_nth") + F.col("pos")).alias("nth"), F.col("col.b").alias("start"), (F.col("col.e") - F.col("col.b")).alias("n_tokens"), F.lit(True).alias("closed"))
     )
     tails = listed.join(per_file.where("open_end"), "f").select("f", "file", F.col("n").alias("nth"), F.col("tail").alias("start"), (F.col("n_ids") - F.col("tail")).alias("n_tokens"), F.lit(False).alias("closed"))
-    base = F.broadcast(files_.select("f", "base"))  # one row a file
-    return inside.unionByName(tails).join(base, "f").select("file", "nth", (F.col("base") + F.col("nth")).alias("nth_overall"), "start", "n_tokens", "closed")
+    return inside.unionByName(tails).join(files_, "f").select("file", "nth", (F.col("base") + F.col("nth")).alias("nth_overall"), "start", "n_tokens", "closed")
 
 
 def read_flat(uri: str, width: int = 2) -> np.ndarray:
@@ -118,10 +126,10 @@ def read_flat(uri: str, width: int = 2) -> np.ndarray:
     return np.frombuffer(file.read(0, file.size), dtype=f"<u{width}")
 
 
-def count_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int) -> DataFrame:
+def count_documents(docs: DataFrame, vocabulary: str, pattern: str, end_id: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, file, nth, start, n_tokens: docs written to flat files and counted from them."""
     folder, contents = write_flat(docs, vocabulary, pattern, end_id)
-    found = scan(docs.sparkSession, folder, end_id)
+    found = scan(docs.sparkSession, folder, end_id, block_bytes=block_bytes)
     return found.join(contents, ["file", "nth"]).select("doc_id", "file", "nth", "start", "n_tokens")
 
 

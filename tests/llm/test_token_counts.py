@@ -24,6 +24,17 @@ def plain(ids):
     return rows
 
 
+def test_many_files_are_numbered_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(tc, "FILES", 3)
+    folder, counts = new_folder(spark, "test-flat"), [3, 0, 1, 5, 2, 2, 9, 1, 4, 7]
+    for i, n in enumerate(counts):
+        out = Output(f"{folder}/{i:02d}.bin")
+        out.write(np.array([7, END] * n, dtype="<u2").tobytes())
+        out.close()
+    got = sorted((r["file"], r["nth"], r["nth_overall"]) for r in tc.scan(spark, folder, END).collect())
+    assert got == [(f"{i:02d}.bin", k, sum(counts[:i]) + k) for i, n in enumerate(counts) for k in range(n)]
+
+
 def test_scan_matches_a_plain_loop_for_any_block_size(spark):
     rng = random.Random(4)
     folder = new_folder(spark, "test-flat")
@@ -49,9 +60,11 @@ def test_scan_matches_a_plain_loop_for_any_block_size(spark):
 def test_counts_of_documents(spark):
     rng = random.Random(2)
     texts = [None, "", "word", "日本 語"] + [" ".join("".join(rng.choice("aeioustr ,") for _ in range(6)) for _ in range(rng.randint(1, 300))) for _ in range(50)]
+    texts.append("a text longer than many blocks " * 900)
     rows = [(i, t, "x") for i, t in enumerate(texts)] + [(3, texts[3], "x"), (None, "no id", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, file string").repartition(3)
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(PATH), special_tokens={})
-    got = sorted(((r["doc_id"], r["n_tokens"]) for r in tc.count_documents(docs, PATH, P.PATTERN, END).collect()), key=str)
-    assert got == sorted(((d, len(enc.encode_ordinary(t or ""))) for d, t, _ in rows), key=str)
+    for block in (tc.BLOCK_BYTES, 256):
+        got = sorted(((r["doc_id"], r["n_tokens"]) for r in tc.count_documents(docs, PATH, P.PATTERN, END, block).collect()), key=str)
+        assert got == sorted(((d, len(enc.encode_ordinary(t or ""))) for d, t, _ in rows), key=str)
     assert tc.count_documents(docs.limit(0), PATH, P.PATTERN, END).collect() == []
