@@ -60,6 +60,22 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT = 1000
+
+
+def joined_hot(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """many left joined to few, which has one row a key. Keys that more than one in HOT of many's rows have (fewer than
+    HOT keys, so they are broadcast) are dealt over salted copies of few's row. many is read twice: a stored table."""
+    n_salts = partitions(many.sparkSession)
+    total = many.count()
+    hot, salt = fresh(many, "hot", "salt")
+    counted = many.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT > total).select(key, F.lit(True).alias(hot))
+    salts = F.sequence(F.lit(0), F.lit(n_salts - 1))
+    dealt = many.join(F.broadcast(counted), key, "left").withColumn(salt, F.when(F.col(hot), F.floor(F.rand(7) * n_salts).cast("int")).otherwise(0))
+    copies = few.join(F.broadcast(counted), key, "left").withColumn(salt, F.explode(F.when(F.col(hot), salts).otherwise(F.array(F.lit(0)))))
+    return dealt.drop(hot).join(copies.drop(hot), [key, salt], "left").drop(salt)
+
+
 def split_points(df: DataFrame, key: str, n: int, accuracy: float = 0.2) -> list[float]:
     """At most n - 1 ascending values of a numeric key that split df into parts of about equal numbers of rows.
     They come from a quantile sketch over every row; it stays a few KB for any number of rows. TypeError for a key

@@ -3,10 +3,14 @@
 Detected entities are mail addresses, payment cards (Luhn), phone numbers, IPv4 addresses, US social security
 numbers, IBANs, access keys, assigned secrets (password=..., token = "..."), and names behind a title. Each is taken
 apart into literal parts and values; every value gets a keyed surrogate of its own type and form: digits stay
-digits, letters letters of the same case, script and (hex) alphabet; an address keeps its octets' lengths and range,
-a card its first digit and a valid check digit, an address's domain its last two labels; a given name becomes one
-of the same gender and script, a family name a made-up one of the same script. Values are replaced alike wherever
-they stand, part by part, so mentions still corefer (Mr. A. Smith and Mr. Smith, two mail users of one host).
+digits, letters letters of the same case, script and (hex) alphabet; an IPv4 address keeps its octets' lengths and its
+range (private, loopback, link-local, shared, documentation and other reserved ones keep what makes them so, public
+ones stay public), a card its first digit and a valid check digit, an IBAN its country and valid check digits, a mail
+address's domain its last label; a given name becomes one of the same gender and script, a family name a made-up one
+of the same script. Values are replaced alike wherever they stand, part by part, so mentions still corefer (Mr. A.
+Smith and Mr. Smith, two mail users of one host). Names found in a document are also replaced where they stand there
+without a title, as whole words or parts of hyphenated ones (Smith said; Smith's); a word that was found both as a
+family and as a given name counts as the former.
 
 Collision check: over all distinct values, two values of a type with the same surrogate, or a surrogate that is
 itself a value found in the texts, are given new ones from the next attempt of the key; checked again until none is
@@ -16,18 +20,23 @@ two more characters, phone numbers two more digits, and an address's octets may
 length grow only when they are nearly used up, after every 16 attempts: cards, social security numbers, IBANs and
 access keys by four characters, addresses by an octet.
 
-Scale: only documents with entities are joined to their surrogates; others pass by. Distinct values combine on the
-map side, so a value found in a third of all rows is one row a task, and the join on values is one that adaptive
-execution splits. Results: a null text stays null, an empty one empty; a text without entities is unchanged; repeated
-rows are replaced alike; all columns are kept; an empty table gives an empty result.
+Scale: the patterns run over each text once, into a stored table; only documents with entities are joined to their
+surrogates, others pass by. Distinct values combine on the map side, so a value found in a third of all rows is one
+row a task, and so do the contestants for a surrogate; a text that a large share of all rows holds meets its
+surrogates in salted copies. An attempt only works on the values that are still open. Results: a null text stays
+null, an empty one empty; a text without entities is unchanged; repeated rows are replaced alike; all columns are kept,
+whatever their names (the added ones get underscores where the input has their names); an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.shared import stored
+from faultlens.llm.shared import delete, fresh, joined_hot, stored
 
 # Titles by gender, and given names by gender and script
 TITLES_M = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Sr", "господин", "г-н"]
@@ -51,13 +60,19 @@ _TITLE = "|".join(sorted([*TITLES_M, *TITLES_F, *TITLES_N], key=len, reverse=Tru
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*\"?)[^\s\"<>|&*!?$%#,;]{6,}"
 ACCESS = r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"
-IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)"
+IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?!\w)"
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
-PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)|\d{2,4})[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
+PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
 NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.?[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{0,3}}"
-HINT = rf"[0-9@=:]|(?:{_TITLE})\.?[ \u00a0]\p{{Lu}}"  # every entity has one of these; quick to search for
+HINT = rf"[0-9@=:]|AKIA|ASIA|(?:{_TITLE})\.?[ \u00a0]\p{{Lu}}"  # every entity has one of these; quick to search for
+WORD = r"\p{L}+(?:[-'’]\p{L}+)*|[^\p{L}]+"
+# IPv4 ranges that are not public, by the octets that make them so; (first, second from, second to)
+RANGES_1 = [0, 10, 127, *range(224, 256)]
+RANGES_2 = [(100, 64, 127), (169, 254, 254), (172, 16, 31), (192, 168, 168), (198, 18, 19)]
+RANGES_3 = ["192.0.0", "192.0.2", "192.88.99", "198.51.100", "203.0.113"]
+PUBLIC_3 = [o for o in range(101, 224) if o not in (127, 169, 172, 192, 198, 203)]
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS, NAME, IBAN, IP, SSN, CARD, PHONE))
 
 
@@ -68,6 +83,13 @@ def luhn(number: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + F.coalesce(x, F.lit(0))) % 10 == 0
 
 
+def mod97(number: Column) -> Column:
+    """The remainder of a number whose letters stand for 10 to 35; spaces do not count."""
+    chars = F.filter(F.split(F.translate(number, " ", ""), ""), lambda c: c != "")
+    step = lambda a, c: F.when(c.between("0", "9"), (a * 10 + F.ascii(c) - 48) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(chars, F.lit(0), step)
+
+
 def _part(kind: Column | str, value: Column) -> Column:
     return F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), value.alias("value"))
 
@@ -156,22 +178,34 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
 def _surrogate(kind: Column, value: Column, attempt: Column, stream: Column, shaped: Column) -> Column:
     number = lambda at, n: F.pmod(F.conv(F.substring(stream, at, 6), 16, 10).cast("int"), F.lit(n))
     octet = lambda i, n: F.pmod(F.conv(F.substring(stream, i * 6 + 1, F.lit(6)), 16, 10).cast("int"), F.lit(n))
-    octets = F.array_join(
-        F.transform(
-            F.split(value, r"\."),
-            lambda o, i: F.when(F.length(o) == 1, octet(i, 9) + 1).when(F.length(o) == 2, octet(i, 90) + 10).otherwise(octet(i, 155) + 100).cast("string"),
-        ),
-        ".",
-    )
     first = F.substring(value, 1, 1)
     grown, late = F.floor(attempt / 4).cast("int"), F.floor(attempt / 16).cast("int")
     digits = lambda n: F.substring(F.translate(F.substring(stream, F.lit(129), F.lit(128)), "abcdef", "012345"), F.lit(1), n)
-    any_octets = F.array_join(F.transform(F.sequence(F.lit(0), late + 3), lambda i: (octet(i, 254) + 1).cast("string")), ".")
+    own_octets = F.split(value, r"\.")
+    near = lambda i: F.try_element_at(own_octets, i + 1).cast("int")
+    first_two = [F.when((near(F.lit(0)) == a) & near(F.lit(1)).between(low, high), octet(F.lit(1), high - low + 1) + low) for a, low, high in RANGES_2]
+    kept = F.when(F.array_join(F.slice(own_octets, 1, 3), ".").isin(RANGES_3), 3).when(near(F.lit(0)).isin(RANGES_1), 1).otherwise(0)
+
+    def octets(sized: Column, most: Column) -> Column:
+        """An address in the range of value's; sized: whether octets keep their lengths."""
+        public = F.element_at(F.array(*[F.lit(o) for o in PUBLIC_3]), octet(F.lit(0), len(PUBLIC_3)) + 1)
+        leads = [F.when(F.length(own_octets[0]) == 1, octet(F.lit(0), 9) + 1).when(F.length(own_octets[0]) == 2, octet(F.lit(0), 89) + 11).otherwise(public), octet(F.lit(0), 9) + 1]
+
+        def one(i: Column, kept_: Column, ranged: Column) -> Column:
+            long_ = F.length(F.coalesce(F.try_element_at(own_octets, i + 1), F.lit("0")))
+            plain = F.when(sized & (long_ == 1), octet(i, 9) + 1).when(sized & (long_ == 2), octet(i, 90) + 10).when(sized, octet(i, 155) + 100).otherwise(octet(i, 254) + 1)
+            lead = F.when(ranged.isNotNull(), near(F.lit(0))).when(sized, leads[0]).otherwise(F.when(octet(F.lit(9), 2) == 0, public).otherwise(leads[1]))
+            return F.when(i < kept_, near(i)).when(i == 0, lead).when((i == 1) & ranged.isNotNull(), ranged).otherwise(plain).cast("string")
+
+        each = lambda r: F.transform(F.sequence(F.lit(0), most), lambda i: one(i, kept, r))
+        return F.array_join(_let(F.coalesce(*first_two), each), ".")
+
     card_body = F.concat(first, F.substring(shaped, F.lit(2), F.length(shaped) - 2), digits(late * 4))
     check = lambda body: F.coalesce(*[F.when(luhn(F.concat(body, F.lit(str(d)))), F.lit(str(d))) for d in range(10)])
     phone = F.concat(F.regexp_extract(value, r"^(\+\d{1,3})?", 0), F.substring(shaped, F.length(F.regexp_extract(value, r"^(\+\d{1,3})?", 0)) + 1, F.length(shaped)), digits(grown * 2))
     access = F.concat(F.substring(value, 1, 4), F.substring(shaped, F.lit(5), F.length(shaped)), digits(late * 4))
-    iban = F.concat(F.substring(value, 1, 2), F.substring(shaped, F.lit(3), F.length(shaped)), digits(late * 4))
+    country, account = F.substring(value, 1, 2), F.concat(F.substring(shaped, F.lit(5), F.length(shaped)), digits(late * 4))
+    iban = _let(account, lambda x: F.concat(country, F.lpad((98 - mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
     script = _script(value)
 
     def chosen(lists: dict[str, list[str]], at: int | Column) -> Column:
@@ -193,7 +227,7 @@ def _surrogate(kind: Column, value: Column, attempt: Column, stream: Column, sha
     longer = F.concat(shaped, extra)
     host = F.concat(F.regexp_replace(shaped, r"\.$", ""), extra, F.lit("."))
     return (
-        F.when(kind == "ip", F.when(grown == 0, octets).otherwise(any_octets))
+        F.when(kind == "ip", octets(grown == 0, late + 3))
         .when(kind == "card", _let(card_body, lambda body: F.concat(body, check(body))))
         .when(kind == "phone", phone)
         .when(kind == "access", access)
@@ -206,53 +240,74 @@ def _surrogate(kind: Column, value: Column, attempt: Column, stream: Column, sha
     )
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """The rows of docs that have entities, with `_found` (array of matches) and `_parts` (array of arrays)."""
-    some = docs.where(F.col("text").rlike(HINT)).where(F.col("text").rlike(ENTITY))
-    return some.withColumn("_found", F.regexp_extract_all("text", F.lit(ENTITY), F.lit(0))).withColumn("_parts", F.transform("_found", parts))
+def entities(text: Column) -> Column:
+    """The matches in a text, in order; an empty array for none and for a null text."""
+    none = F.array().cast("array<string>")
+    return F.when(F.coalesce(text.rlike(HINT), F.lit(False)), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
 def dictionary(values: DataFrame, key: str, most_attempts: int = 64) -> DataFrame:
     """kind, value, surrogate: one to one within a kind, and no surrogate is a value of its kind."""
+    spark, settled, places = values.sparkSession, [], []
     real = values.select("kind", F.col("value").alias("surrogate")).distinct()
-    settled = None
-    open_ = values.select("kind", "value", F.lit(0).alias("attempt"))
-    new = surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key)
-    for _ in range(most_attempts):
-        made = open_.withColumn("surrogate", new).withColumn("open", F.lit(True))
-        every = made if settled is None else made.unionByName(settled.withColumn("open", F.lit(False)))
-        first = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("open", "value"))
-        taken = real.withColumn("taken", F.lit(True))
-        checked, _ = stored(every.withColumn("nth", first).join(taken, ["kind", "surrogate"], "left").withColumn("good", ~F.col("open") | ((F.col("nth") == 1) & F.col("taken").isNull())), "surrogates")
-        settled = checked.where("good").select("kind", "value", "attempt", "surrogate")
-        open_ = checked.where("not good").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+    open_ = values.select("kind", "value").distinct()
+    for attempt in range(most_attempts):
+        new = surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)
+        first = open_.withColumn("surrogate", new).groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
+        for taken in (real, *settled):
+            first = first.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        won, _ = stored(first.select("kind", "value", "surrogate"), "surrogates")
+        settled.append(won)
+        open_, place = stored(open_.join(won, ["kind", "value"], "left_anti"), "surrogates-open")
+        places.append(place)
         if open_.isEmpty():
-            return settled.select("kind", "value", "surrogate")
+            for place in places:
+                delete(spark, place)
+            return reduce(DataFrame.unionByName, settled)
     raise RuntimeError("values without a surrogate of their own are left")
 
 
+def _looked_up(word: Column, known: Column) -> Column:
+    """The surrogate of a word that is a name in the map `known` of (kind, value), preferring family names."""
+    return F.coalesce(*[F.try_element_at(known, F.concat_ws("\u0001", F.lit(k), word)) for k in ("family", "given_m", "given_f", "given_n")])
+
+
+def _without_names(literal: Column, known: Column) -> Column:
+    """Text between entities with the names of the map replaced where they are whole words or parts of such."""
+    piece = lambda p: F.coalesce(_looked_up(p, known), p)
+    parts_ = lambda w: F.array_join(F.transform(F.regexp_extract_all(w, F.lit(r"\p{L}+|[^\p{L}]"), F.lit(0)), piece), "")
+    word = lambda w: F.when(~w.rlike(r"^\p{Lu}"), w).otherwise(F.coalesce(_looked_up(w, known), F.when(w.rlike("[-'’]"), parts_(w)), w))
+    return F.array_join(F.transform(F.regexp_extract_all(literal, F.lit(WORD), F.lit(0)), word), "")
+
+
 def replaced(docs: DataFrame, key: str = "surrogates", keep_counts: bool = True) -> DataFrame:
     """docs with their text replaced, and (keep_counts) n_entities and kinds (array of the kinds of values)."""
-    columns = docs.columns
-    found, _ = stored(entities(docs).withColumn("_key", F.sha2("text", 256)), "entity-rows")
-    each = found.select("_key", F.explode(F.array_distinct(F.flatten("_parts"))).alias("p")).where("p.kind <> ''").select("_key", "p.kind", "p.value").distinct()
+    found, row, split, known, kinds = fresh(docs, "found", "key", "parts", "map", "kinds")
+    added = ["n_entities", "kinds"]
+    for i in range(2):
+        while added[i].lower() in {c.lower() for c in docs.columns}:
+            added[i] += "_"
+    tagged, _ = stored(docs.withColumn(found, entities(F.col("text"))), "entity-tags")
+    some = tagged.where(F.size(found) > 0).withColumn(split, F.transform(found, parts)).withColumn(row, F.sha2("text", 256))
+    each = some.select(row, F.explode(F.array_distinct(F.flatten(split))).alias("p")).where("p.kind <> ''").select(row, "p.kind", "p.value").distinct()
     each, _ = stored(each, "entities")
     names = dictionary(each.select("kind", "value").distinct(), key)
     maps = (
         each.join(names, ["kind", "value"])
-        .groupBy("_key")
-        .agg(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "value"), "surrogate")).alias("m"), F.array_sort(F.collect_set("kind")).alias("_kinds"))
-        .select("_key", F.map_from_entries("m").alias("_map"), "_kinds")
+        .groupBy(row)
+        .agg(F.collect_list(F.struct(F.concat_ws("\u0001", "kind", "value"), "surrogate")).alias("m"), F.array_sort(F.collect_set("kind")).alias(kinds))
+        .select(row, F.map_from_entries("m").alias(known), kinds)
     )
     said = lambda match: F.array_join(
-        F.transform(match, lambda p: F.when(p["kind"] == "", p["value"]).otherwise(F.try_element_at(F.col("_map"), F.concat_ws("\u0001", p["kind"], p["value"])))), ""
+        F.transform(match, lambda p: F.when(p["kind"] == "", p["value"]).otherwise(F.try_element_at(F.col(known), F.concat_ws("\u0001", p["kind"], p["value"])))), ""
     )
-    changed = found.join(maps, "_key", "left").withColumn("_new", F.transform("_parts", said)).withColumn("_rest", F.split("text", ENTITY, -1))
-    text = F.array_join(F.zip_with("_rest", "_new", lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-    counted = F.size(F.filter("_parts", lambda m: F.exists(m, lambda p: p["kind"] != "")))
-    extra = [F.when(F.col("_map").isNull(), 0).otherwise(counted).alias("n_entities"), F.coalesce("_kinds", F.array().cast("array<string>")).alias("kinds")] if keep_counts else []
-    new = changed.select(*[(F.when(F.col("_map").isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(c)) for c in columns], *extra)
-    none = [F.lit(0).alias("n_entities"), F.array().cast("array<string>").alias("kinds")] if keep_counts else []
-    has = F.when(F.coalesce(F.col("text").rlike(HINT), F.lit(False)), F.col("text").rlike(ENTITY)).otherwise(F.lit(False))
-    rest = docs.where(~has).select(*columns, *none)
-    return new.unionByName(rest)
+    changed = joined_hot(some, maps, row)
+    has_name = F.exists(F.col(kinds), lambda k: (k == "family") | k.startswith("given_"))
+    literals = F.split("text", ENTITY, -1)
+    literals = F.when(has_name, F.transform(literals, lambda t: _without_names(t, F.col(known)))).otherwise(literals)
+    text = F.array_join(F.zip_with(literals, F.transform(split, said), lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    counted = F.size(F.filter(split, lambda m: F.exists(m, lambda p: p["kind"] != "")))
+    extra = [F.when(F.col(known).isNull(), 0).otherwise(counted).alias(added[0]), F.coalesce(kinds, F.array().cast("array<string>")).alias(added[1])] if keep_counts else []
+    new = changed.select(*[(F.when(F.col(known).isNull(), F.col("text")).otherwise(text).alias("text") if c == "text" else F.col(f"`{c}`")) for c in docs.columns], *extra)
+    none = [F.lit(0).alias(added[0]), F.array().cast("array<string>").alias(added[1])] if keep_counts else []
+    return new.unionByName(tagged.where(F.size(found) == 0).select(*[F.col(f"`{c}`") for c in docs.columns], *none))
