@@ -3,12 +3,16 @@
 A text is a sequence of words (runs of ASCII letters and bytes above 127, A-Z lower-cased). A word's vector is the
 sum of the hashed embeddings of the word and of its first 4 and 5 bytes. Filters of widths 1, 2 and 3 run over the
 sequence, each filter's maximum over the text is kept, and a logistic layer makes the score, so whole texts of any
-length count. Scores are shifted so that 0.5 separates best on labelled rows kept from training; a threshold for
-each language is chosen on the same rows (the language is no input of the score).
+length count. Of the labelled rows a quarter, by a hash of doc_id, calibrates and is never trained on. All of it is
+scored and counted by language, label and score: scores are shifted so that 0.5 separates its labels best, and each
+language gets the threshold that does so for it (the language is no input of the score). The counts of all languages
+together, scaled down to PRIOR rows, are added to a language's own, so the fewer rows it has the nearer its threshold
+is to 0.5; a language without labelled rows has 0.5.
 
-The model is fitted on the driver from a bounded sample of labelled rows: at most max_rows, equally many of both
-labels where there are enough, of at most max_chars code points each (TrainingBounds). Rows with
-crc32(doc_id as text) % 5 = 0 are never used. It has a fixed size (about 3 MB) and is sent to the executors.
+The model is fitted on the driver from a bounded sample of the other labelled rows: at most max_rows, equally many of
+both labels where there are enough, of at most max_chars code points each (TrainingBounds). Rows with
+crc32(doc_id as text) % 5 = 0 are never used. It has a fixed size (about 3 MB) and is sent to the executors. Of the
+calibration one row for each language, label and one of 3001 scores reaches the driver.
 
 Results: a null or empty text has no words and gets the score of an empty sequence; repeated rows are scored each; a
 label or doc_id that is null is not learnt from; without labelled rows of both kinds every score is the share of
@@ -30,6 +34,8 @@ from faultlens.llm.shared import by_bytes, trimmed
 from faultlens.llm.wordhash import flatten, spans
 
 STEP = 2 << 20
+PRIOR = 40
+BINS = 50  # scores counted for each unit of the logit, from -30 to 30
 BUCKETS = 1 << 16
 DIM = 12
 WIDTHS = (1, 2, 3)
@@ -143,19 +149,14 @@ def _warm(buckets: list[np.ndarray], labels: np.ndarray, rng: np.random.Generato
     return out
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 11, epochs: int = 6, rate: float = 0.02) -> Model:
-    """Train on three rows of four and calibrate on the fourth. Deterministic for the same rows in the same order."""
+def fit(texts: list[str], labels: list[int], seed: int = 11, epochs: int = 6, rate: float = 0.02) -> Model:
+    """Train on the rows. Deterministic for the same rows in the same order."""
     y = np.array(labels, dtype=np.int64)
     if len(np.unique(y)) < 2:
         return Model(np.zeros((1, DIM), np.float32), [], [], np.zeros(0), 0.0, constant=float(y.mean()) if len(y) else 0.0)
     rng = np.random.default_rng(seed)
-    raw = [t.encode() for t in texts]
-    held = np.zeros(len(y), dtype=bool)
-    for label in (0, 1):
-        own = rng.permutation(np.flatnonzero(y == label))
-        held[own[: len(own) // 4]] = True
-    train = np.flatnonzero(~held)
-    buckets = [features([t])[0] for t in raw]
+    train = np.arange(len(y))
+    buckets = [features([t.encode()])[0] for t in texts]
     model = _Trained(
         _warm([buckets[i] for i in train], y[train], rng),
         [rng.normal(0, 0.1, (w * DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
@@ -208,27 +209,30 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int
                 np.add.at(g, inverse, np.concatenate(values))
                 squares[row] += (g * g).mean(axis=1)
                 model.embedding[row] -= (rate * g / (np.sqrt(squares[row]) + 1e-8)[:, None]).astype(np.float32)
-    plain = Model(model.embedding, model.filters, model.offsets, model.weights, float(model.bias))
-    out = plain.logits([raw[i] for i in np.flatnonzero(held)])
-    plain.shift = best_cut(out, y[held])
-    lang = np.array([l if l is not None else "" for l in langs], dtype=object)[held]
-    for name in sorted(set(lang)):
-        own = lang == name
-        cut = best_cut(out[own], y[held][own], plain.shift) - plain.shift if len(np.unique(y[held][own])) == 2 and own.sum() >= 40 else 0.0
-        plain.thresholds[name] = float(1 / (1 + np.exp(-cut)))
-    return plain
-
-
-def best_cut(logits: np.ndarray, y: np.ndarray, near: float | None = None) -> float:
-    """The cut with the fewest errors, weighing both labels alike. Among equals: `near` where it is one of them, or
-    else the middle of the gap nearest to it; the middle of the widest gap where no `near` is given."""
-    order = np.argsort(logits, kind="stable")
-    x, t = logits[order], y[order]
-    pos, neg = max(1, int(t.sum())), max(1, int((1 - t).sum()))
-    missed = np.concatenate(([0], np.cumsum(t))) / pos
-    false = (neg - np.concatenate(([0], np.cumsum(1 - t)))) / neg
+    return Model(model.embedding, model.filters, model.offsets, model.weights, float(model.bias))
+
+
+def calibrate(model: Model, counts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Set shift and thresholds from each language's counts: ascending logits, rows with label 1 and label 0 there."""
+    values, inverse = np.unique(np.concatenate([c[0] for c in counts.values()]) if counts else np.zeros(0), return_inverse=True)
+    pos, neg = (np.bincount(inverse, weights=np.concatenate([c[k] for c in counts.values()]) if counts else None, minlength=len(values)) for k in (1, 2))
+    if not pos.sum() or not neg.sum():
+        return
+    model.shift = best_cut(values, pos, neg)
+    scale = PRIOR / (pos.sum() + neg.sum())
+    for name, (own, own_pos, own_neg) in sorted(counts.items()):
+        at = np.searchsorted(values, own)
+        cut = best_cut(values, pos * scale + np.bincount(at, own_pos, len(values)), neg * scale + np.bincount(at, own_neg, len(values)), model.shift)
+        model.thresholds[name] = float(1 / (1 + np.exp(-(cut - model.shift))))
+
+
+def best_cut(values: np.ndarray, pos: np.ndarray, neg: np.ndarray, near: float | None = None) -> float:
+    """The cut of ascending values with the fewest errors, weighing both labels alike. Among equals: `near` where it is
+    one of them, or else the middle of the gap nearest to it; the middle of the widest gap where no `near` is given."""
+    missed = np.concatenate(([0], np.cumsum(pos))) / pos.sum()
+    false = 1 - np.concatenate(([0], np.cumsum(neg))) / neg.sum()
     loss = missed + false
-    edge = np.concatenate(([x[0] - 2], x, [x[-1] + 2]))
+    edge = np.concatenate(([values[0] - 2], values, [values[-1] + 2]))
     low, high = edge[:-1], edge[1:]
     ties = np.flatnonzero(loss <= loss.min() + 1e-12)
     if near is None:
@@ -247,21 +251,50 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
+def _calibrates(doc_id: Column) -> Column:
+    return F.pmod(F.xxhash64(doc_id, F.lit(23)), F.lit(4)) == 0
+
+
 def train(docs: DataFrame, labels: DataFrame, bounds: TrainingBounds = TrainingBounds()) -> Model:
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)").where(remainder(F.col("doc_id")) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    texts = docs.select("doc_id", "text", lang.alias("lang")).where(F.length("text") <= bounds.max_chars)
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    texts = docs.select("doc_id", "text", F.coalesce(lang, F.lit("")).alias("lang"))
     # the sample is picked by doc_id before texts are joined to it; twice the rows, as some are too long or absent
     order = F.xxhash64("doc_id", F.lit(5))
-    some = [known.where(F.col("toxic") == y).orderBy(order, "doc_id").limit(bounds.max_rows) for y in (0, 1)]
+    some = [known.where((F.col("toxic") == y) & ~_calibrates(F.col("doc_id"))).orderBy(order, "doc_id").limit(bounds.max_rows) for y in (0, 1)]
     picked = some[0].unionByName(some[1])  # 2 * max_rows small rows
-    found = texts.join(F.broadcast(picked), "doc_id").withColumn("order", order)
+    found = texts.where(F.length("text") <= bounds.max_chars).join(F.broadcast(picked), "doc_id").withColumn("order", order)
     half = bounds.max_rows // 2
     rows = []
     for y in (0, 1):
         rows += found.where(F.col("toxic") == y).orderBy("order", "doc_id", "text").limit(half).collect()
     rows.sort(key=lambda r: (r["order"], r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], [r["lang"] for r in rows])
+    model = fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    if model.constant is None:
+        calibrate(model, _counts(texts, known.where(_calibrates(F.col("doc_id"))), model))
+    return model
+
+
+def _counts(texts: DataFrame, known: DataFrame, model: Model) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """What `calibrate` takes, over all labelled rows kept for it. Texts are scored before labels are joined to them,
+    so none of them is moved."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    @trimmed
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches, "text", STEP):
+            made = shared.value.logits([(t or "").encode() for t in batch.column("text").to_pylist()])
+            at = np.rint(np.clip(made, -30, 30) * BINS).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(at)], ["doc_id", "lang", "at"])
+
+    kept = texts.where((remainder(F.col("doc_id")) != 0) & _calibrates(F.col("doc_id")))
+    scored = kept.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, lang string, at int")
+    one = F.count(F.when(F.col("toxic") == 1, 1))
+    rows = scored.join(known, "doc_id").groupBy("lang", "at").agg(one.alias("pos"), (F.count(F.lit(1)) - one).alias("neg")).collect()
+    by: dict[str, list] = {}
+    for r in sorted(rows):
+        by.setdefault(r["lang"], []).append((r["at"] / BINS, r["pos"], r["neg"]))
+    return {name: tuple(np.array(c, dtype=np.float64) for c in zip(*own, strict=True)) for name, own in by.items()}
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

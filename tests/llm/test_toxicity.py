@@ -66,3 +66,58 @@ def test_labels_of_one_kind_and_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r["score"] for r in tx.score(docs, tx.train(docs, none)).collect()} == {0.0}
     assert tx.score(docs.limit(0), tx.train(docs.limit(0), none)).collect() == []
+
+
+def test_cuts_match_a_plain_search():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        values = np.unique(rng.integers(-20, 20, 12)) / 4
+        pos, neg = rng.integers(0, 4, (2, len(values)))
+        if not pos.sum() or not neg.sum():
+            continue
+        loss = lambda cut: pos[values < cut].sum() / pos.sum() + neg[values >= cut].sum() / neg.sum()  # noqa: E731, B023
+        best = min(loss(c) for c in [values[0] - 1, *(values + 0.125)])
+        for near in (None, 0.05, -3.1):
+            cut = tx.best_cut(values, pos, neg, near)
+            assert abs(loss(cut) - best) < 1e-9
+            if near is not None and loss(near) <= best + 1e-12:
+                assert cut == near
+
+
+def test_thresholds_follow_a_languages_rows_and_shrink_without_them():
+    values = np.arange(-40, 41) / 10.0
+    own = lambda cut, n: (values, n * (values >= cut).astype(float), n * (values < cut).astype(float))
+    model = tx.Model(np.zeros((1, tx.DIM), np.float32), [], [], np.zeros(0), 0.0)
+    tx.calibrate(model, {"big": own(0.0, 50), "many": own(2.0, 20), "few": (np.array([1.9]), np.array([0.0]), np.array([1.0]))})
+    assert abs(model.shift) < 0.2 and model.thresholds["many"] > 0.8 and abs(model.thresholds["big"] - 0.5) < 0.05 and abs(model.thresholds["few"] - 0.5) < 0.05
+    none = tx.Model(np.zeros((1, tx.DIM), np.float32), [], [], np.zeros(0), 0.0)
+    tx.calibrate(none, {})
+    assert none.shift == 0 and none.thresholds == {}
+
+
+def test_calibration_counts_every_kept_row(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(d, t, l) for d, t, l, _ in rows], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int")
+    model = tx.train(docs, labels)
+    usable = labels.where(tx.remainder(labels["doc_id"]) != 0)
+    counts = tx._counts(docs, usable.where(tx._calibrates(labels["doc_id"])), model)
+    kept = {r["doc_id"] for r in usable.where(tx._calibrates(labels["doc_id"])).collect()}
+    for name in ("en", "de"):
+        own = [r for r in rows if r[0] in kept and r[2] == name]
+        assert counts[name][1].sum() == sum(y for *_, y in own) and counts[name][2].sum() == sum(1 - y for *_, y in own)
+        logits = model.logits([t.encode() for _, t, _, _ in own])
+        expected = {}
+        for x in logits:
+            expected[round(np.rint(x * tx.BINS) / tx.BINS, 9)] = expected.get(round(np.rint(x * tx.BINS) / tx.BINS, 9), 0) + 1
+        assert {round(v, 9): p + n for v, p, n in zip(*counts[name], strict=True)} == expected
+
+
+def test_very_long_text(spark):
+    rows = corpus(300)
+    docs = spark.createDataFrame([(d, t, l) for d, t, l, _ in rows], "doc_id long, text string, lang string")
+    model = tx.train(docs, spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int"))
+    calm = "word after word " * 200_000
+    long_ = spark.createDataFrame([(1, calm, "en"), (2, calm + "rotten", "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["score"] for r in tx.score(long_, model).collect()}
+    assert got[2] > got[1] and got[2] >= 0.5
