@@ -107,7 +107,7 @@ def _(s, d):
 @query("g18_graph_edges", """SELECT 'FIXES' AS relation, 'Commit' AS source_label, CAST(l_orderkey AS VARCHAR) AS source, 'Bug' AS target_label, CAST(l_partkey AS VARCHAR) AS target FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus <> 'P' AND p_size > 5""")
 def _(s, d):
     e = t(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    vertices = {"Commit": (t(s, d, "orders").where("o_orderstatus <> 'P'"), "o_orderkey", [F.col("o_orderpriority")]), "Bug": (t(s, d, "part").where("p_size > 5"), "p_partkey", [F.col("p_name")])}
+    vertices = {"Commit": (t(s, d, "orders").where("o_orderstatus <> 'P'"), "o_orderkey", ["o_orderpriority"]), "Bug": (t(s, d, "part").where("p_size > 5"), "p_partkey", ["p_name"])}
     return graph.property_graph(vertices, {"FIXES": (e, "Commit", "l_orderkey", "Bug", "l_partkey")})[1]
 
 

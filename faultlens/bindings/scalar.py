@@ -126,7 +126,7 @@ def _(s, d):
 def _(s, d):
     trace = "[  12.3] Call Trace:\n <TASK>\n [  12.4]  foo_bar+0x12/0x34 [mod]\n baz_qux+0x1/0x2\n ? dump_stack+0x1/0x2\n third_fn+0x9/0x10 fs/x.c:123\n"
     rows = Literal("id int, trace string", [(1, trace), (2, trace.replace("0x12", "0x99").replace("12.", "55.")), (3, "nothing"), (4, None)])
-    return rows.df(s).select("id", stack.signature(F.col("trace")).alias("signature"), stack.extract_trace("trace").alias("block"))
+    return rows.df(s).select("id", stack.signature(F.col("trace")).alias("signature"), stack.extract_trace(F.col("trace")).alias("block"))
 
 
 @query("x45_overlap_of_texts", r"""WITH l AS (SELECT item_id, text FROM benchmark), d AS (SELECT doc_id, text FROM documents),

@@ -13,7 +13,10 @@ KEYWORDS = [
     "default", "endif", "ifdef", "ifndef", "elif", "include", "pragma", "the", "The", "This", "this", "and", "or", "not",
     "is", "Description", "TODO", "FIXME", "XXX",
 ]
+# Fixed patterns: names, and the lines that begin a file's part and a hunk of a diff
 IDENTIFIER = "[A-Za-z_][A-Za-z0-9_]*"
+FILE = r"^diff --git a/(.+?) b/.+?$"
+HUNK = r"^@@\s+-\d+(?:,\d+)?\s+\+\d+(?:,\d+)?\s+@@\s*(.*)$"
 
 
 def plausible(token: Column) -> Column:
@@ -38,13 +41,12 @@ def symbol(context: Column) -> Column:
 def diff_symbols(diffs: DataFrame, key: str, text: str, sentinel: str = "__NONE__") -> DataFrame:
     """key, file, symbol, kind: one row for each symbol of each file; a diff without any has one sentinel row."""
     lines = diffs.select(F.col(key), F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("at", "line"))
-    name = F.nullif(F.regexp_extract("line", r"^diff --git a/(.+?) b/.+?$", 1), F.lit(""))
+    name = F.nullif(F.regexp_extract("line", FILE, 1), F.lit(""))
     w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    hunk = r"^@@\s+-\d+(?:,\d+)?\s+\+\d+(?:,\d+)?\s+@@\s*(.*)$"
     found = (
         lines.withColumn("file", F.last(name, ignorenulls=True).over(w))
-        .where(F.col("line").rlike(hunk) & F.col("file").isNotNull())
-        .withColumn("s", symbol(F.regexp_extract("line", hunk, 1)))
+        .where(F.col("line").rlike(HUNK) & F.col("file").isNotNull())
+        .withColumn("s", symbol(F.regexp_extract("line", HUNK, 1)))
         .where("s.symbol is not null")
         .groupBy(key, "file", F.col("s.symbol").alias("symbol"))
         .agg(F.min_by("s.kind", "at").alias("kind"))

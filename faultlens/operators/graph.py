@@ -2,24 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultlens.session import checkpointed
 
-def thread_roots(messages: DataFrame, key: str, parent: str, most_rounds: int = 40) -> DataFrame:
-    """key, root, depth_known: the thread of every message by pointer jumping, so a chain of n replies takes log n
-    rounds. A missing parent makes its child a root; members of a cycle take the cycle's smallest key."""
-    known = messages.select(F.col(key).alias("_k"))
-    hop = messages.select(F.col(key).alias("node"), F.col(parent).alias("up"))
-    hop = hop.join(known, F.col("up") == F.col("_k"), "left").select("node", F.coalesce("_k", "node").alias("up"))
-    for _ in range(most_rounds):
-        hop = hop.checkpoint() if hop.sparkSession.sparkContext.getCheckpointDir() else hop.cache()
-        nxt = hop.alias("a").join(hop.select(F.col("node").alias("n2"), F.col("up").alias("u2")).alias("b"), F.col("a.up") == F.col("b.n2")).select(F.col("a.node").alias("node"), F.col("b.u2").alias("up"))
-        moved = nxt.join(hop.select(F.col("node").alias("n3"), F.col("up").alias("u3")), (F.col("node") == F.col("n3")) & (F.col("up") != F.col("u3")))
-        if moved.isEmpty():
-            break
-        hop = nxt
-    return hop.select(F.col("node").alias(key), F.col("up").alias("root"))
+
+def thread_roots(messages: DataFrame, key: str, parent: str) -> DataFrame:
+    """key, root: the thread of every message by pointer jumping, so a chain of n replies takes log n rounds. A missing
+    parent makes its child a root; members of a cycle, and what hangs on one, take the cycle's smallest key.
+
+    After round r a message knows its ancestor 2**r steps up and the smallest key it met up to there. Chains have then
+    come to their roots; whatever still moves after log2(n) rounds is on a cycle or leads into one, its ancestor stands
+    on the cycle and has seen all of it."""
+    known = messages.select(F.col(key).alias("_k")).distinct()
+    hop = messages.select(F.col(key).alias("node"), F.col(parent).alias("up")).join(known, F.col("up") == F.col("_k"), "left")
+    hop = checkpointed(hop.select("node", F.coalesce("_k", "node").alias("up"), F.least("node", F.coalesce("_k", "node")).alias("low")))
+    ahead = lambda: hop.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
+    for _ in range(max(1, hop.count().bit_length())):
+        nxt = checkpointed(hop.join(ahead(), "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), (F.col("up") != F.col("up2")).alias("moved")))
+        hop = nxt.drop("moved")
+        if nxt.where("moved").isEmpty():
+            return hop.select(F.col("node").alias(key), F.col("up").alias("root"))
+    rooted = ahead().select("up", F.when(F.col("up") == F.col("up2"), F.col("up")).otherwise(F.col("low2")).alias("root"))
+    return hop.join(rooted, "up").select(F.col("node").alias(key), "root")
 
 
 def link(refs: DataFrame, ref: str, index: DataFrame, index_key: str, link_type: str, confidence: float) -> DataFrame:
@@ -28,12 +34,12 @@ def link(refs: DataFrame, ref: str, index: DataFrame, index_key: str, link_type:
     return found.select("source", "target", F.lit(link_type).alias("link_type"), F.lit(confidence).alias("confidence")).distinct()
 
 
-def property_graph(vertices: dict[str, tuple[DataFrame, str, list[Column]]], edges: dict[str, tuple[DataFrame, str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(vertices: label, id, properties map; edges: relation, source_label, source, target_label, target). Edges keep
+def property_graph(vertices: dict[str, tuple[DataFrame, str, list[str]]], edges: dict[str, tuple[DataFrame, str, str, str, str]]) -> tuple[DataFrame, DataFrame]:
+    """vertices: label -> (table, key, columns to keep as properties). (vertices: label, id, properties map; edges: relation, source_label, source, target_label, target). Edges keep
     only those with both ends, as a MATCH would."""
     v = None
     for label, (df, key, columns) in vertices.items():
-        pairs = [x for c in columns for x in (F.lit(c._jc.toString()), c.cast("string"))]
+        pairs = [x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]
         one = df.select(F.lit(label).alias("label"), F.col(key).cast("string").alias("id"), F.create_map(*pairs).alias("properties"))
         v = one if v is None else v.unionByName(one)
     e = None

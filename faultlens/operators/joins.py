@@ -64,6 +64,7 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], time: str, value: st
 
 
 def glob_match(path: Column, pattern: str) -> Column:
-    """MAINTAINERS-style globs: a trailing slash takes everything below, * stays inside... a path; all else is literal."""
+    """MAINTAINERS-style globs: a trailing slash takes everything below, * takes any run of characters, slashes too;
+    all else is literal."""
     quoted = "".join(".*" if c == "*" else f"\\Q{c}\\E" for c in pattern)
     return path.rlike(f"^{quoted}{'.*' if pattern.endswith('/') else ''}$")

@@ -24,3 +24,23 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "8g", app
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the fixture tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where that is unset, a session on one machine gets one under /tmp and any
+    other is refused, as its machines do not share one."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = "file:///tmp/checkpoints"
+    return (found if "://" in found else f"file://{found}").rstrip("/")
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared folder, its lineage cut."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

@@ -93,9 +93,28 @@ def test_stack_signature(spark):
     assert sign(TRACE) == expected == sign(TRACE.replace("0x12", "0xffff").replace("12.3456", "99.0"))
     assert sign(TRACE.replace("inet_ioctl+", "other_fn+", 2)) != expected
     assert sign("too little here") == "" and sign("") == ""
-    block = stack.trace_block("Hello\nsome text\n" + TRACE + "bye\n\n\n\n\nmore")
-    assert block.startswith("[   12.345680]  devinet") and "Hello" not in block
-    assert stack.trace_block("foo+0x1/0x2\nbar+0x1/0x2") is None and stack.trace_block(None) is None
+
+
+def plain_trace(text):
+    lines = text.splitlines()
+    frames = [i for i, line in enumerate(lines) if "+0x" in line]
+    best, k = None, 0
+    while k < len(frames):
+        own = [f for j, f in enumerate(frames[k:]) if f - frames[k] - j <= 3]
+        closed = len(lines) - frames[k] - len(frames[k:]) > 3
+        end = frames[k] + len(own) - 1 if closed else len(lines)
+        if best is None or len(own) > best[0]:
+            best = (len(own), frames[k], end)
+        k += len(own)
+    return "\n".join(lines[best[1] : best[2]]) if best and best[0] >= 3 else None
+
+
+def test_trace_in_free_text(spark):
+    texts = ["Hello\nsome text\n" + TRACE + "bye\n\n\n\n\nmore", "foo+0x1/0x2\nbar+0x1/0x2", "", "\n", "aa+0x1\r\nbb+0x2\x0bcc+0x3"]
+    rng = random.Random(3)
+    texts += ["\n".join(rng.choice(["word", "", f"fn_{i}+0x{i}/0x9", f"fn_{i}+0x{i}/0x9"]) for i in range(rng.randint(1, 40))) for _ in range(300)]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "i int, t string").select("i", stack.extract_trace(F.col("t")).alias("b")).collect()
+    assert {r["i"]: r["b"] for r in rows} == {-1: None} | {i: plain_trace(t) for i, t in enumerate(texts)}
 
 
 def test_log_events():

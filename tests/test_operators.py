@@ -33,6 +33,14 @@ def test_threads_do_not_depend_on_arrival(spark):
     assert got == {i: i - i % 7 for i in range(60)} | {100: 100, 101: 100}
 
 
+def test_threads_of_cycles(spark):
+    parents = {1: 2, 2: 1, 10: 11, 11: 12, 12: 10, 5: 10, 4: 5, 30: 30, 31: 30, 40: None, 41: 40} | {100 + i: 100 + (i + 1) % 37 for i in range(37)} | {90: 120}
+    rows = [(k, p) for k, p in parents.items()]
+    got = {r["k"]: r["root"] for r in graph.thread_roots(spark.createDataFrame(rows, "k long, p long"), "k", "p").collect()}
+    assert got == {1: 1, 2: 1, 10: 10, 11: 10, 12: 10, 5: 10, 4: 10, 30: 30, 31: 30, 40: 40, 41: 40} | {100 + i: 100 for i in range(37)} | {90: 100}
+    assert graph.thread_roots(spark.createDataFrame([], "k long, p long"), "k", "p").collect() == []
+
+
 def test_single_pass_tiers_equal_the_loop(spark):
     rng = random.Random(9)
     words = ["aa", "bb", "cc", "dd"]
