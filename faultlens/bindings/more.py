@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultlens.bindings.registry import Literal, query
+from faultlens.bindings.registry import Literal, expected, query
 from faultlens.functions import hardware, logs, stack, symbols, text
 from faultlens.operators import graph, joins, quality, ranking
 from faultlens.session import table as t
@@ -52,7 +52,7 @@ def _(s, d):
     return MESSAGE_IDS.df(s).select("id", text.clean_message_id(F.col("raw")).alias("message_id"))
 
 
-@query("x13_fix_hashes", None)
+@query("x13_fix_hashes", expected("id, hashes", ["1, ['1234567', 'abcdef1234567']", "2, ['7654321abc']", "3, ['8888888', '9999999aa']"]))
 def _(s, d):
     return FIXES.df(s).select("id", text.fix_hashes(F.array("url"), F.col("note")).alias("hashes"))
 
@@ -63,7 +63,7 @@ def _(s, d):
     return t(s, d, "events").select("event_id", F.to_date(text.timestamp_or_null(raw)).alias("day"))
 
 
-@query("x23_diff_symbols", None)
+@query("x23_diff_symbols", expected("hash, file, symbol, kind", ["'a', 'm.h', 'TWO', 'macro'", "'a', 'net/x.c', 'do_one', 'function'", "'b', '__NONE__', '__NONE__', 'sentinel'"]))
 def _(s, d):
     return symbols.diff_symbols(DIFFS.df(s), "hash", "diff")
 
@@ -82,7 +82,7 @@ def _(s, d):
     return mail.join(commit, "fp").select("patch", "commit_id", F.lit(1.0).alias("confidence"))
 
 
-@query("x27_fault_domains", None)
+@query("x27_fault_domains", expected("id, domain, confidence", ["2, 'deadlock', 0.8::DOUBLE", "2, 'network', 0.8", "3, 'oom', 0.8", "4, 'sched_anomaly', 0.8", "5, 'panic', 0.6"]))
 def _(s, d):
     return SUBJECTS.df(s).select("id", F.explode(logs.domain_tags(F.col("subject"), F.col("body"))).alias("g")).select("id", "g.*")
 
@@ -206,7 +206,19 @@ def _(s, d):
     return todo.join(found, "o_orderkey", "left").select(F.col("o_orderkey").alias("hash"), F.coalesce("symbol", F.lit("__NONE__")).alias("symbol"))
 
 
-@query("g17_signatures_of_texts", None)
+def _signature(text: str) -> str:
+    """SQL of a trace's signature, step by step with the lists of the column functions."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    opens = " OR ".join([f"trim(l) IN ({', '.join(map(quoted, stack.MARKERS))})", *(f"starts_with(trim(l), {quoted(o)})" for o in stack.OPENINGS)])
+    line = "l"
+    for pattern in stack.VOLATILE:
+        line = f"regexp_replace({line}, {quoted(pattern)}, '', 'g')"
+    words = rf"flatten([regexp_extract_all(trim({line}), '\b([a-z_][a-z0-9_]{{3,}})\b', 1) FOR l IN string_split_regex(coalesce({text}, ''), '\r?\n') IF NOT ({opens})])"
+    return f"[x FOR x IN {words} IF x NOT IN ({', '.join(map(quoted, stack.PLUMBING + stack.NO_FRAMES))})]"
+
+
+@query("g17_signatures_of_texts", f"""WITH n AS (SELECT conv_id, turn, {_signature('text')} AS w FROM conversations), f AS (SELECT conv_id, turn, [x FOR x, i IN w IF list_position(w, x) = i][1:4] AS k FROM n)
+ SELECT conv_id, turn, CASE WHEN len(k) < 3 THEN '' ELSE left(sha256(array_to_string(k, '|')), 32) END AS signature FROM f""")
 def _(s, d):
     return t(s, d, "conversations").select("conv_id", "turn", stack.signature(F.col("text")).alias("signature"))
 
@@ -224,9 +236,11 @@ def _(s, d):
     return c.join(cache, c["conv_id"] == cache["doc_id"], "left").select("conv_id", "turn", F.when(F.col("doc_id").isNull(), "miss").otherwise("hit").alias("cache"))
 
 
-@query("tx_sessions", None)
+@query("tx_sessions", """WITH e AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ n AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS nth FROM e) SELECT min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS finish, user_id, count(*) AS n FROM n GROUP BY user_id, nth""")
 def _(s, d):
-    return streams.session_counts(t(s, d, "events"), "ts", "user_id", gap="6 hours")
+    found = streams.session_counts(t(s, d, "events"), "ts", "user_id", gap="6 hours")
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "finish")})
 
 
 @query("s27_merged_sections", "SELECT c_mktsegment AS name, min(c_name) AS first_name, count(DISTINCT c_nationkey) AS nations FROM customer GROUP BY 1")
@@ -240,9 +254,9 @@ def _(s, d):
     return t(s, d, "events").groupBy("event_type", F.when(v < 10, "server_error").when(v < 20, "not_found").otherwise("ok").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s57_referenced_ids", r"""SELECT DISTINCT unnest(regexp_extract_all(html, 'id=([0-9]+)', 1)) AS ref FROM pages""")
+@query("s57_referenced_ids", r"""SELECT DISTINCT unnest(regexp_extract_all(url, '([0-9]+)', 1)) AS ref FROM pages""")
 def _(s, d):
-    return t(s, d, "pages").select(F.explode(F.regexp_extract_all("html", F.lit("id=([0-9]+)"), F.lit(1))).alias("ref")).distinct()
+    return t(s, d, "pages").select(F.explode(F.regexp_extract_all("url", F.lit("([0-9]+)"), F.lit(1))).alias("ref")).distinct()
 
 
 @query("s48_feedback_export", "SELECT doc_id, quality FROM labels WHERE quality = 1 ORDER BY doc_id DESC")
@@ -266,6 +280,6 @@ def _(s, d):
     e = t(s, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("v").alias("qv"))  # the stated query set, against all rows
     dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    scored = e.join(F.broadcast(q), F.col("vec_id") != F.col("q")).withColumn("score", F.round(dot, 4))
+    scored = e.join(q, F.col("vec_id") != F.col("q")).withColumn("score", F.round(dot, 4))
     w = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return scored.withColumn("rn", F.row_number().over(w)).where("rn <= 5").select("q", "vec_id")

@@ -49,3 +49,8 @@ class Literal:
         body = ", ".join("(" + ", ".join(one(v, k) for v, k in zip(r, kinds, strict=True)) + ")" for r in self.rows)
         picked = ", ".join(f"CAST({c} AS {cast[k]}) AS {c}" for c, k in zip(columns, kinds, strict=True))
         return f"{name} AS (SELECT {picked} FROM (VALUES {body}) v({', '.join(columns)}))"
+
+
+def expected(columns: str, rows: list[str]) -> str:
+    """SQL of the rows that a query over literals has to give, each written as SQL values."""
+    return f"SELECT * FROM (VALUES {', '.join(f'({r})' for r in rows)}) v({columns})"

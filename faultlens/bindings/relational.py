@@ -50,9 +50,9 @@ def _(s, d):
     return t(s, d, "conversations").join(t(s, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("conv_id")), "conv_id", "left_semi").select("conv_id", "turn", "role")
 
 
-@query("j04_missing_upstream", "SELECT DISTINCT c_custkey AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("j04_missing_upstream", "SELECT DISTINCT c_custkey AS missing FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL AND o_orderstatus = 'P')")
 def _(s, d):
-    return joins.missing_keys(t(s, d, "customer"), "c_custkey", t(s, d, "orders"), "o_custkey")
+    return joins.missing_keys(t(s, d, "customer"), "c_custkey", t(s, d, "orders").where("o_orderstatus = 'P'"), "o_custkey")
 
 
 @query("j05_dangling_edges", f"""WITH {_E} SELECT DISTINCT e.* FROM edges e WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = e."commit" AND o.o_orderstatus = 'O')
@@ -83,9 +83,9 @@ def _(s, d):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-@query("j09_people_by_section", """SELECT n.n_name AS section, coalesce((SELECT string_agg(c.c_name, ', ' ORDER BY c.c_name) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = 'BUILDING' AND c.c_acctbal > 9000), '(none)') AS people FROM nation n""")
+@query("j09_people_by_section", """SELECT n.n_name AS section, coalesce((SELECT string_agg(c.c_name, ', ' ORDER BY c.c_name) FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_mktsegment = 'BUILDING'), '(none)') AS people FROM nation n""")
 def _(s, d):
-    people = t(s, d, "customer").where("c_mktsegment = 'BUILDING' and c_acctbal > 9000").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ", ").alias("people"))
+    people = t(s, d, "customer").where("c_mktsegment = 'BUILDING'").groupBy("c_nationkey").agg(F.array_join(F.array_sort(F.collect_list("c_name")), ", ").alias("people"))
     n = t(s, d, "nation")
     return n.join(people, n["n_nationkey"] == people["c_nationkey"], "left").select(F.col("n_name").alias("section"), F.coalesce("people", F.lit("(none)")).alias("people"))
 
@@ -336,10 +336,10 @@ def _(s, d):
     return a.intersect(b).select(F.lit("both").alias("side"), "k").unionByName(a.subtract(b).select(F.lit("only").alias("side"), "k"))
 
 
-@query("u05_todo_minus_done", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup')")
+@query("u05_todo_minus_done", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error' AND user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'signup' AND value > 150)")
 def _(s, d):
     e = t(s, d, "events")
-    return e.where("event_type = 'error'").select("user_id").join(e.where("event_type = 'signup'").select("user_id"), "user_id", "left_anti").distinct()
+    return e.where("event_type = 'error'").select("user_id").join(e.where("event_type = 'signup' and value > 150").select("user_id"), "user_id", "left_anti").distinct()
 
 
 @query("u06_first_injection_wins", f"""WITH {_E}, s AS (SELECT 1 AS step, "commit" AS hash FROM edges WHERE link_type = 'R' UNION ALL SELECT 2, "commit" FROM edges WHERE link_type = 'A' UNION ALL SELECT 3, "commit" FROM edges)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.registry import Literal, query
+from faultlens.bindings.registry import Literal, expected, query
 from faultlens.functions import stack, symbols, text
 from faultlens.session import table as t
 
@@ -117,12 +117,20 @@ def _(s, d):
     return t(s, d, "pages").select("page_id", text.versions(F.col("html")).alias("versions"))
 
 
-@query("x21_symbols", None)
+@query("x21_symbols", expected("id, symbol, kind", [
+    "1, 'tcp_send_mss', 'function'", "2, 'WRITE_INT', 'macro'", "3, 'ifla_policy', 'struct'", "4, NULL, 'unknown'", "5, NULL, 'unknown'", "6, 'SOME_MACRO_LIST', 'unknown'", "7, NULL, 'unknown'",
+    "8, 'foo_bar', 'unknown'", "9, 'TcpSocketState', 'unknown'", "10, 'do_it', 'function'", "11, 'my_table', 'struct'", "12, NULL, 'unknown'",
+]))
 def _(s, d):
     return CONTEXTS.df(s).select("id", symbols.symbol(F.col("context")).alias("s")).select("id", "s.*")
 
 
-@query("x24_stack_signature", None)
+_BLOCK = "' [  {0}.4]  foo_bar+0x{1}/0x34 [mod]' || chr(10) || ' baz_qux+0x1/0x2' || chr(10) || ' ? dump_stack+0x1/0x2' || chr(10) || ' third_fn+0x9/0x10 fs/x.c:123'"
+
+
+@query("x24_stack_signature", expected("id, signature, block", [
+    f"1, left(sha256('foo_bar|baz_qux|third_fn'), 32), {_BLOCK.format(12, 12)}", f"2, left(sha256('foo_bar|baz_qux|third_fn'), 32), {_BLOCK.format(55, 99)}", "3, '', NULL", "4, '', NULL",
+]))
 def _(s, d):
     trace = "[  12.3] Call Trace:\n <TASK>\n [  12.4]  foo_bar+0x12/0x34 [mod]\n baz_qux+0x1/0x2\n ? dump_stack+0x1/0x2\n third_fn+0x9/0x10 fs/x.c:123\n"
     rows = Literal("id int, trace string", [(1, trace), (2, trace.replace("0x12", "0x99").replace("12.", "55.")), (3, "nothing"), (4, None)])

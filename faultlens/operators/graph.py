@@ -12,20 +12,19 @@ def thread_roots(messages: DataFrame, key: str, parent: str) -> DataFrame:
     """key, root: the thread of every message by pointer jumping, so a chain of n replies takes log n rounds. A missing
     parent makes its child a root; members of a cycle, and what hangs on one, take the cycle's smallest key.
 
-    After round r a message knows its ancestor 2**r steps up and the smallest key it met up to there. Chains have then
-    come to their roots; whatever still moves after log2(n) rounds is on a cycle or leads into one, its ancestor stands
-    on the cycle and has seen all of it."""
+    After round r a message knows its ancestor 2**r steps up and the smallest key it met up to there. After log2(n)
+    rounds, or when none moves any more, chains have come to their roots; any other message's ancestor stands on a
+    cycle and has seen all of it."""
     known = messages.select(F.col(key).alias("_k")).distinct()
-    hop = messages.select(F.col(key).alias("node"), F.col(parent).alias("up")).join(known, F.col("up") == F.col("_k"), "left")
-    hop = checkpointed(hop.select("node", F.coalesce("_k", "node").alias("up"), F.least("node", F.coalesce("_k", "node")).alias("low")))
-    ahead = lambda: hop.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"))
-    for _ in range(max(1, hop.count().bit_length())):
-        nxt = checkpointed(hop.join(ahead(), "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), (F.col("up") != F.col("up2")).alias("moved")))
+    hop = messages.select(F.col(key).alias("node"), F.col(parent).alias("up")).join(known, F.col("up") == F.col("_k"), "left").select("node", F.coalesce("_k", "node").alias("up"))
+    hop = checkpointed(hop.select("node", "up", F.least("node", "up").alias("low"), (F.col("node") == F.col("up")).alias("top")))
+    ahead = lambda: hop.select(F.col("node").alias("up"), F.col("up").alias("up2"), F.col("low").alias("low2"), F.col("top").alias("top2"))
+    for _ in range(hop.count().bit_length()):
+        nxt = checkpointed(hop.join(ahead(), "up").select("node", F.col("up2").alias("up"), F.least("low", "low2").alias("low"), "top", (F.col("up") != F.col("up2")).alias("moved")))
         hop = nxt.drop("moved")
         if nxt.where("moved").isEmpty():
-            return hop.select(F.col("node").alias(key), F.col("up").alias("root"))
-    rooted = ahead().select("up", F.when(F.col("up") == F.col("up2"), F.col("up")).otherwise(F.col("low2")).alias("root"))
-    return hop.join(rooted, "up").select(F.col("node").alias(key), "root")
+            break
+    return hop.join(ahead(), "up").select(F.col("node").alias(key), F.when(F.col("top2"), F.col("up")).otherwise(F.col("low2")).alias("root"))
 
 
 def link(refs: DataFrame, ref: str, index: DataFrame, index_key: str, link_type: str, confidence: float) -> DataFrame:

@@ -78,3 +78,20 @@ def test_audit_and_claims(spark):
 
     got = {r["claim_id"]: (r["evidence_id"], r["verified"]) for r in quality.bind_claims(claims, evidence, overlap(F.col("claim"), F.col("evidence"), [])).collect()}
     assert got == {1: (7, True), 2: (7, False)}
+
+
+def test_index_equals_search_without_one(spark, tmp_path):
+    rng = random.Random(12)
+    texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "Ff"]) for _ in range(rng.randint(0, 30))) for _ in range(80)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    index = search.Index.write(docs, "id", "text", str(tmp_path / "index"))
+    assert [r["n_docs"] for r in index.stats.collect()] == [82]
+    for words in (["aa"], ["aa", "ff", "zz"], ["bb", "cc", "dd", "ee"]):
+        rows = lambda df: sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
+        for match_all in (False, True):
+            assert rows(index.bm25(words, match_all)) == rows(search.bm25(docs, "id", "text", words, match_all))
+        assert rows(index.tiers(words)) == rows(search.tiers(docs, "id", "text", words))
+        assert rows(index.tiered_search(words, 10)) == rows(search.tiered_search(docs, "id", "text", words, 10))
+        assert rows(index.cover_rank(words)) == rows(search.cover_rank(docs, "id", "text", words))
+    kept = docs.where("id % 2 = 0")
+    assert all(r["id"] % 2 == 0 for r in index.tiered_search(["aa", "bb"], 50, kept).collect())

@@ -9,6 +9,7 @@ import pytest
 from faultlens import catalog
 
 SF = "/root/testdata/sf0.001"
+WITHOUT_SQL = {"r03_cover_density"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -36,7 +37,8 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     rows = [tuple(plain(r[c]) for c in columns) for r in df.collect()]
     sql = catalog.oracle_sql().get(name)
-    if sql is None:
+    if sql is None:  # compared with plain versions in the tests of their operators
+        assert name in WITHOUT_SQL and rows
         return
     found = duck.execute(sql)
     names = [d[0] for d in found.description]
