@@ -213,7 +213,7 @@ def _signature(text: str) -> str:
     line = "l"
     for pattern in stack.VOLATILE:
         line = f"regexp_replace({line}, {quoted(pattern)}, '', 'g')"
-    words = rf"flatten([regexp_extract_all(trim({line}), '\b([a-z_][a-z0-9_]{{3,}})\b', 1) FOR l IN string_split_regex(coalesce({text}, ''), '\r?\n') IF NOT ({opens})])"
+    words = rf"flatten([[x FOR x IN regexp_extract_all(trim({line}), '[\p{{L}}\p{{N}}_]+') IF regexp_full_match(x, '[a-z_][a-z0-9_]{{3,}}')] FOR l IN string_split_regex(coalesce({text}, ''), '\r?\n') IF NOT ({opens})])"
     return f"[x FOR x IN {words} IF x NOT IN ({', '.join(map(quoted, stack.PLUMBING + stack.NO_FRAMES))})]"
 
 
