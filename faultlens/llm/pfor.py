@@ -38,7 +38,7 @@ STEP = 2 << 20
 HEAD = struct.Struct("<IBH")
 TRAILER = struct.Struct("<QQQQ8s")
 MAGIC = b"PFORIDS1"
-CACHED = 500_000
+CACHED = 400_000
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -219,18 +219,23 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Kept(dict):
-    """key -> make(key), bounded: forgets all when full."""
+    """key -> make(key), bounded: when full it takes no more for as many misses as it has entries, then starts anew, so
+    that frequent keys stay most of the time and rare ones do not push them out."""
 
     def __init__(self, make, most: int = CACHED) -> None:
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.missed = make, most, 0
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
-        if len(self) >= self.most:
-            self.clear()
-        if len(key) < 64:
-            self[key] = value
+        if len(self) < self.most:
+            if len(key) < 64:
+                self[key] = value
+        else:
+            self.missed += 1
+            if self.missed >= self.most:
+                self.missed = 0
+                self.clear()
         return value
 
 
@@ -248,7 +253,7 @@ class WordEncoder:
         case = re.IGNORECASE if any(t.normalized for t in added) else 0
         self.added = re.compile("|".join(re.escape(t.content) for t in added) if added else "(?!)", case)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.units, self.pieces = _Kept(self._unit, CACHED // 4), _Kept(self._piece)
+        self.units, self.pieces = _Kept(self._unit), _Kept(self._piece)
 
     def _unit(self, unit: str) -> bytes:
         tokens = self.model.tokenize(unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters))
@@ -258,7 +263,7 @@ class WordEncoder:
         if _PLAIN.fullmatch(piece):
             low = piece.lower()
             if low.isalpha():  # of plain characters, letters only: one unit
-                return self._unit(low)
+                return self.units[low]
             return b"".join(map(self.units.__getitem__, _UNITS.findall(low)))
         return self._library(piece)
 
