@@ -38,7 +38,7 @@ STEP = 2 << 20
 HEAD = struct.Struct("<IBH")
 TRAILER = struct.Struct("<QQQQ8s")
 MAGIC = b"PFORIDS1"
-CACHED = 400_000
+CACHED = 800_000
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -253,19 +253,22 @@ class WordEncoder:
         case = re.IGNORECASE if any(t.normalized for t in added) else 0
         self.added = re.compile("|".join(re.escape(t.content) for t in added) if added else "(?!)", case)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
-        self.units, self.pieces = _Kept(self._unit), _Kept(self._piece)
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces = _Kept(self._piece)
 
     def _unit(self, unit: str) -> bytes:
         tokens = self.model.tokenize(unit if unit.isascii() else unit.encode().decode("latin-1").translate(self.letters))
-        return b"".join([t.id.to_bytes(4, "little") for t in tokens])
+        return b"".join([self.raw[t.id] for t in tokens])
 
     def _piece(self, piece: str) -> bytes:
-        if _PLAIN.fullmatch(piece):
-            low = piece.lower()
-            if low.isalpha():  # of plain characters, letters only: one unit
-                return self.units[low]
-            return b"".join(map(self.units.__getitem__, _UNITS.findall(low)))
-        return self._library(piece)
+        """Units are pieces too: one cache holds both, and a word's forms share what its small letters give."""
+        if not _PLAIN.fullmatch(piece):
+            return self._library(piece)
+        low = piece.lower()
+        if low.isalpha():  # of plain characters, letters only: one unit
+            return self._unit(low) if low == piece else self.pieces[low]
+        units = _UNITS.findall(low)
+        return self._unit(low) if units == [piece] else b"".join(map(self.pieces.__getitem__, units))
 
     def _library(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
