@@ -72,3 +72,28 @@ def test_stages(spark, tmp_path):
         tokens = enc.encode_ordinary(r["text"] or "")
         expected.append((r["doc_id"], len(tokens), hashlib.sha256(" ".join(map(str, tokens)).encode()).hexdigest()))
     assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in ids) == sorted(expected)
+
+
+def staged(spark, docs, tmp_path):
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    return docs
+
+
+def test_nulls_repeated_rows_and_further_columns(spark, tmp_path):
+    some = spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()
+    odd = [(9000, None, None, None, None), (9001, "", "en", "web", 0), (9002, " \n", "en", None, 2), (None, "a text without an id", "fr", "web", 20), (9003, "long words " * 30_000, "en", "web", 330_000)]
+    rows = [(*r, 1, "x") for r in [*map(tuple, some), *odd, tuple(some[0]), tuple(some[0])]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, chunk int, _size string")
+    got = staged(spark, docs, tmp_path).collect()
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    texts = {r[0]: r[1] for r in rows}
+    assert got and all(r["n_tokens"] == len(enc.encode_ordinary(texts[r["doc_id"]] or "")) for r in got)
+    mixed = spark.read.parquet(str(tmp_path / "mixing"))
+    assert mixed.columns == docs.columns and {(r["chunk"], r["_size"]) for r in mixed.collect()} == {(1, "x")}
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert staged(spark, docs, tmp_path).collect() == []
