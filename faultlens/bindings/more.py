@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from faultlens.bindings.registry import Literal, expected, query
 from faultlens.functions import hardware, logs, stack, symbols, text
-from faultlens.operators import graph, joins, quality, ranking
+from faultlens.operators import graph, joins, quality, ranking, upsert
 from faultlens.session import table as t
 from faultlens.streaming import events as streams
 
@@ -248,10 +248,44 @@ def _(s, d):
     return t(s, d, "customer").groupBy(F.col("c_mktsegment").alias("name")).agg(F.min("c_name").alias("first_name"), F.countDistinct("c_nationkey").alias("nations"))
 
 
-@query("s43_outcomes", """SELECT event_type, CASE WHEN value < 10 THEN 'server_error' WHEN value < 20 THEN 'not_found' ELSE 'ok' END AS outcome, count(*) AS n FROM events GROUP BY 1, 2""")
+@query("s43_remembered_outcomes", """WITH r AS (SELECT event_id, CASE WHEN event_type = 'error' THEN 'transient' WHEN event_type = 'click' THEN 'ok' WHEN event_type = 'view' THEN 'not_found' ELSE 'server_error' END AS result FROM events WHERE event_id % 2 = 0),
+ was AS (SELECT event_id, 'ok' AS result FROM events WHERE event_id % 3 = 0) SELECT coalesce(r.event_id, was.event_id) AS event_id, coalesce(r.result, was.result) AS result FROM (SELECT * FROM r WHERE result <> 'transient') r FULL JOIN was ON was.event_id = r.event_id""")
 def _(s, d):
-    v = F.col("value")
-    return t(s, d, "events").groupBy("event_type", F.when(v < 10, "server_error").when(v < 20, "not_found").otherwise("ok").alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    e = t(s, d, "events")
+    kind = F.col("event_type")
+    result = upsert.outcome(F.when(kind == "click", 200).when(kind == "view", 404).otherwise(503), F.when(kind == "error", "reset"))
+    return upsert.remembered(e.where("event_id % 3 = 0").select("event_id", F.lit("ok").alias("result")), e.where("event_id % 2 = 0").select("event_id", result.alias("result")), "event_id", "result")
+
+
+@query("s58_backfill_todo", "SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')")
+def _(s, d):
+    state = t(s, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("id"))
+    return upsert.todo(t(s, d, "lineitem").select(F.col("l_orderkey").alias("id")), state, "id")
+
+
+LABELS = Literal("id int, labels string", [(1, "bug,sig/Kernel,sig/Net"), (2, "Sig/Storage"), (3, "kind/bug"), (4, "")])
+
+
+@query("x18_first_label", f"WITH {LABELS.sql('l')} SELECT id, nullif(lower(regexp_extract(labels, '(?i)(?:^|,)sig/([^,]+)', 1)), '') AS subsystem FROM l")
+def _(s, d):
+    return LABELS.df(s).select("id", text.first_label(F.split("labels", ","), r"(?i)^sig/(.+)$").alias("subsystem"))
+
+
+@query("x53_since_cutoff", """SELECT event_id, ts - CASE event_id % 4 WHEN 0 THEN INTERVAL 6 HOUR WHEN 1 THEN INTERVAL 7 DAY ELSE INTERVAL 24 HOUR END AS cutoff FROM events""")
+def _(s, d):
+    since = F.element_at(F.array(F.lit("6h"), F.lit("7d"), F.lit("soon"), F.lit("h")), (F.col("event_id") % 4).cast("int") + 1)
+    return t(s, d, "events").select("event_id", text.since_cutoff(since, F.col("ts")).alias("cutoff"))
+
+
+@query("x64_evidence_lines", r"""SELECT doc_id, '[' || doc_id || '] score=' || printf('%.2f', doc_id / 10) || ' | ' || coalesce(source, '') || CASE WHEN lang = 'en' THEN ' | lang=en' ELSE '' END || coalesce(chr(10) || '    ' || replace(left(nullif(text, ''), 300), chr(10), ' '), '') AS shown FROM documents""")
+def _(s, d):
+    lang = F.when(F.col("lang") == "en", "en")
+    return t(s, d, "documents").select("doc_id", text.evidence_lines(F.col("doc_id"), F.col("doc_id") / 10, F.col("source"), F.col("text"), lang=lang).alias("shown"))
+
+
+@query("o10_newest_lines", "SELECT event_id, ts FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 50")
+def _(s, d):
+    return t(s, d, "events").where("event_type = 'error'").select("event_id", "ts").orderBy(F.desc("ts"), "event_id").limit(50)
 
 
 @query("s57_referenced_ids", r"""SELECT DISTINCT unnest(regexp_extract_all(url, '([0-9]+)', 1)) AS ref FROM pages""")

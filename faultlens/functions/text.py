@@ -179,3 +179,25 @@ def event_id(raw: Column, kind: Column) -> Column:
 
 def timestamp_or_null(text: Column) -> Column:
     return F.try_to_timestamp(F.nullif(F.trim(text), F.lit("")))
+
+
+def since_cutoff(since: Column, now: Column) -> Column:
+    """now less a span of hours or days (6h, 7d); less 24 hours for anything else."""
+    unit = F.regexp_extract(since, r"^(\d+)([hd])$", 2)
+    hours = F.regexp_extract(since, r"^(\d+)([hd])$", 1).try_cast("int") * F.when(unit == "d", 24).otherwise(1)
+    return now - F.make_dt_interval(F.lit(0), F.coalesce(hours, F.lit(24)))
+
+
+def first_label(labels: Column, pattern: str) -> Column:
+    """What the pattern's first group takes from the first label that it matches, in small letters; NULL for none."""
+    found = F.filter(labels, lambda x: F.coalesce(x, F.lit("")).rlike(pattern))
+    return F.lower(F.regexp_extract(F.try_element_at(found, F.lit(1)), pattern, 1))
+
+
+def evidence_lines(rank: Column, score: Column, title: Column, body: Column, **ids: Column) -> Column:
+    """A hit for reading: rank, score, title and the ids it has; below, the first 300 characters of its body in one line."""
+    head = F.concat(F.lit("["), rank.cast("string"), F.lit("] score="), F.format_string("%.2f", score), F.lit(" | "), F.coalesce(title, F.lit("")))
+    for name, value in ids.items():
+        shown = F.nullif(value.cast("string"), F.lit(""))
+        head = F.concat(head, F.coalesce(F.concat(F.lit(f" | {name}="), shown), F.lit("")))
+    return F.concat(head, F.coalesce(F.concat(F.lit("\n    "), F.translate(F.left(F.nullif(body, F.lit("")), F.lit(300)), "\n", " ")), F.lit("")))

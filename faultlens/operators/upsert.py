@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,27 @@ def incremental(rows: DataFrame, seen: DataFrame, key: str, changed_at: str, wat
     fresh = rows.where(F.col(changed_at) > watermark) if watermark is not None else rows
     unseen = fresh.join(seen.select(key), key, "left_anti")
     return unseen if again is None else unseen.unionByName(fresh.where(again).join(seen.select(key), key, "left_semi"))
+
+
+REMEMBERED = ("ok", "not_found", "server_error")
+
+
+def outcome(status, error) -> Column:
+    """What became of a request: ok, not_found, server_error, or transient, which is tried again."""
+    return F.when(error.isNotNull(), "transient").when(status.between(200, 299), "ok").when(status.isin(404, 410), "not_found").when(status >= 500, "server_error").otherwise("transient")
+
+
+def remembered(state: DataFrame, responses: DataFrame, key: str, result: str) -> DataFrame:
+    """The next version of a table of ids and outcomes; transient outcomes are not kept."""
+    return upsert(state, responses.where(F.col(result).isin(*REMEMBERED)), [key], overwrite=(result,))
+
+
+def todo(wanted: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """Ids that were asked for and have no remembered outcome, once each."""
+    return wanted.select(key).where(F.col(key).isNotNull()).distinct().join(state.select(key), key, "left_anti")
+
+
+def rebuilt(df: DataFrame, folder: str) -> DataFrame:
+    """A derived table made anew in place of what the folder held; df must not read from it."""
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

@@ -83,8 +83,9 @@ def maintainers(spark: SparkSession, path: str) -> DataFrame:
     return one.groupBy("name").agg(F.min("status").alias("status"), many("people"), many("files"), many("excluded"))
 
 
-def json_logs(spark: SparkSession, path: str, since: str | None = None, level: int = 0, trace_id: str | None = None, pattern: str | None = None) -> DataFrame:
-    """Lines of JSON logs in folders date=YYYY-MM-DD, newest first; folders before `since` are not read."""
+def json_logs(spark: SparkSession, path: str, since: str | None = None, level: int = 0, trace_id: str | None = None, pattern: str | None = None, limit: int | None = None) -> DataFrame:
+    """Lines of JSON logs in folders date=YYYY-MM-DD; folders before `since` are not read. limit: only so many, the
+    newest, in order (each task keeps no more than that); without one the lines come unordered."""
     from faultlens.functions.text import level_rank
 
     df = spark.read.schema("ts string, level string, module string, trace_id string, message string, date date").json(path)
@@ -96,7 +97,7 @@ def json_logs(spark: SparkSession, path: str, since: str | None = None, level: i
         F.col("message").rlike(pattern) if pattern else None,
     ):
         df = df if keep is None else df.where(keep)
-    return df.orderBy(F.desc("ts"), "module", "message")
+    return df if limit is None else df.orderBy(F.desc("ts"), "module", "message").limit(limit)
 
 
 def cve_records(spark: SparkSession, path: str) -> DataFrame:
@@ -129,7 +130,14 @@ def write_mailbox(mails: DataFrame, path: str) -> None:
 
 
 def quarantine(df: DataFrame, bad, reason: str, path: str) -> DataFrame:
-    """Writes rows for which `bad` holds (or is NULL) with a reason, and returns the others."""
+    """Writes rows for which `bad` holds (or is NULL) with a reason and the time, and returns the others."""
     wrong = F.coalesce(bad, F.lit(True))
-    df.where(wrong).select(F.to_json(F.struct(*df.columns)).alias("item"), F.lit(reason).alias("reason")).write.mode("append").json(path)
+    df.where(wrong).select(F.to_json(F.struct(*df.columns)).alias("item"), F.lit(reason).alias("reason"), F.current_timestamp().alias("at")).write.mode("append").json(path)
     return df.where(~wrong)
+
+
+def replay(spark: SparkSession, path: str, schema: str, reason: str | None = None, most: int = 100) -> DataFrame:
+    """Quarantined items as rows again, those of the newest runs first."""
+    items = spark.read.schema("item string, reason string, at timestamp").json(path)
+    items = items if reason is None else items.where(F.col("reason") == reason)
+    return items.orderBy(F.desc("at"), "item").limit(most).select(F.from_json("item", schema).alias("row")).select("row.*")

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from faultlens.operators import upsert
 from faultlens.sources import readers
 from faultlens.streaming import events
 
@@ -49,3 +50,14 @@ def test_stream_equals_batch(spark, tmp_path):
     events.run_once(events.windowed_counts(events.event_stream(spark, str(tmp_path / "in"), df.schema), "ts", "kind", late="1 day"), str(tmp_path / "out"), str(tmp_path / "cp"), mode="append")
     got = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     assert got == sorted(tuple(r) for r in events.windowed_counts(df, "ts", "kind").collect())
+
+
+def test_quarantine_replay_and_rebuild(spark, tmp_path):
+    place = str(tmp_path / "q")
+    for start in (0, 10, 20):
+        readers.quarantine(spark.range(start, start + 5).withColumn("name", F.concat(F.lit("n"), "id")), F.col("id") % 2 == 0, "even", place)
+    readers.quarantine(spark.range(99, 100).withColumn("name", F.lit("x")), F.lit(None).cast("boolean"), "other", place)
+    got = [tuple(r) for r in readers.replay(spark, place, "id long, name string", reason="even", most=5).collect()]
+    assert got == [(20, "n20"), (22, "n22"), (24, "n24"), (10, "n10"), (12, "n12")]
+    folder = str(tmp_path / "derived")
+    assert upsert.rebuilt(spark.range(9), folder).count() == 9 and upsert.rebuilt(spark.range(3), folder).count() == 3
