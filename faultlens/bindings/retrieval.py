@@ -7,7 +7,7 @@ from uuid import uuid4
 from pyspark.sql import functions as F
 
 from faultlens.bindings.registry import query
-from faultlens.plans import search
+from faultlens.plans import routes, search
 from faultlens.session import shared_folder
 from faultlens.session import table as t
 
@@ -110,3 +110,64 @@ def _(s, d):
 
     found = index(s, d).postings(["the", "que", "und"])
     return top_n(found, ["term"], [F.desc("tf"), F.col("doc_id")], 3).groupBy("doc_id").agg(F.max("tf").alias("tf"))
+
+
+_KIND = ["commit", "bug", "cve", "mail"]  # of a document: its doc_id modulo 4
+_ASKED = ["the", "of", "zzzz"]
+_LINKS = {
+    "commit_message": "SELECT DISTINCT CAST(l_partkey * 4 + 3 AS STRING) AS message, CAST(l_suppkey * 4 AS STRING) AS commit FROM lineitem WHERE l_returnflag = 'R'",
+    "commit_cve": "SELECT DISTINCT CAST(l_partkey * 4 + 2 AS STRING) AS cve, CAST(l_suppkey * 4 AS STRING) AS commit FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 1",
+    "commit_bug": "SELECT DISTINCT CAST(l_partkey * 4 + 1 AS STRING) AS bug, CAST(l_suppkey * 4 AS STRING) AS commit FROM lineitem WHERE l_returnflag = 'N'",
+    "commit_fixes": "SELECT DISTINCT CAST(l_partkey * 4 AS STRING) AS fixer, CAST(l_suppkey * 4 AS STRING) AS fixed FROM lineitem WHERE l_linenumber < 4",
+    "commit_revert": "SELECT DISTINCT CAST(l_partkey * 4 AS STRING) AS reverter, CAST(l_suppkey * 4 AS STRING) AS reverted FROM lineitem WHERE l_linenumber > 6",
+}
+
+
+def _route_hits(s, d, limit):
+    docs = t(s, d, "documents")
+    at = (index(s, d), docs, "source", "text")
+    made = {}
+    for i, name in enumerate(_KIND):
+        kept = F.col("doc_id") % 4 == i
+        kept = kept & (F.col("lang") != "fr") if name == "commit" else kept
+        made[name] = lambda name=name, kept=kept: routes.tiered(name, at, _ASKED, limit, kept)
+    return routes.fan_out(made | {"failing": lambda: docs.select("no_such_column")})
+
+
+def _route_sql(limit: int) -> str:
+    return f"""{_bm25(_ASKED)}, k AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'commit' WHEN 1 THEN 'bug' WHEN 2 THEN 'cve' ELSE 'mail' END AS route, source AS title, left(text, 500) AS body,
+ list_has_any(t, ['the', 'of', 'zzzz']) AS hit, CASE WHEN list_has_all(t, ['the', 'of', 'zzzz']) THEN 3 WHEN list_has_all(t, ['the', 'of']) THEN 2 WHEN list_contains(t, 'the') THEN 1 ELSE 0 END AS prefix FROM documents JOIN (SELECT doc_id, t FROM docs) USING (doc_id) WHERE doc_id % 4 > 0 OR lang <> 'fr'),
+ c AS (SELECT route, max(p) AS tier FROM (SELECT a.route, p, count(*) AS n FROM k a, range(1, 4) x(p) WHERE prefix >= p GROUP BY 1, 2) WHERE n >= 3 GROUP BY 1),
+ hits AS (SELECT route, CAST(doc_id AS VARCHAR) AS id, round(score, 6) AS score, tier, title, body FROM (SELECT k.*, bm.score, coalesce(c.tier, 0) AS tier, row_number() OVER (PARTITION BY route ORDER BY round(bm.score, 6) DESC, doc_id) AS rn FROM k JOIN bm USING (doc_id) LEFT JOIN c USING (route) WHERE hit AND (c.tier IS NULL OR prefix >= c.tier)) WHERE rn <= {limit})"""
+
+
+@query("r14_fan_out", f"WITH {_route_sql(30)} SELECT route, id, score, CAST(tier AS INTEGER) AS tier, title, body FROM hits")
+def _(s, d):
+    return _route_hits(s, d, 30)[0]
+
+
+_STEPS = [("mail", "commit_message", "message", "commit"), ("cve", "commit_cve", "cve", "commit"), ("bug", "commit_bug", "bug", "commit"), ("commit", "commit_fixes", "fixer", "fixed"), ("commit", "commit_revert", "reverter", "reverted")]
+
+
+def _linked_sql() -> str:
+    out = ", ".join(f"{n} AS ({q})" for n, q in _LINKS.items())
+    out += ", real AS (SELECT CAST(doc_id AS VARCHAR) AS other, source AS title FROM documents WHERE doc_id % 4 = 0), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY route ORDER BY score DESC, id) AS b FROM hits) WHERE b <= 10)"
+    parts = []
+    for step, (route, table, a, b) in enumerate(_STEPS, 1):
+        factor = 0.9 if step < 4 else 0.85
+        edges = f"SELECT {a} AS node, {b} AS other FROM {table}" + (f" UNION SELECT {b}, {a} FROM {table}" if step > 3 else "")
+        most = {3: "WHERE r <= 5", 4: "WHERE r <= 50", 5: "WHERE r <= 20"}.get(step, "")
+        by = "PARTITION BY node ORDER BY e.other" if step == 3 else "ORDER BY h.score DESC, node, e.other"
+        parts.append(f"SELECT other AS id, score * {factor} AS score, title, {step} AS step FROM (SELECT e.other, h.score, real.title, row_number() OVER ({by}) AS r FROM best h JOIN ({edges}) e ON e.node = h.id AND h.route = '{route}' JOIN real ON real.other = e.other) {most}")
+    return out + ", linked AS (" + " UNION ALL ".join(parts) + ")"
+
+
+@query("r16_linked_and_fused", f"""WITH {_route_sql(30)}, {_linked_sql()}, fresh AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY step, score DESC) AS f FROM linked WHERE id NOT IN (SELECT id FROM hits WHERE route = 'commit')) WHERE f = 1),
+ every AS (SELECT route, id, score, tier, title, body, 0 AS step FROM hits UNION ALL SELECT 'commit', id, score, NULL, title, '', step FROM fresh)
+ SELECT route, id, round(score / max(score) OVER (PARTITION BY route) * (1 + 0.25 * coalesce(tier, 0)), 6) AS final, step, title, body FROM every""")
+def _(s, d):
+    docs, item = t(s, d, "documents"), t(s, d, "lineitem")
+    tables = {n: item.where(q.partition(" WHERE ")[2]).selectExpr(*q.partition("SELECT DISTINCT ")[2].partition(" FROM ")[0].split(", ")).distinct() for n, q in _LINKS.items()}
+    tables["commits"] = docs.where("doc_id % 4 = 0").select(F.col("doc_id").cast("string").alias("hash"), F.col("source").alias("subject"), F.lit(None).cast("date").alias("commit_date"))
+    hits, _ = _route_hits(s, d, 30)
+    return routes.fused(hits, routes.linked_commits(hits, tables))

@@ -42,10 +42,11 @@ def corpus_stats(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.size(terms(F.col(text))).alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
 
 
-def scored(found: DataFrame, stats: DataFrame, key: str, words: list[str], match_all: bool = False) -> DataFrame:
-    """key, matched (distinct terms), score (BM25) from the postings of the words."""
+def scored(found: DataFrame, stats: DataFrame, key: str, words: list[str], match_all: bool = False, every: DataFrame | None = None) -> DataFrame:
+    """key, matched (distinct terms), score (BM25) from the postings of the words. every: the postings that terms are
+    counted in, where found is only a part of them."""
     words = list(dict.fromkeys(words))
-    df = found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each asked term
+    df = (found if every is None else every).groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # a row for each asked term
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
     out = found.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(key).agg(F.count(F.lit(1)).alias("matched"), F.sum(part).alias("score"))
@@ -110,9 +111,9 @@ class Index:
 
     def tiered_search(self, words: list[str], limit: int, kept: DataFrame | None = None) -> DataFrame:
         """key, tier, score: the chosen tier's documents by BM25; kept: only of these keys (chosen before the tier)."""
-        found = self.postings(words)
-        found = found if kept is None else found.join(kept.select(self.key), self.key, "left_semi")
-        return _ranked(tiers_of(found, self.key, words).join(scored(found, self.stats, self.key, words), self.key), self.key, limit)
+        every = self.postings(words)
+        found = every if kept is None else every.join(kept.select(self.key), self.key, "left_semi")
+        return _ranked(tiers_of(found, self.key, words).join(scored(found, self.stats, self.key, words, every=every), self.key), self.key, limit)
 
     def cover_rank(self, words: list[str]) -> DataFrame:
         """key, rank: cover density of documents that have all words, from stored positions."""
