@@ -178,19 +178,6 @@ def _(s, d):
     return joins.both_directions(h, "l_orderkey", "l_partkey")
 
 
-@query("g09_backport_status", """WITH v AS (SELECT l_orderkey, list(DISTINCT l_returnflag) AS versions FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(list_contains(versions, 'R'), false) AS backported FROM orders LEFT JOIN v ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'""")
-def _(s, d):
-    v = t(s, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_returnflag").alias("versions"))
-    o = t(s, d, "orders").where("o_orderstatus = 'F'")
-    return o.join(v, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce(F.array_contains("versions", "R"), F.lit(False)).alias("backported"))
-
-
-@query("g10_regression_fixes", """SELECT o_orderkey AS id, 'fix' AS kind FROM orders WHERE o_orderstatus = 'F' AND o_custkey = 7 UNION ALL SELECT DISTINCT l_orderkey, 'revert' FROM lineitem WHERE l_returnflag = 'R' AND l_partkey = 7""")
-def _(s, d):
-    fixes = t(s, d, "orders").where("o_orderstatus = 'F' and o_custkey = 7").select(F.col("o_orderkey").alias("id"), F.lit("fix").alias("kind"))
-    return fixes.unionByName(t(s, d, "lineitem").where("l_returnflag = 'R' and l_partkey = 7").select(F.col("l_orderkey").alias("id"), F.lit("revert").alias("kind")).distinct())
-
-
 @query("g13_similar_by_signature", """WITH s AS (SELECT doc_id, left(sha256(text), 16) AS sig FROM documents) SELECT a.doc_id, count(*) - 1 AS similar FROM s a JOIN s b USING (sig) GROUP BY 1""")
 def _(s, d):
     sig = t(s, d, "documents").select("doc_id", F.left(F.sha2("text", 256), F.lit(16)).alias("sig"))

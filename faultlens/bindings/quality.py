@@ -101,12 +101,6 @@ def _(s, d):
     return graph.link(refs, "ref", t(s, d, "part").select("p_partkey", F.col("p_partkey").alias("target")), "p_partkey", "trailer", 0.95)
 
 
-@query("g11_commits_of_a_symbol", """SELECT DISTINCT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_partkey = 7 AND o_orderstatus IN ('F', 'O') ORDER BY day DESC, o_orderkey LIMIT 25""")
-def _(s, d):
-    hit = t(s, d, "lineitem").where("l_partkey = 7").select(F.col("l_orderkey").alias("o_orderkey")).distinct()
-    return t(s, d, "orders").where(F.col("o_orderstatus").isin("F", "O")).join(hit, "o_orderkey", "left_semi").select("o_orderkey", F.to_date("o_orderdate").alias("day")).orderBy(F.desc("day"), "o_orderkey").limit(25)
-
-
 @query("g18_graph_edges", """SELECT 'FIXES' AS relation, 'Commit' AS source_label, CAST(l_orderkey AS VARCHAR) AS source, 'Bug' AS target_label, CAST(l_partkey AS VARCHAR) AS target FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey WHERE o_orderstatus <> 'P' AND p_size > 5""")
 def _(s, d):
     e = t(s, d, "lineitem").select("l_orderkey", "l_partkey").distinct()

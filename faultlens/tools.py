@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from faultlens.functions import hardware, logs, stack
-from faultlens.operators import ranking
-from faultlens.plans import search
+from faultlens.functions import hardware, logs, symbols
+from faultlens.operators import lookups
+from faultlens.plans import routes, search
+from faultlens.sources import archives
 
 
 @dataclass(frozen=True)
@@ -24,8 +25,9 @@ class Tool:
 @dataclass
 class Store:
     """Tables by name: commits (hash, short_hash, subject, body, commit_date, fixes_refs, affected_versions, patch_id),
-    bugs, cves, crashes, messages, edges_symbol (commit, symbol, file), edges_crash (crash, commit), code (file, symbol,
-    text), maintainers (name, people, files, excluded)."""
+    bugs, cves, crashes, messages, log_events, edges_symbol (commit, symbol, file, kind), edges_crash (crash, commit),
+    edges_revert (reverter, reverted, source), code (file, symbol, text), diffs (hash, repo, diff), patches (message,
+    series, number, total), ecc (corrected, uncorrected), maintainers (name, people, files, excluded)."""
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
@@ -43,6 +45,14 @@ def _by_hash(df: DataFrame, prefix: str, column: str = "hash") -> DataFrame:
     return df.where(short)
 
 
+def _reverts(store: Store) -> DataFrame:
+    """Stored edges, or those that bodies of reverting commits state."""
+    if "edges_revert" in store.tables:
+        return store["edges_revert"]
+    stated = F.regexp_extract(F.lower("body"), r"this reverts commit\s+([0-9a-f]{12,40})", 1)
+    return store["commits"].select(F.col("hash").alias("reverter"), stated.alias("reverted"), F.lit("body").alias("source")).where("reverted <> ''")
+
+
 def registry(store: Store) -> dict[str, Tool]:
     s, spark = store, store.spark
 
@@ -52,39 +62,61 @@ def registry(store: Store) -> dict[str, Tool]:
     def commit_detail(commit_hash: str) -> DataFrame:
         return _by_hash(s["commits"], commit_hash).orderBy("hash").limit(1)
 
+    asked = lambda **values: spark.createDataFrame([tuple(values.values())], ", ".join(f"{c} string" for c in values))
+
     def backport(upstream: str, version: str) -> DataFrame:
-        found = s["commits"].where(F.col("upstream_commit").startswith(upstream[:12]) & F.array_contains("affected_versions", version))
-        return found.orderBy("commit_date", "hash").limit(1)
+        return lookups.backport_status(asked(upstream=upstream, version=version), s["commits"]).where("backported").drop("backported")
 
     def regressions(commit_hash: str) -> DataFrame:
-        refs = F.exists("fixes_refs", lambda r: (r != "") & F.lit(commit_hash).startswith(r))
-        fixes = s["commits"].where(refs).select("hash", "subject", "commit_date", F.lit("fix").alias("kind"))
-        reverts = s["commits"].where(F.col("subject").startswith('Revert "') & F.col("body").contains(commit_hash[:12])).select("hash", "subject", "commit_date", F.lit("revert").alias("kind"))
-        return fixes.unionByName(reverts).orderBy("commit_date", "hash").limit(20)
+        return lookups.regression_fixes(asked(hash=commit_hash), s["commits"], _reverts(s)).orderBy("kind", "hash")
 
-    def touching(symbol: str, limit: int = 10) -> DataFrame:
-        hit = s["edges_symbol"].where(F.col("symbol") == symbol).select(F.col("commit").alias("hash")).distinct()
-        first = ranking.first_of(s["commits"].join(hit, "hash", "left_semi"), ["short_hash"], [F.desc_nulls_last("commit_date"), F.col("hash")])
-        return first.orderBy(F.desc_nulls_last("commit_date"), "hash").limit(clamp(limit, 1, 50))
+    def touching(symbol: str, version: str | None = None, since_months: int = 36, limit: int = 20) -> DataFrame:
+        edges = s["edges_symbol"] if "kind" in s["edges_symbol"].columns else s["edges_symbol"].withColumn("kind", F.lit("unknown"))
+        since = F.current_date() - F.lit(since_months * 30)
+        return lookups.commits_touching(asked(symbol=symbol, version=version), edges, s["commits"], since, clamp(limit, 5, 50)).orderBy("place")
 
     def similar(trace: str, limit: int = 10) -> DataFrame:
-        sign = spark.createDataFrame([(trace,)], "t string").select(stack.signature(F.col("t")).alias("stack_signature")).where("stack_signature <> ''")
-        found = None
-        for name, key in (("crashes", "crash_id"), ("bugs", "bug_id"), ("messages", "message_id")):
-            if name in s.tables and "stack_signature" in s[name].columns:
-                one = s[name].join(F.broadcast(sign), "stack_signature").select(F.lit(name).alias("origin"), F.col(key).cast("string").alias("id"))
-                found = one if found is None else found.unionByName(one)
-        return ranking.top_n(found, ["origin"], [F.col("id")], clamp(limit, 3, 25)).drop("rn")
+        kinds = {"crashes": ("crash_id", "title"), "bugs": ("bug_id", "title"), "messages": ("message_id", "subject"), "log_events": ("event_id", "fault_kind")}
+        known = {n: (s[n], key, title) for n, (key, title) in kinds.items() if n in s.tables and "stack_signature" in s[n].columns}
+        return lookups.similar_crashes(asked(id="", trace=trace), known, clamp(limit, 3, 25)).orderBy("origin", "key")
 
     def fixed_by(commit_hash: str, limit: int = 10) -> DataFrame:
-        return s["edges_crash"].where(F.col("commit").startswith(commit_hash[:12])).orderBy("crash", "commit").limit(clamp(limit, 1, 50))
+        return lookups.crashes_fixed(asked(hash=commit_hash), s["edges_crash"], s["crashes"], clamp(limit, 3, 25)).orderBy(F.desc_nulls_last("status"), "crash")
 
     def owners(path: str) -> DataFrame:
-        m = s["maintainers"].withColumn("file", F.explode("files"))
-        fits = lambda c: F.when(c.endswith("/"), F.lit(path).startswith(c)).otherwise(F.regexp_like(F.lit(path), F.concat(F.lit("^\\Q"), F.replace(c, F.lit("*"), F.lit("\\E.*\\Q")), F.lit("\\E$"))))
-        best = ranking.first_of(m.where(fits(F.col("file"))), ["name"], [F.desc(F.length("file")), F.col("file")])
-        kept = best.where(~F.exists("excluded", fits))
-        return kept.orderBy(F.desc(F.length("file")), "name").limit(8).select("name", "people", "file")
+        m = s["maintainers"]
+        of = lambda column, kind: m.select(F.col("name").alias("section"), F.explode(column).alias("pattern"), F.lit(kind).alias("kind"))
+        people = m.select(F.col("name").alias("section"), F.explode("people").alias("name"), F.lit(None).cast("string").alias("email"), F.lit(None).cast("string").alias("role"))
+        found = lookups.owners(asked(path=path), of("files", "F").unionByName(of("excluded", "X")), people)
+        return found.orderBy("place").select(F.col("section").alias("name"), "people", F.col("pattern").alias("file"))
+
+    def diff(commit_hash: str, max_chars: int = 5000) -> DataFrame:
+        found = _by_hash(s["diffs"], commit_hash).orderBy("hash").limit(1)
+        return found.select("hash", "repo", F.left("diff", F.lit(max_chars)).alias("diff"), (F.length("diff") > max_chars).alias("truncated"))
+
+    def source(symbol: str, limit: int = 10) -> DataFrame:
+        named = s["code"].where(F.col("symbol") == symbol).select("file", "symbol", "text")
+        near = s["code"].where(F.col("text").contains(symbol) & (F.col("symbol") != symbol)).orderBy("file", "symbol").limit(clamp(limit, 1, 50))
+        return routes.or_else(named, near.select("file", "symbol", "text"))
+
+    def calls(symbol: str, direction: str = "callers") -> DataFrame:
+        called = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
+        if direction not in ("callers", "callees"):
+            raise ValueError(f"direction is callers or callees, not {direction}")
+        if direction == "callers":
+            rows = s["code"].where(F.col("text").contains(symbol)).select("file", "symbol", called.alias("called")).where((F.col("called") == symbol) & (F.col("symbol") != symbol))
+        else:
+            rows = s["code"].where(F.col("symbol") == symbol).select("file", "symbol", called.alias("called")).where((F.col("called") != symbol) & ~F.col("called").isin(symbols.KEYWORDS + ["sizeof"]))
+        return rows.distinct().orderBy("file", "symbol", "called")
+
+    def series(message_id: str) -> DataFrame:
+        return lookups.patch_series(asked(message=message_id), s["patches"]).orderBy(F.asc_nulls_last("number"), "message")
+
+    def frames(text: str) -> DataFrame:
+        return spark.createDataFrame(list(enumerate(logs.call_trace(text), 1)), "nth int, frame string")
+
+    def memory_errors() -> DataFrame:
+        return s["ecc"].select("*", hardware.ecc_trend(F.col("corrected"), F.col("uncorrected")).alias("trend"))
 
     def subsystem_fixes(prefixes: list[str], contains: str = "", limit: int = 10) -> DataFrame:
         low = F.lower("subject")
@@ -107,6 +139,9 @@ def registry(store: Store) -> dict[str, Tool]:
         Tool("browse_subsystem_fixes", subsystem_fixes), Tool("expand_query_from_symbol", expand),
         Tool("parse_log", lambda log: logs.extract_events(spark.createDataFrame([(0, log)], "id int, log string"), "id", "log"), ("kernel", "hardware")),
         Tool("parse_taint_flags", lambda v: one(v, hardware.taint), ("hardware",)), Tool("parse_machine_check", lambda v: one(v, hardware.mci_status), ("hardware",)), Tool("get_mce_log", lambda v: one(v, hardware.mcelog), ("hardware",)),
+        Tool("get_commit_diff", diff), Tool("get_function_source", source), Tool("get_call_graph", calls), Tool("get_patch_series", series), Tool("extract_call_trace", frames),
+        Tool("parse_sosreport", lambda path, last_lines=200: archives.system_reports(spark, path, last_lines)), Tool("get_edac_errors", memory_errors, ("hardware",)),
+        Tool("get_device_major_mapping", lambda major, kind="block": asked(kind=kind).select(hardware.device_major(F.lit(major), F.col("kind")).alias("r"))),
         Tool("get_hardware_inventory", lambda v: one(v, hardware.inventory), ("hardware",)), Tool("get_event_log", lambda v: one(v, hardware.event_log), ("hardware",)), Tool("decode_frame", lambda v: one(v, hardware.decoded_frame)),
     ]
     return {t.name: t for t in tools}

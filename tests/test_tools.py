@@ -20,7 +20,10 @@ def store(spark):
         "commits": c,
         "edges_symbol": spark.createDataFrame([("aaaaaaaaaaaa1111", "tcp_x", "net/tcp.c")], "commit string, symbol string, file string"),
         "maintainers": spark.createDataFrame([("NET", ["a"], ["net/"], []), ("TCP", ["b"], ["net/tcp*.c"], []), ("OLD", ["c"], ["net/"], ["net/tcp.c"])], "name string, people array<string>, files array<string>, excluded array<string>"),
-        "code": spark.createDataFrame([("f.c", "tcp_x", "tcp_y tcp_y MAX_SIZE a_b")], "file string, symbol string, text string"),
+        "diffs": spark.createDataFrame([("aaaaaaaaaaaa1111", "r", "diff --git")], "hash string, repo string, diff string"),
+        "patches": spark.createDataFrame([("m1", "s", 1, 2), ("m2", "s", 2, 2)], "message string, series string, number int, total int"),
+        "ecc": spark.createDataFrame([("d0", 101, 0), ("d1", 0, 1)], "dimm string, corrected int, uncorrected int"),
+        "code": spark.createDataFrame([("f.c", "tcp_x", "tcp_y tcp_y MAX_SIZE a_b"), ("g.c", "up", "if (a) tcp_x (b);")], "file string, symbol string, text string"),
     })
 
 
@@ -28,12 +31,18 @@ def test_lookups(spark):
     t = tools.registry(store(spark))
     hashes = lambda df: [r["hash"][0] for r in df.collect()]
     assert hashes(t["get_commit_detail"].run("aaaaaaaaaaaa")) == ["a"] == hashes(t["get_commit_detail"].run("aaaaaaa"))
-    assert [(r["hash"][0], r["kind"]) for r in t["get_regression_fixes"].run("bbbbbbbbbbbb2222").collect()] == [("a", "fix"), ("c", "revert")]
+    assert [(r["hash"][0], r["kind"]) for r in t["get_regression_fixes"].run("bbbbbbbbbbbb2222").collect()] == [("a", "fix"), ("c", "revert/body")]
     assert hashes(t["check_backport_status"].run("dddddddddddd", "6.6")) == ["a"] and hashes(t["check_backport_status"].run("dddddddddddd", "5.10")) == []
-    assert hashes(t["find_commits_touching_symbol"].run("tcp_x")) == ["a"]
+    assert hashes(t["find_commits_touching_symbol"].run("tcp_x", since_months=1200)) == ["a"]
     assert [r["name"] for r in t["lookup_subsystem_owner"].run("net/tcp.c").collect()] == ["TCP", "NET"]
     assert hashes(t["browse_subsystem_fixes"].run(["net"], "leak")) == ["a"]
     assert [r["token"] for r in t["expand_query_from_symbol"].run("tcp_x").collect()][0] == "tcp_y"
+    assert [tuple(r) for r in t["get_commit_diff"].run("aaaaaaa", max_chars=4).collect()] == [("aaaaaaaaaaaa1111", "r", "diff", True)]
+    assert [r["symbol"] for r in t["get_function_source"].run("tcp_x").collect()] == ["tcp_x"] and [r["file"] for r in t["get_function_source"].run("MAX_SIZE").collect()] == ["f.c"]
+    assert [r["symbol"] for r in t["get_call_graph"].run("tcp_x").collect()] == ["up"] and [r["called"] for r in t["get_call_graph"].run("up", "callees").collect()] == ["tcp_x"]
+    assert [(r["message"], r["is_asked"]) for r in t["get_patch_series"].run("m2").collect()] == [("m1", False), ("m2", True)]
+    assert [r["trend"] for r in t["get_edac_errors"].run().orderBy("dimm").collect()] == ["increasing", "critical"]
+    assert [r["frame"] for r in t["extract_call_trace"].run("Call Trace:\n a_b+0x1/0x2\n\nx").collect()] and t["get_device_major_mapping"].run(8, "block").first()["r"]["driver"]
     assert {r["hash"][0] for r in t["search_commits"].run("tcp leak").collect()} == {"a", "b"}
     assert "get_mce_log" in tools.for_route(t, "hardware") and "get_mce_log" not in tools.for_route(t, "change")
     tools.register_functions(spark)
