@@ -131,7 +131,7 @@ def _route_hits(s, d, limit):
         kept = F.col("doc_id") % 4 == i
         kept = kept & (F.col("lang") != "fr") if name == "commit" else kept
         made[name] = lambda name=name, kept=kept: routes.tiered(name, at, _ASKED, limit, kept)
-    return routes.fan_out(made | {"failing": lambda: docs.select("no_such_column")})
+    return routes.fan_out(made | {"failing": lambda: made["no such route"]()})
 
 
 def _route_sql(limit: int) -> str:
