@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, surrogates, token_counts, toxicity
+from faultlens.llm import alignment, bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, surrogates, token_counts, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    documents, _ = alignment.align(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return documents
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_improbable_features": op1_improbable_features,
@@ -81,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_patched_blocks": op8_patched_blocks,
         "op9_mixing_tree": op9_mixing_tree,
         "op10_extendible_hash": op10_extendible_hash,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
