@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import alignment, bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, surrogates, token_counts, toxicity
+from faultlens.llm import alignment, bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, surrogates, token_counts, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,13 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    seconds = F.lit(946_684_800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000))  # pages have no time of capture
+    _, manifest = warc.write(pages, F.timestamp_seconds(seconds))
+    return warc.histories(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -88,6 +95,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_patched_blocks": op8_patched_blocks,
         "op9_mixing_tree": op9_mixing_tree,
         "op10_extendible_hash": op10_extendible_hash,
+        "op12_index_merge": op12_index_merge,
         "op13_token_alignment": op13_token_alignment,
     }
 
@@ -102,6 +110,18 @@ WITH n AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
 """
 
+# base32 of a SHA-1: every 5 hexadecimal digits are 4 letters
+_OP12 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT page_id, html, sha1(html) AS hex, min(page_id) OVER (PARTITION BY html) AS head FROM p)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 5 * (k // 4)::INT + 1, 5))::BIGINT >> (15 - 5 * (k % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id = head THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> head THEN head END AS refers_to
+FROM g
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_extendible_hash": _OP10}
+    return {"op10_extendible_hash": _OP10, "op12_index_merge": _OP12}
