@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultlens.llm import alignment, bpe, exact_dedup, fingerprints, mixing, ngram_join, pfor, sharding, surrogates, token_counts, toxicity, warc
+from faultlens.llm import alignment, bpe, exact_dedup, fingerprints, mixing, ngram_join, periodic, pfor, sharding, surrogates, token_counts, toxicity, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +70,21 @@ def op10_extendible_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _with_period(doc_id: int | None, words: list[str]) -> list[str]:
+    """Of a tenth of the texts, the words from some place on become a repeated stretch."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    n, g = len(words), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * (-(-(n - a) // p)))[: n - a]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.detect(_documents(spark, sf_dir), periodic.digests, _with_period)
+
+
 def op12_index_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     seconds = F.lit(946_684_800) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(1_000_000_000))  # pages have no time of capture
@@ -95,6 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_patched_blocks": op8_patched_blocks,
         "op9_mixing_tree": op9_mixing_tree,
         "op10_extendible_hash": op10_extendible_hash,
+        "op11_periodic_runs": op11_periodic_runs,
         "op12_index_merge": op12_index_merge,
         "op13_token_alignment": op13_token_alignment,
     }
