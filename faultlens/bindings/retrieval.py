@@ -8,21 +8,38 @@ from pyspark.sql import functions as F
 
 from faultlens.bindings.registry import query
 from faultlens.plans import routes, search
+from faultlens.plans.segments import SegmentIndex
 from faultlens.session import shared_folder
 from faultlens.session import table as t
 
-_written: dict[tuple[str, str], search.Index] = {}
+_written: dict[tuple[str, str, str], SegmentIndex] = {}
 
 
-def index(s, d) -> search.Index:
-    """The index of documents, written to the shared folder once an application and read by every query."""
-    at = (s.sparkContext.applicationId, d)
+def _once(s, d, name: str, make) -> SegmentIndex:
+    """An index that is written to the shared folder once an application and read by every query."""
+    at = (s.sparkContext.applicationId, d, name)
     if at not in _written:
-        place = f"{shared_folder(s)}/search-index-{uuid4().hex[:12]}"
-        _written[at] = search.Index.write(t(s, d, "documents"), "doc_id", "text", place)
+        _written[at] = make(f"{shared_folder(s)}/{name}-{uuid4().hex[:12]}")
     return _written[at]
 
 
+def index(s, d) -> SegmentIndex:
+    return _once(s, d, "search-index", lambda place: SegmentIndex.write(t(s, d, "documents"), "doc_id", "text", place))
+
+
+def changed_index(s, d) -> SegmentIndex:
+    """Documents that came in steps: nine tenths at first, the others later; then a tenth is changed and a tenth deleted."""
+
+    def make(place: str) -> SegmentIndex:
+        docs = t(s, d, "documents").select("doc_id", "text")
+        tenth = lambda k: docs.where(F.pmod("doc_id", F.lit(10)) == k)
+        first = SegmentIndex.write(docs.where(F.pmod("doc_id", F.lit(10)) != 1), "doc_id", "text", place)
+        changed = tenth(2).withColumn("text", F.concat(F.lit("the que "), F.reverse(F.coalesce("text", F.lit("")))))
+        return first.update(tenth(1)).update(changed).update(deleted=tenth(3))
+
+    return _once(s, d, "changed-index", make)
+
+
 _TOK = r"""tok AS (SELECT doc_id, lang, source, string_split_regex(lower(text), '[^\p{L}\p{N}_]+') AS t0 FROM documents), docs AS (SELECT doc_id, lang, source, [x FOR x IN t0 IF x <> ''] AS t FROM tok)"""
 
 
@@ -49,6 +66,24 @@ def _(s, d):
     return out.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "doc_id").limit(50)
 
 
+@query("r04_block_max_top", f"WITH {_bm25(['die', 'que', 'tion', 'onha'])} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 50")
+def _(s, d):
+    return index(s, d).top_k(["die", "que", "tion", "onha"], 50)
+
+
+_CHANGED = "now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN 'the que ' || reverse(coalesce(text, '')) ELSE text END AS text, lang, source FROM documents WHERE doc_id % 10 <> 3), "
+
+
+@query("r01_changed_index", f"WITH {_CHANGED}{_bm25(['the', 'que', 'onha']).replace('FROM documents', 'FROM now')} SELECT doc_id, matched, round(score, 6) AS score FROM bm")
+def _(s, d):
+    return changed_index(s, d).bm25(["the", "que", "onha"]).select("doc_id", "matched", F.round("score", 6).alias("score"))
+
+
+@query("r01_changed_index_top", f"WITH {_CHANGED}{_bm25(['the', 'que', 'onha']).replace('FROM documents', 'FROM now')} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY round(score, 6) DESC, doc_id LIMIT 40")
+def _(s, d):
+    return changed_index(s, d).top_k(["the", "que", "onha"], 40)
+
+
 _TIER_WORDS = ["the", "of", "er", "tionthe", "zzzz"]
 
 

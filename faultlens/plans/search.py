@@ -115,10 +115,14 @@ class Index:
         found = every if kept is None else every.join(kept.select(self.key), self.key, "left_semi")
         return _ranked(tiers_of(found, self.key, words).join(scored(found, self.stats, self.key, words, every=every), self.key), self.key, limit)
 
+    def places(self, words: list[str]) -> DataFrame:
+        """The words' postings with positions."""
+        return self.all.where(F.col("term").isin(words))
+
     def cover_rank(self, words: list[str]) -> DataFrame:
         """key, rank: cover density of documents that have all words, from stored positions."""
         words = list(dict.fromkeys(words))
-        found = self.all.where(F.col("term").isin(words)).groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
+        found = self.places(words).groupBy(self.key).agg(F.map_from_entries(F.collect_list(F.struct("term", "positions"))).alias("m"))
         every = found.where(F.size("m") == len(words)).select(self.key, F.array(*[F.col("m")[w] for w in words]).alias("p"))
         return _cover_ranked(every, self.key)
 
