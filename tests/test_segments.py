@@ -49,7 +49,7 @@ def files(folder):
 
 
 def test_changes_in_steps(spark, folder, monkeypatch):
-    monkeypatch.setattr(segments, "FAN", 3)
+    monkeypatch.setattr(segments, "FAN", 2)
     rows = dict(documents(600))
     index = SegmentIndex.write(frame(spark, list(rows.items())), "id", "body", folder)
     same(index, rows.items(), spark)
