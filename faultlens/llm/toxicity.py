@@ -305,16 +305,13 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", STEP):
             made = shared.value.scores([(t or "").encode() for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(made, pa.float64())], ["doc_id", "lang", "score"])
+            cuts = [shared.value.thresholds.get(x or "", 0.5) for x in batch.column("lang").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(made, pa.float64()), pa.array(cuts, pa.float64())], ["doc_id", "score", "threshold"])
 
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     base = docs.select("doc_id", lang.alias("lang"), "text")
-    cut = F.lit(0.5)
-    for name, value in model.thresholds.items():
-        cut = F.when(F.coalesce("lang", F.lit("")) == name, F.lit(value)).otherwise(cut)
     return (
-        base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, lang string, score double")
-        .withColumn("threshold", cut)
+        base.mapInArrow(run, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, score double, threshold double")
         .select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "threshold", (F.col("score") >= F.col("threshold")).alias("rejected"))
     )
 

@@ -121,3 +121,16 @@ def test_very_long_text(spark):
     long_ = spark.createDataFrame([(1, calm, "en"), (2, calm + "rotten", "en")], "doc_id long, text string, lang string")
     got = {r["doc_id"]: r["score"] for r in tx.score(long_, model).collect()}
     assert got[2] > got[1] and got[2] >= 0.5
+
+
+def test_many_languages(spark):
+    """Thresholds of a thousand languages are a map in the model, not a nested expression."""
+    rows = corpus(300)
+    docs = spark.createDataFrame([(d, t, f"l{d}") for d, t, _, _ in rows] + [(5000, "rotten", "l7"), (5001, "rotten", None), (5002, "rotten", "x")], "doc_id long, text string, lang string")
+    model = tx.train(docs, spark.createDataFrame([(d, y) for d, _, _, y in rows], "doc_id long, toxic int"))
+    model.thresholds.update({f"l{k}": 0.1 + k / 2000 for k in range(1000)} | {"": 0.25})
+    got = {r["doc_id"]: r for r in tx.score(docs, model).collect()}
+    assert [round(got[d]["threshold"], 6) for d in (5000, 5001, 5002)] == [0.1035, 0.25, 0.5]
+    assert all(r["rejected"] == (r["score"] >= r["threshold"]) for r in got.values())
+    kept = {r["doc_id"] for r in tx.accepted(docs, model).collect()}
+    assert kept == {d for d, r in got.items() if not r["rejected"]}
