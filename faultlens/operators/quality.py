@@ -40,11 +40,15 @@ def health(runs: DataFrame, source: str, ok: Column, error: Column, at: str, tie
     run = leading_run(runs, source, [F.desc(at), F.desc(tie)], ~error)
     last = runs.groupBy(source).agg(F.max(F.when(ok, F.col(at))).alias("last_success"))
     n = F.col("run_length")
+    backoff = F.when(n >= 3, F.least(F.lit(480), 30 * F.pow(F.lit(2), F.least(n - 3, F.lit(10))).cast("int"))).otherwise(0)
+    return health_status(last.join(run, source).select(source, "last_success", n.alias("consecutive_errors"), (n >= 3).alias("circuit_open"), backoff.alias("backoff_minutes")), now, stale_days)
+
+
+def health_status(found: DataFrame, now: Column, stale_days: int = 14) -> DataFrame:
+    """found (last_success, consecutive_errors, circuit_open) with is_stale and status."""
     stale = F.col("last_success").isNull() | (F.col("last_success") < now - F.expr(f"interval {stale_days} days"))
-    opened = n >= 3
-    backoff = F.when(opened, F.least(F.lit(480), 30 * F.pow(F.lit(2), F.least(n - 3, F.lit(10))).cast("int"))).otherwise(0)
-    status = F.when(opened, "circuit_open").when(stale, "stale").when(n > 0, "degraded").otherwise("ok")
-    return last.join(run, source).select(source, "last_success", n.alias("consecutive_errors"), opened.alias("circuit_open"), backoff.alias("backoff_minutes"), stale.alias("is_stale"), status.alias("status"))
+    status = F.when(F.col("circuit_open"), "circuit_open").when(stale, "stale").when(F.col("consecutive_errors") > 0, "degraded").otherwise("ok")
+    return found.withColumn("is_stale", stale).withColumn("status", status)
 
 
 def invariants(checks: dict[str, DataFrame]) -> DataFrame:
