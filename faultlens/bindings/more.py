@@ -40,11 +40,10 @@ def _(s, d):
  p AS (SELECT a.conv_id, a.turn AS claim, b.turn AS evidence, len(list_intersect(a.w, b.w)) * 1.0 / len(a.w) AS share FROM w a JOIN w b ON a.conv_id = b.conv_id WHERE a.role = 'assistant' AND b.role = 'user' AND len(a.w) > 0)
  SELECT conv_id, claim, evidence, round(share, 6) AS share FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, claim ORDER BY share DESC, evidence) AS rn FROM p) WHERE rn = 1""")
 def _(s, d):
-    c = t(s, d, "conversations").where("text is not null").withColumn("w", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]{4,}"), F.lit(0))))
-    a = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("claim"), F.col("w").alias("wa")).where(F.size("wa") > 0)
-    b = c.where("role = 'user'").select("conv_id", F.col("turn").alias("evidence"), F.col("w").alias("wb"))
-    pairs = a.join(b, "conv_id").withColumn("share", F.size(F.array_intersect("wa", "wb")) / F.size("wa"))
-    return ranking.first_of(pairs, ["conv_id", "claim"], [F.desc("share"), F.col("evidence")]).select("conv_id", "claim", "evidence", F.round("share", 6).alias("share"))
+    c = t(s, d, "conversations").where("text is not null").withColumn("tokens", text.significant_tokens(F.col("text"), []))
+    of = lambda role, id_: c.where(F.col("role") == role).select(F.col("conv_id").alias("case_id"), F.col("turn").alias(id_), "tokens")
+    found = quality.bind_claims(of("assistant", "claim").where(F.size("tokens") > 0).withColumnRenamed("claim", "claim_id"), of("user", "evidence_id"))
+    return found.select(F.col("case_id").alias("conv_id"), F.col("claim_id").alias("claim"), F.col("evidence_id").alias("evidence"), "share")
 
 
 @query("x11_clean_message_ids", f"""WITH {MESSAGE_IDS.sql('m')}, c AS (SELECT id, regexp_replace(regexp_replace(trim(raw), '^<+|>+$', '', 'g'), '[.,;:''")\\]}}>]+$', '') AS v FROM m) SELECT id, CASE WHEN length(v) BETWEEN 5 AND 998 AND contains(v, '@') AND NOT regexp_matches(v, '\\s') THEN v END AS message_id FROM c""")

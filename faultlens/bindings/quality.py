@@ -82,9 +82,8 @@ def _(s, d):
  b AS (SELECT *, row_number() OVER (PARTITION BY case_id, claim_id ORDER BY share DESC, evidence_id) AS rn FROM p) SELECT case_id, claim_id, evidence_id, CAST(round(share, 6) AS DOUBLE) AS share, share >= 0.2 AS verified FROM b WHERE rn = 1""")
 def _(s, d):
     c = t(s, d, "conversations")
-    claims = c.where("role = 'assistant'").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("claim_id"), F.col("text").alias("claim"))
-    evidence = c.where("role = 'user'").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("evidence_id"), F.col("text").alias("evidence"))
-    return quality.bind_claims(claims, evidence, text.overlap(F.col("claim"), F.col("evidence"), ["with", "that"]))
+    of = lambda role, id_: c.where(F.col("role") == role).select(F.col("conv_id").alias("case_id"), F.col("turn").alias(id_), text.significant_tokens(F.col("text"), ["with", "that"]).alias("tokens"))
+    return quality.bind_claims(of("assistant", "claim_id"), of("user", "evidence_id"))
 
 
 @query("g01_thread_roots", "SELECT conv_id, turn, conv_id * 100000 AS root FROM conversations")

@@ -72,9 +72,20 @@ def commits_touching(requests: DataFrame, edges: DataFrame, commits: DataFrame,
     return shown.select("symbol", "version", F.col("rn").alias("place"), "hash", "file", "kind", "subject", "commit_date")
 
 
-def _head(path: Column) -> Column:
-    """The first folder of a path or pattern; empty where a star may take its place or there is none."""
-    return F.regexp_extract(path, r"^([^/*]+)/", 1)
+SALTS = 16
+
+
+def _anchors(path: Column) -> Column:
+    """The path itself and every folder above it, each with its slash, and the empty one."""
+    parts = F.split(path, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i - 1), "/"), F.when(i > 1, "/").otherwise("")))
+    return F.array_distinct(F.concat(above, F.array(path)))
+
+
+def _anchor(pattern: Column) -> Column:
+    """What every path that fits has among its anchors: the pattern, or its longest folder before the first star."""
+    literal = F.regexp_extract(pattern, r"^([^*]*)", 1)
+    return F.when(literal == pattern, pattern).otherwise(F.regexp_extract(literal, r"^(.*/)", 1))
 
 
 def owners(requests: DataFrame, patterns: DataFrame, people: DataFrame, fetched: int = 8, shown: int = 5) -> DataFrame:
@@ -82,14 +93,15 @@ def owners(requests: DataFrame, patterns: DataFrame, people: DataFrame, fetched:
 
     patterns: section, pattern, kind (F or X); people: section, name, email, role. A pattern that ends in a slash takes
     everything below it, elsewhere a star takes any run of characters. The `fetched` longest matches of a path are
-    looked at; a section with an X among them is out, and the first `shown` F patterns stay. Paths and patterns meet by
-    their first folder, so that only patterns of the same folder, and those without one, are tried."""
+    looked at; a section with an X among them is out, and the first `shown` F patterns stay. A path meets the patterns of
+    each folder above it, at any depth, by equality; only those with a star are tried further. Paths of one folder are
+    dealt over SALTS copies of its patterns."""
     asked = requests.select("path", F.ltrim(F.trim("path"), F.lit("/")).alias("_p")).where(F.col("_p").rlike("^[^ ]+$")).distinct()
-    asked = asked.withColumn("_head", F.explode(F.array_distinct(F.array(_head(F.col("_p")), F.lit("")))))
-    globs = patterns.where("kind in ('F', 'X')").select("section", "pattern", "kind", _head(F.col("pattern")).alias("_head"))
+    asked = asked.withColumn("_salt", F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")).withColumn("_anchor", F.explode(_anchors(F.col("_p"))))
+    globs = patterns.where("kind in ('F', 'X')").select("section", "pattern", "kind", _anchor(F.col("pattern")).alias("_anchor"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     like = F.replace(F.regexp_replace("pattern", "([!%_])", "!$1"), F.lit("*"), F.lit("%"))
     fits = F.when(F.endswith("pattern", F.lit("/")), F.col("_p").startswith(F.col("pattern"))).otherwise(F.like("_p", like, F.lit("!")))
-    hit = asked.join(globs, "_head").where(fits)
+    hit = asked.join(globs, ["_anchor", "_salt"]).where(fits)
     best = top_n(hit, ["path"], [F.desc(F.length("pattern")), F.col("section"), F.col("kind"), F.col("pattern")], fetched).withColumnRenamed("rn", "_at")
     out = best.where("kind = 'X'").select("path", "section").distinct()
     kept = top_n(best.where("kind = 'F'").join(out, ["path", "section"], "left_anti"), ["path"], [F.col("_at")], shown)

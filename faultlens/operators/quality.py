@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.operators.ranking import leading_run, repeatable_sample
+from faultlens.operators.ranking import leading_run, repeatable_sample, top_n
 
 
 def share(condition: Column) -> Column:
@@ -77,9 +77,46 @@ def phases(trace: DataFrame, case: str, tool: str, error: str, tools_of: dict[st
     return every.select(case, *[f.alias(p) for p, f in flags.items()], F.round(total / len(flags), 6).alias("coverage"))
 
 
-def bind_claims(claims: DataFrame, evidence: DataFrame, share_of: Column, least: float = 0.2) -> DataFrame:
-    """Each claim's best evidence within its case: case_id, claim_id, evidence_id, share, verified."""
-    pairs = claims.join(evidence, "case_id").withColumn("share", share_of)
-    w = Window.partitionBy("case_id", "claim_id").orderBy(F.desc("share"), "evidence_id")
-    best = pairs.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    return best.select("case_id", "claim_id", "evidence_id", F.round("share", 6).alias("share"), (F.col("share") >= least).alias("verified"))
+FREQUENT = 200
+
+
+def best_evidence(claims: DataFrame, evidence: DataFrame, frequent: int = FREQUENT) -> DataFrame:
+    """case_id, claim_id, evidence_id, common: for each claim (case_id, claim_id, tokens) the evidence of its case
+    (case_id, evidence_id, tokens) with the most tokens in common; of equal ones the smallest id, also where none has any.
+    Claims of cases without evidence have no row. A null list has no tokens.
+
+    Tokens that at most `frequent` pieces of evidence of a case have bring claims and evidence together one by one. The
+    others only make signatures, of which a case has far fewer than texts: signatures meet signatures, and the smallest
+    id stands for a signature. A text that has rarer tokens in common as well is compared in full by the first way,
+    so the best of both ways is the best of all. No claim meets evidence that it shares no token with."""
+    none = F.array().cast("array<string>")
+    every = lambda df, id_: df.select("case_id", id_, F.array_distinct(F.coalesce("tokens", none)).alias("tokens"))
+    each = lambda df, id_: every(df, id_).select("case_id", id_, F.explode("tokens").alias("token"))
+    known, asked = each(evidence, "evidence_id"), each(claims, "claim_id")
+    df = known.groupBy("case_id", "token").agg((F.count(F.lit(1)) > frequent).alias("often"))
+    known, asked = known.join(df, ["case_id", "token"]), asked.join(df, ["case_id", "token"])
+    sign = lambda rows, id_: rows.groupBy("case_id", id_).agg(F.array_sort(F.collect_list(F.when(F.col("often"), F.col("token")))).alias("sign"))
+    known_signs, asked_signs = sign(known, "evidence_id"), sign(asked, "claim_id")
+    rare = known.where("not often").join(asked.where("not often").drop("often"), ["case_id", "token"]).groupBy("case_id", "claim_id", "evidence_id").agg(F.count(F.lit(1)).alias("n"))
+    full = (
+        rare.join(asked_signs.withColumnRenamed("sign", "asked"), ["case_id", "claim_id"]).join(known_signs.withColumnRenamed("sign", "known"), ["case_id", "evidence_id"])
+        .select("case_id", "claim_id", "evidence_id", (F.col("n") + F.size(F.array_intersect("asked", "known"))).alias("common"))
+    )
+    stands = known_signs.where(F.size("sign") > 0).groupBy("case_id", F.col("sign").alias("known")).agg(F.min("evidence_id").alias("evidence_id"))
+    kinds = asked_signs.where(F.size("sign") > 0).select("case_id", F.col("sign").alias("asked")).distinct()
+    meet = stands.select("case_id", "known", "evidence_id", F.explode("known").alias("token")).join(kinds.select("case_id", "asked", F.explode("asked").alias("token")), ["case_id", "token"])
+    counted = meet.groupBy("case_id", "asked", "known").agg(F.count(F.lit(1)).alias("common"), F.min("evidence_id").alias("evidence_id"))
+    best = top_n(counted, ["case_id", "asked"], [F.desc("common"), F.col("evidence_id")], 1).select("case_id", F.col("asked").alias("sign"), "common", "evidence_id")
+    by_sign = asked_signs.join(best, ["case_id", "sign"]).select("case_id", "claim_id", "evidence_id", "common")
+    least = every(evidence, "evidence_id").groupBy("case_id").agg(F.min("evidence_id").alias("evidence_id"))
+    nothing = claims.select("case_id", "claim_id").join(least, "case_id").select("case_id", "claim_id", "evidence_id", F.lit(0).cast("long").alias("common"))
+    found = full.unionByName(by_sign).unionByName(nothing)
+    return found.groupBy("case_id", "claim_id").agg(F.min_by(F.struct("evidence_id", "common"), F.struct(-F.col("common"), "evidence_id")).alias("b")).select("case_id", "claim_id", "b.*")
+
+
+def bind_claims(claims: DataFrame, evidence: DataFrame, least: float = 0.2, frequent: int = FREQUENT) -> DataFrame:
+    """Each claim's best evidence within its case: case_id, claim_id, evidence_id, share (of the claim's tokens), verified."""
+    size = claims.select("case_id", "claim_id", F.size(F.array_distinct(F.coalesce("tokens", F.array().cast("array<string>")))).alias("n"))
+    share = F.when(F.col("n") == 0, 0.0).otherwise(F.col("common") / F.col("n"))
+    found = best_evidence(claims, evidence, frequent).join(size, ["case_id", "claim_id"]).withColumn("share", share)
+    return found.select("case_id", "claim_id", "evidence_id", F.round("share", 6).alias("share"), (F.col("share") >= least).alias("verified"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import email
 import email.policy
 import email.utils
 from collections.abc import Iterator
-from datetime import UTC
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +48,7 @@ def _mail(raw: bytes) -> dict | None:
         return None
     try:
         date = email.utils.parsedate_to_datetime(m.get("Date"))
-        date = (date if date.tzinfo else date.replace(tzinfo=UTC)).astimezone(UTC).replace(tzinfo=None)
+        date = (date if date.tzinfo else date.replace(tzinfo=datetime.UTC)).astimezone(datetime.UTC).replace(tzinfo=None)
     except (TypeError, ValueError):
         date = None
     part = next((p for p in m.walk() if p.get_content_type() == "text/plain" and not p.is_multipart()), None)
@@ -56,21 +56,32 @@ def _mail(raw: bytes) -> dict | None:
     ids = lambda h: [x.strip("<>") for x in str(m.get(h) or "").split() if "@" in x]
     return {
         "message_id": own, "in_reply_to": (ids("In-Reply-To") or [None])[0], "refs": ids("References"), "author": str(m.get("From") or "") or None,
-        "date": date, "subject": str(m.get("Subject") or "") or None, "body": (payload or b"").decode("utf-8", "replace"),
+        "date": date, "subject": str(m.get("Subject") or "") or None, "body": _decoded(payload or b"", part.get_content_charset() if part is not None else None),
     }
 
 
-def mailbox(spark: SparkSession, path: str) -> DataFrame:
-    """Mails of mbox files, split at 'From ' lines; those without an id are left out."""
+def _decoded(raw: bytes, charset: str | None) -> str:
+    """By the stated charset, or as UTF-8; what does not fit is Latin-1."""
+    for name in (charset, "utf-8"):
+        try:
+            return raw.decode(name or "utf-8")
+        except (LookupError, UnicodeDecodeError):
+            pass
+    return raw.decode("latin-1")
+
+
+def mailbox(spark: SparkSession, path: str, split_bytes: int = 32 << 20) -> DataFrame:
+    """Mails of mbox files, each file read in parts of split_bytes; a mail begins at a 'From ' line. Those without an id
+    are left out. The parser sees the bytes of the file."""
+    from faultlens.sources import splittable
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [m for raw in frame["mail"] if (m := _mail(raw.encode("utf-8", "surrogateescape")))]
+            rows = [m for raw in frame["raw"] if (m := _mail(raw.partition(b"\n")[2] if raw.startswith(b"From ") else raw))]
             yield pd.DataFrame(rows, columns=["message_id", "in_reply_to", "refs", "author", "date", "subject", "body"]).astype({"date": "datetime64[us]"})
 
-    whole = spark.read.text(path, wholetext=True)
-    mails = whole.select(F.explode(F.split("value", r"(?m)^From [^\n]*\n")).alias("mail")).where("trim(mail) <> ''")
-    return mails.mapInPandas(run, MAIL)
+    splittable.register(spark)
+    return spark.read.format("mailbox").option("split_bytes", split_bytes).load(path).select("raw").mapInPandas(run, MAIL)
 
 
 def maintainers(spark: SparkSession, path: str) -> DataFrame:
@@ -85,7 +96,16 @@ def maintainers(spark: SparkSession, path: str) -> DataFrame:
 
 def json_logs(spark: SparkSession, path: str, since: str | None = None, level: int = 0, trace_id: str | None = None, pattern: str | None = None, limit: int | None = None) -> DataFrame:
     """Lines of JSON logs in folders date=YYYY-MM-DD; folders before `since` are not read. limit: only so many, the
-    newest, in order (each task keeps no more than that); without one the lines come unordered."""
+    newest, in order: one task reads from the newest folder back and stops when it has them (pattern is then one of
+    Python); without one all files are read at once and the lines come unordered."""
+    if limit is not None:
+        from faultlens.sources import splittable
+
+        splittable.register(spark)
+        first = (datetime.date.fromisoformat(since[:10]) - datetime.timedelta(days=1)).isoformat() if since else None
+        options = {"limit": limit, "from_date": first, "since": since, "least_level": level, "trace_id": trace_id, "pattern": pattern}
+        found = spark.read.format("dated_logs").options(**{k: v for k, v in options.items() if v is not None}).load(path)
+        return found.orderBy(F.desc("ts"), "module", "message")
     from faultlens.functions.text import level_rank
 
     df = spark.read.schema("ts string, level string, module string, trace_id string, message string, date date").json(path)
@@ -97,7 +117,7 @@ def json_logs(spark: SparkSession, path: str, since: str | None = None, level: i
         F.col("message").rlike(pattern) if pattern else None,
     ):
         df = df if keep is None else df.where(keep)
-    return df if limit is None else df.orderBy(F.desc("ts"), "module", "message").limit(limit)
+    return df
 
 
 def cve_records(spark: SparkSession, path: str) -> DataFrame:

@@ -72,12 +72,70 @@ def test_audit_and_claims(spark):
     e = spark.range(500).withColumn("ok", F.col("id") % 50 != 0)
     a, b = (quality.fidelity(x, ["id"], F.col("ok"), "n", sample=100).first() for x in (e, e.repartition(7)))
     assert a == b and a["n"] == 100 and 0.9 < a["passed_share"] <= 1
-    claims = spark.createDataFrame([(1, 1, "alpha beta gamma"), (1, 2, "nothing shared")], "case_id int, claim_id int, claim string")
-    evidence = spark.createDataFrame([(1, 7, "alpha beta"), (1, 8, "delta")], "case_id int, evidence_id int, evidence string")
-    from faultlens.functions.text import overlap
-
-    got = {r["claim_id"]: (r["evidence_id"], r["verified"]) for r in quality.bind_claims(claims, evidence, overlap(F.col("claim"), F.col("evidence"), [])).collect()}
-    assert got == {1: (7, True), 2: (7, False)}
+    claims = spark.createDataFrame([(1, 1, ["alpha", "beta", "gamma"]), (1, 2, ["nothing", "shared"]), (1, 3, []), (2, 1, ["alpha"])], "case_id int, claim_id int, tokens array<string>")
+    evidence = spark.createDataFrame([(1, 8, ["delta"]), (1, 7, ["alpha", "beta"]), (1, 9, None)], "case_id int, evidence_id int, tokens array<string>")
+    got = {r["claim_id"]: (r["evidence_id"], r["share"], r["verified"]) for r in quality.bind_claims(claims, evidence).collect()}
+    assert got == {1: (7, 0.666667, True), 2: (7, 0.0, False), 3: (7, 0.0, False)}
+
+
+def test_best_evidence_equals_looking_at_all_pairs(spark):
+    rng = random.Random(8)
+    common = [f"c{i}" for i in range(8)]
+    make = lambda n: [(rng.randrange(2), i, [rng.choice(common) for _ in range(rng.randrange(4))] + [f"w{rng.randrange(120)}" for _ in range(rng.randrange(3))]) for i in range(n)]
+    claims, evidence = make(150), make(170)
+    want = set()
+    for case, i, words in claims:
+        best = min((-len(set(words) & set(w)), j) for c, j, w in evidence if c == case)
+        want.add((case, i, best[1], -best[0]))
+    a = spark.createDataFrame(claims, "case_id int, claim_id int, tokens array<string>")
+    b = spark.createDataFrame(evidence, "case_id int, evidence_id int, tokens array<string>")
+    for frequent in (0, 3, 1000):
+        assert {tuple(r) for r in quality.best_evidence(a, b, frequent).collect()} == want
+
+
+def test_a_large_case_does_not_pair_all_its_texts(spark):
+    """20,000 claims and as much evidence of one case, of a few frequent words each: words meet by signatures."""
+    n = 20_000
+    words = F.array(*[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(12))) for k in range(3)], F.concat(F.lit("u"), F.pmod(F.xxhash64("id", F.lit(9)), F.lit(9000))))
+    claims = spark.range(n).select(F.lit(1).alias("case_id"), F.col("id").alias("claim_id"), words.alias("tokens"))
+    evidence = spark.range(n, 2 * n).select(F.lit(1).alias("case_id"), F.col("id").alias("evidence_id"), words.alias("tokens"))
+    found = quality.best_evidence(claims, evidence)
+    rows = found.collect()
+    assert len(rows) == n
+    sets = {r["evidence_id"]: set(r["tokens"]) for r in evidence.collect()}
+    asked = {r["claim_id"]: set(r["tokens"]) for r in claims.collect()}
+    for r in rows[:25]:
+        best = min((-len(asked[r["claim_id"]] & w), j) for j, w in sets.items())
+        assert (r["evidence_id"], r["common"]) == (best[1], -best[0])
+
+
+def test_owners_by_the_folders_above_a_path(spark):
+    from faultlens.operators import lookups
+
+    rng = random.Random(2)
+    names = ["a", "b", "net", "fs.c", "x_y"]
+    paths = sorted({"drivers/" + "/".join(rng.choice(names) for _ in range(rng.randrange(1, 5))) for _ in range(180)} | {"/net/a/b", "top.c", "fs.c", "net/", "a b", ""})
+    globs = ["drivers/", "drivers/net/", "drivers/*/net", "drivers/a*", "*.c", "fs.c", "net/", "*/x_y", "drivers/b/fs.c", "drivers/net/a/", "drivers/net/*", "no/such/", "drivers/b/*.c", "*"]
+    patterns = [(f"S{i % 9}", g, "X" if i % 6 == 5 else "F") for i, g in enumerate(globs)]
+
+    def fits(p, g):
+        import re
+
+        return p.startswith(g) if g.endswith("/") else re.fullmatch(".*".join(map(re.escape, g.split("*"))), p) is not None
+
+    want = set()
+    for path in paths:
+        p = path.strip(" ").lstrip("/")
+        if not p or " " in p:
+            continue
+        hits = sorted(((-len(g), s, k, g) for s, g, k in patterns if fits(p, g)))[:8]
+        out = {s for _, s, k, _ in hits if k == "X"}
+        kept = [(s, g) for _, s, k, g in hits if k == "F" and s not in out][:5]
+        want |= {(path, i, s, g) for i, (s, g) in enumerate(kept, 1)}
+    asked = spark.createDataFrame([(p,) for p in paths], "path string")
+    people = spark.createDataFrame([], "section string, name string, email string, role string")
+    found = lookups.owners(asked, spark.createDataFrame(patterns, "section string, pattern string, kind string"), people)
+    assert {tuple(r) for r in found.select("path", "place", "section", "pattern").collect()} == want
 
 
 def test_index_equals_search_without_one(spark, tmp_path):

@@ -21,6 +21,56 @@ def test_mailbox(spark, tmp_path):
     assert (r["message_id"], r["in_reply_to"], r["refs"], r["body"].strip(), r["date"].hour) == ("a@b", "r2@x", ["r1@x", "r2@x"], "hello", 2)
 
 
+def test_mailboxes_in_parts(spark, tmp_path):
+    import random
+
+    from faultlens.sources import splittable
+
+    rng, raw = random.Random(3), {}
+    for name in ("a", "b", "c"):
+        mails = []
+        for i in range(60):
+            body = ("\n" + "".join(rng.choice(["word ", "\n", "From here\n", ">From\n", "caf\u00e9 ", "\nFro"]) for _ in range(rng.randrange(80)))).replace("\nFrom ", "\n>From ")[1:]
+            mails.append(f"From x {i}\nMessage-ID: <{name}{i}@h>\nContent-Type: text/plain; charset=iso-8859-1\nSubject: s\n\n{body}\n".encode("latin-1"))
+        raw[name] = mails
+        (tmp_path / f"{name}.mbox").write_bytes(b"".join(mails))
+    (tmp_path / "d.mbox").write_bytes(b"")
+    (tmp_path / "e.mbox").write_bytes(b"no start line\n\nFrom y\nMessage-ID: <e@h>\n\nlast, without a line end")
+    splittable.register(spark)
+    want = sorted(m for mails in raw.values() for m in mails) + [b"From y\nMessage-ID: <e@h>\n\nlast, without a line end", b"no start line\n\n"]
+    for size in (1, 7, 1000, 1024, 1 << 25):
+        reader = splittable.MailboxReader(str(tmp_path), size)
+        got = [row for part in reader.partitions() for row in reader.read(part)]
+        assert sorted(r[2] for r in got) == want and len({r[:2] for r in got}) == len(got)
+        assert all((tmp_path / f).read_bytes()[p : p + len(m)] == m for f, p, m in got)
+    whole, parts = (sorted(tuple(r) for r in readers.mailbox(spark, str(tmp_path), n).select("message_id", "body").collect()) for n in (1 << 25, 1000))
+    assert whole == parts and len(whole) == 181 and any("caf\u00e9" in b for _, b in whole)
+
+
+def test_dated_logs(spark, tmp_path):
+    from faultlens.sources import splittable
+
+    for day in range(1, 6):
+        folder = tmp_path / f"date=2024-01-0{day}"
+        folder.mkdir()
+        for part in range(2):
+            lines = [f'{{"ts":"2024-01-0{day}T{h:02d}","level":"{"ERROR" if h % 3 == 0 else "INFO"}","module":"m","trace_id":"t","message":"msg {h}"}}' for h in range(part, 24, 2)]
+            (folder / f"p{part}.json").write_text("\n".join([*lines, "not json", "[1]"]) + "\n")
+    reader = splittable.DatedLogReader(str(tmp_path), from_date="2024-01-04")
+    assert len(reader.partitions()) == 4 and {day for p in reader.partitions() for _, day in p.uris} == {"2024-01-04", "2024-01-05"}
+    reader = splittable.DatedLogReader(str(tmp_path), 10, least=2, pattern="^msg")
+    (part,) = reader.partitions()
+    assert [r[0] for r in reader.read(part)] == [f"2024-01-0{d}T{h:02d}" for d, h in [(5, h) for h in range(21, -1, -3)] + [(4, 21), (4, 18)]]
+    assert len(reader.opened) == 4  # the three older folders were not opened
+    splittable.register(spark)
+    logs = spark.read.format("dated_logs").load(str(tmp_path))
+    assert logs.where((F.col("date") >= "2024-01-04") & (F.col("level") == "ERROR")).count() == 16 and logs.count() == 120
+    newest = readers.json_logs(spark, str(tmp_path), since="2024-01-05T10", limit=3)
+    assert [r["ts"] for r in newest.collect()] == ["2024-01-05T23", "2024-01-05T22", "2024-01-05T21"]
+    every = readers.json_logs(spark, str(tmp_path), since="2024-01-03", level=2, trace_id="t", pattern="msg [1-9]$")
+    assert [r["ts"] for r in readers.json_logs(spark, str(tmp_path), "2024-01-03", 2, "t", "msg [1-9]$", 100).collect()] == sorted((r["ts"] for r in every.collect()), reverse=True)
+
+
 def test_maintainers(spark, tmp_path):
     (tmp_path / "M").write_text("List\n\nNET\nM:\tA <a@x>\nS:\tMaintained\nF:\tnet/\nX:\tnet/old/\n\nNET\nM:\tB <b@x>\nF:\tinclude/net/\n\ntext only\n")
     (r,) = readers.maintainers(spark, str(tmp_path / "M")).collect()
