@@ -5,21 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from faultlens.bindings.registry import Literal, expected, query
+from faultlens.bindings.registry import Derived, query
 from faultlens.functions import hardware, logs, stack, symbols, text
 from faultlens.operators import graph, joins, quality, ranking, upsert
 from faultlens.session import table as t
 from faultlens.streaming import events as streams
 
-DIFFS = Literal("hash string, diff string", [("a", "diff --git a/net/x.c b/net/x.c\n@@ -1,2 +3,4 @@ int do_one(void)\n+a\ndiff --git a/m.h b/m.h\n@@ -1 +1 @@ #define TWO 2\n"), ("b", "none")])
-SUBJECTS = Literal("id int, subject string, body string", [
-    (1, "Revert \"net: add thing\"", "This reverts commit 1234567890abcdef."), (2, "tcp: fix deadlock", "WARNING: possible circular locking dependency"), (3, "mm: oom_kill fix", "x"),
-    (4, "sched: fix", None), (5, "docs", "kernel panic seen"), (6, None, None),
+DIFFS = Derived("hash string, diff string", [("diff --git a/net/x{k}.c b/net/x{k}.c\n@@ -1,2 +3,4 @@ int do_{a}(void)\n+a\ndiff --git a/m.h b/m.h\n@@ -1 +1 @@ #define TWO_{k} 2\n",), ("none {k}",)])
+SUBJECTS = Derived("id long, subject string, body string", [
+    ("Revert \"net: add {a}\"", "This reverts commit {h}."), ("tcp: fix deadlock {a}", "WARNING: possible circular locking dependency"), ("mm: oom_kill fix", "x{a}"),
+    ("sched: fix", None), ("docs {a}", "kernel panic seen"), (None, None),
 ])
-SEL = Literal("line string", [("1 | 01/02/2024 | 10:00:00 | Memory #0x01 | Uncorrectable ECC | Asserted",), ("2 | 01/03/2024 | 11:00:00 | Memory | Correctable ECC | Asserted",), ("3 | 01/03/2024 | 11:00:00 | Fan | ok",)])
-JUDGE = Literal("case_id int, a boolean, b boolean", [(1, True, True), (2, True, False), (3, None, False), (4, None, None), (5, False, False)])
-MESSAGE_IDS = Literal("id int, raw string", [(1, "<a@b.org>."), (2, "x@y"), (3, "no-at"), (4, "a b@c.de"), (5, "(q@r.st)"), (6, None)])
-FIXES = Literal("id int, url string, note string", [(1, "https://git.org/c/abcdef1234567", "fixed in 1234567"), (2, "https://x.org/?id=7654321abc", "nothing"), (3, "https://x.org/", "see commit 9999999aa and patch 8888888")])
+SEL = Derived("key long, line string", [("{k} | 01/02/2024 | 10:00:00 | Memory #0x01 | Uncorrectable ECC | Asserted",), ("{k} | 01/03/2024 | 11:00:00 | Memory | Correctable ECC | Asserted",), ("{k} | 01/03/2024 | 11:00:00 | Fan | ok",)])
+JUDGE = Derived("case_id long, a boolean, b boolean", [(True, True), (True, False), (None, False), (None, None), (False, False)])
+MESSAGE_IDS = Derived("id long, raw string", [("<a{k}@b.org>.",), ("x@y",), ("no-at{k}",), ("a {k}@c.de",), ("(q{a}@r.st)",), (None,)])
+FIXES = Derived("id long, url string, note string", [("https://git.org/c/abcdef1{h}", "fixed in 1234567"), ("https://x.org/?id=7{h}abc", "nothing"), ("https://x.org/", "see commit 99{h}aa and patch 8888888")])
 
 
 @query("j16_harvested_hashes", """WITH h AS (SELECT DISTINCT l_orderkey AS hash FROM lineitem WHERE l_suppkey = 3), p AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')
@@ -32,7 +32,7 @@ def _(s, d):
 
 @query("j18_reverts", f"""WITH {SUBJECTS.sql('x')} SELECT id, regexp_extract(subject, '^Revert "(.*)"', 1) AS reverted_subject, regexp_extract(body, '(?i)reverts commit ([0-9a-f]{{12,40}})', 1) AS reverted FROM x WHERE starts_with(subject, 'Revert "')""")
 def _(s, d):
-    x = SUBJECTS.df(s).where(F.col("subject").startswith('Revert "'))
+    x = SUBJECTS.df(s, d).where(F.col("subject").startswith('Revert "'))
     return x.select("id", F.regexp_extract("subject", '^Revert "(.*)"', 1).alias("reverted_subject"), F.regexp_extract("body", "(?i)reverts commit ([0-9a-f]{12,40})", 1).alias("reverted"))
 
 
@@ -48,12 +48,12 @@ def _(s, d):
 
 @query("x11_clean_message_ids", f"""WITH {MESSAGE_IDS.sql('m')}, c AS (SELECT id, regexp_replace(regexp_replace(trim(raw), '^<+|>+$', '', 'g'), '[.,;:''")\\]}}>]+$', '') AS v FROM m) SELECT id, CASE WHEN length(v) BETWEEN 5 AND 998 AND contains(v, '@') AND NOT regexp_matches(v, '\\s') THEN v END AS message_id FROM c""")
 def _(s, d):
-    return MESSAGE_IDS.df(s).select("id", text.clean_message_id(F.col("raw")).alias("message_id"))
+    return MESSAGE_IDS.df(s, d).select("id", text.clean_message_id(F.col("raw")).alias("message_id"))
 
 
-@query("x13_fix_hashes", expected("id, hashes", ["1, ['1234567', 'abcdef1234567']", "2, ['7654321abc']", "3, ['8888888', '9999999aa']"]))
+@query("x13_fix_hashes", FIXES.expected("id, hashes", {0: ["id, list_sort(['1234567', 'abcdef1' || h])"], 1: ["id, ['7' || h || 'abc']"], 2: ["id, list_sort(['8888888', '99' || h || 'aa'])"]}))
 def _(s, d):
-    return FIXES.df(s).select("id", text.fix_hashes(F.array("url"), F.col("note")).alias("hashes"))
+    return FIXES.df(s, d).select("id", text.fix_hashes(F.array("url"), F.col("note")).alias("hashes"))
 
 
 @query("x20_timestamps", "SELECT event_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(ts AS DATE) END AS day FROM events")
@@ -62,33 +62,33 @@ def _(s, d):
     return t(s, d, "events").select("event_id", F.to_date(text.timestamp_or_null(raw)).alias("day"))
 
 
-@query("x23_diff_symbols", expected("hash, file, symbol, kind", ["'a', 'm.h', 'TWO', 'macro'", "'a', 'net/x.c', 'do_one', 'function'", "'b', '__NONE__', '__NONE__', 'sentinel'"]))
+@query("x23_diff_symbols", DIFFS.expected("hash, file, symbol, kind", {0: ["k, 'm.h', 'TWO_' || k, 'macro'", "k, 'net/x' || k || '.c', 'do_' || a, 'function'"], 1: ["k, '__NONE__', '__NONE__', 'sentinel'"]}))
 def _(s, d):
-    return symbols.diff_symbols(DIFFS.df(s), "hash", "diff")
+    return symbols.diff_symbols(DIFFS.df(s, d), "hash", "diff")
 
 
-PATCHES = Literal("id int, kind string, diff string", [
-    (1, "mail", "diff --git a/x.c b/x.c\n--- a/x.c\n+++ b/x.c\n@@ -1 +1 @@\n ctx\n-old  line\n+new line"), (2, "commit", "diff --git a/x.c b/x.c\n@@ -90 +91 @@\n other\n-old line\n+new\tline"),
-    (3, "commit", "diff --git a/y.c b/y.c\n@@ -1 +1 @@\n-old line\n+new line"), (4, "mail", "no diff"),
+PATCHES = Derived("id long, kind string, diff string", [
+    ("mail", "diff --git a/x{g}.c b/x{g}.c\n--- a/x{g}.c\n+++ b/x{g}.c\n@@ -1 +1 @@\n ctx\n-old  line\n+new line"), ("commit", "diff --git a/x{g}.c b/x{g}.c\n@@ -90 +91 @@\n other\n-old line\n+new\tline"),
+    ("commit", "diff --git a/y{g}.c b/y{g}.c\n@@ -1 +1 @@\n-old line\n+new line"), ("mail", "no diff {k}"),
 ])
 
 
 @query("g07_patch_to_commit", f"""WITH {PATCHES.sql('p')}, l AS (SELECT id, kind, [regexp_replace(x, '\\s+', '', 'g') FOR x IN string_split(diff, chr(10)) IF regexp_matches(x, '^(diff --git |[+-])') AND NOT regexp_matches(x, '^(---|\\+\\+\\+) ')] AS b FROM p),
  f AS (SELECT id, kind, array_to_string(b, chr(10)) AS fp FROM l WHERE len(b) > 0) SELECT m.id AS patch, c.id AS commit_id, 1.0 AS confidence FROM f m JOIN f c ON m.fp = c.fp WHERE m.kind = 'mail' AND c.kind = 'commit'""")
 def _(s, d):
-    f = PATCHES.df(s).withColumn("fp", symbols.patch_fingerprint(F.col("diff"))).where("fp is not null")
+    f = PATCHES.df(s, d).withColumn("fp", symbols.patch_fingerprint(F.col("diff"))).where("fp is not null")
     mail, commit = f.where("kind = 'mail'").select(F.col("id").alias("patch"), "fp"), f.where("kind = 'commit'").select(F.col("id").alias("commit_id"), "fp")
     return mail.join(commit, "fp").select("patch", "commit_id", F.lit(1.0).alias("confidence"))
 
 
-@query("x27_fault_domains", expected("id, domain, confidence", ["2, 'deadlock', 0.8::DOUBLE", "2, 'network', 0.8", "3, 'oom', 0.8", "4, 'sched_anomaly', 0.8", "5, 'panic', 0.6"]))
+@query("x27_fault_domains", SUBJECTS.expected("id, domain, confidence", {1: ["id, 'deadlock', 0.8::DOUBLE", "id, 'network', 0.8"], 2: ["id, 'oom', 0.8"], 3: ["id, 'sched_anomaly', 0.8"], 4: ["id, 'panic', 0.6"]}))
 def _(s, d):
-    return SUBJECTS.df(s).select("id", F.explode(logs.domain_tags(F.col("subject"), F.col("body"))).alias("g")).select("id", "g.*")
+    return SUBJECTS.df(s, d).select("id", F.explode(logs.domain_tags(F.col("subject"), F.col("body"))).alias("g")).select("id", "g.*")
 
 
 @query("x41_event_log", f"WITH {SEL.sql('x')} SELECT trim(split_part(line, '|', 1)) AS id, CASE WHEN regexp_matches(lower(line), 'uncorrect') THEN 'Critical' WHEN regexp_matches(lower(line), 'correct') THEN 'Warning' ELSE 'Info' END AS severity FROM x")
 def _(s, d):
-    return SEL.df(s).select(hardware.event_log(F.col("line")).alias("e")).select("e.id", "e.severity")
+    return SEL.df(s, d).select(hardware.event_log(F.col("line")).alias("e")).select("e.id", "e.severity")
 
 
 @query("x43_clock_skew", "SELECT event_id, CASE WHEN abs(date_diff('second', TIMESTAMP '2024-01-10', date_trunc('second', ts))) < 86400 THEN abs(date_diff('second', TIMESTAMP '2024-01-10', date_trunc('second', ts))) END AS skew FROM events")
@@ -99,7 +99,7 @@ def _(s, d):
 @query("x59_dual_judgement", f"WITH {JUDGE.sql('j')} SELECT case_id, CASE WHEN a IS NULL THEN b WHEN b IS NULL THEN a WHEN a = b THEN a END AS verdict FROM j")
 def _(s, d):
     a, b = F.col("a"), F.col("b")
-    return JUDGE.df(s).select("case_id", F.when(a.isNull(), b).when(b.isNull(), a).when(a == b, a).alias("verdict"))
+    return JUDGE.df(s, d).select("case_id", F.when(a.isNull(), b).when(b.isNull(), a).when(a == b, a).alias("verdict"))
 
 
 @query("a12_by_goal", """SELECT d.source, count(*) AS n, round(avg(CAST(quality = 1 AS DOUBLE)), 6) AS good, round(avg(CAST(toxic = 1 AS DOUBLE)), 6) AS bad FROM documents d JOIN labels USING (doc_id) GROUP BY 1""")
@@ -249,12 +249,12 @@ def _(s, d):
     return upsert.todo(t(s, d, "lineitem").select(F.col("l_orderkey").alias("id")), state, "id")
 
 
-LABELS = Literal("id int, labels string", [(1, "bug,sig/Kernel,sig/Net"), (2, "Sig/Storage"), (3, "kind/bug"), (4, "")])
+LABELS = Derived("id long, labels string", [("bug,sig/Kernel{a},sig/Net",), ("Sig/Storage{k}",), ("kind/bug",), ("",)])
 
 
 @query("x18_first_label", f"WITH {LABELS.sql('l')} SELECT id, nullif(lower(regexp_extract(labels, '(?i)(?:^|,)sig/([^,]+)', 1)), '') AS subsystem FROM l")
 def _(s, d):
-    return LABELS.df(s).select("id", text.first_label(F.split("labels", ","), r"(?i)^sig/(.+)$").alias("subsystem"))
+    return LABELS.df(s, d).select("id", text.first_label(F.split("labels", ","), r"(?i)^sig/(.+)$").alias("subsystem"))
 
 
 @query("x53_since_cutoff", """SELECT event_id, ts - CASE event_id % 4 WHEN 0 THEN INTERVAL 6 HOUR WHEN 1 THEN INTERVAL 7 DAY ELSE INTERVAL 24 HOUR END AS cutoff FROM events""")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from faultlens.bindings.registry import Literal, expected, query
+from faultlens.bindings.registry import Derived, query
 from faultlens.functions import hardware, logs, text
 from faultlens.operators import graph, joins, quality
 from faultlens.session import table as t
@@ -122,46 +122,47 @@ def _(s, d):
     return t(s, d, "events").groupBy("user_id").agg(F.sum(F.get_json_object("props", "$.k").cast("long")).alias("total"))
 
 
-LOGS = Literal("id int, log string", [
-    (1, "[  1.0] usb ok\n[  2.0] BUG: KASAN: use-after-free in foo\n[  2.1] Call Trace:\n[  2.2]  foo+0x1/0x2\n[  2.3]  bar+0x3/0x4\n\n[  3.0] Out of memory: Killed process 77 (java) total-vm:1kB"),
-    (2, "Kernel panic - not syncing: Fatal exception\n\nwatchdog: BUG: soft lockup - CPU#3 stuck\n\nINFO: task kworker:9 blocked for more than 120 seconds."),
-    (3, "nothing here"), (4, ""), (5, None), (6, "WARNING: possible circular locking dependency detected\nx\n\nmce: [Hardware Error]: Machine Check\nnvme0: I/O 1 timeout"),
+LOGS = Derived("id long, log string", [
+    ("[  1.0] usb ok\n[  2.0] BUG: KASAN: use-after-free in foo_{a}\n[  2.1] Call Trace:\n[  2.2]  foo_{a}+0x1/0x2\n[  2.3]  bar+0x3/0x4\n\n[  3.0] Out of memory: Killed process {k} (java) total-vm:1kB",),
+    ("Kernel panic - not syncing: Fatal {a}\n\nwatchdog: BUG: soft lockup - CPU#{k} stuck\n\nINFO: task kworker_{a}:9 blocked for more than 120 seconds.",),
+    ("nothing here {k}",), ("",), (None,), ("WARNING: possible circular locking dependency {a}\nx\n\nmce: [Hardware Error]: Machine Check\nnvme0: I/O 1 timeout",),
 ])
 
 
-@query("x28_log_events", expected("id, nth, kind, summary, call_trace", [
-    "1, 0, 'bug', 'BUG: KASAN: use-after-free in foo', ['foo+0x1/0x2', 'bar+0x3/0x4']", "1, 1, 'oom', 'OOM kill: pid=77 (java)', []", "2, 0, 'panic', 'Kernel panic: Fatal exception', []",
-    "2, 1, 'softlockup', 'Soft lockup on CPU#3', []", "2, 2, 'bug', 'Hung task: kworker:9 blocked 120s', []", "6, 0, 'lockdep', 'WARN: possible circular locking dependency detected', []",
-]))
+@query("x28_log_events", LOGS.expected("id, nth, kind, summary, call_trace", {
+    0: ["id, 0, 'bug', 'BUG: KASAN: use-after-free in foo_' || a, ['foo_' || a || '+0x1/0x2', 'bar+0x3/0x4']", "id, 1, 'oom', 'OOM kill: pid=' || k || ' (java)', []"],
+    1: ["id, 0, 'panic', 'Kernel panic: Fatal ' || a, []", "id, 1, 'softlockup', 'Soft lockup on CPU#' || k, []", "id, 2, 'bug', 'Hung task: kworker_' || a || ':9 blocked 120s', []"],
+    5: ["id, 0, 'lockdep', 'WARN: possible circular locking dependency ' || a, []"],
+}))
 def _(s, d):
-    return logs.extract_events(LOGS.df(s), "id", "log").select("id", "nth", "kind", "summary", "call_trace")
+    return logs.extract_events(LOGS.df(s, d), "id", "log").select("id", "nth", "kind", "summary", "call_trace")
 
 
 @query("x34_x48_triage", f"""WITH {LOGS.sql('l')} SELECT id, [x FOR x IN [CASE WHEN regexp_matches(log, '(?i)Hardware Error') THEN 'hardware_error' END, CASE WHEN regexp_matches(log, '(?im)\\bMachine Check\\b|^mce:') THEN 'mce' END] IF x IS NOT NULL] AS signals,
  CASE WHEN regexp_matches(log, '(?i)Hardware Error') THEN 'hardware' ELSE 'kernel' END AS route FROM l WHERE log IS NOT NULL""")
 def _(s, d):
     found = logs.labels(F.col("log"), logs.HARDWARE)
-    return LOGS.df(s).where("log is not null").select("id", found.alias("signals"), logs.route(found, F.lit("oom"), F.lit(False), F.col("log"), F.lit(True)).alias("route"))
+    return LOGS.df(s, d).where("log is not null").select("id", found.alias("signals"), logs.route(found, F.lit("oom"), F.lit(False), F.col("log"), F.lit(True)).alias("route"))
 
 
-STATUS = Literal("id int, status string", [(1, "0xbe00000000800400"), (2, "9c00004000010090"), (3, "8000000000008000"), (4, "0"), (5, "b200000000000a17"), (6, "88000000000077aa")])
+STATUS = Derived("id long, status string", [("0xbe00000000800400",), ("9c00{h}",), ("8000000000008000",), ("0",), ("b200{h}",), ("8800{h}",)])
 
 
 @query("x38_machine_check", f"""WITH {STATUS.sql('s')}, h AS (SELECT id, lpad(regexp_replace(lower(status), '^0x', ''), 16, '0') AS x FROM s), n AS (SELECT id, CAST('0x' || left(x, 8) AS BIGINT) AS hi, CAST('0x' || right(x, 4) AS BIGINT) AS code FROM h)
  SELECT id, (hi >> 31) & 1 = 1 AS valid, (hi >> 31) & 1 = 1 AND (hi >> 29) & 1 = 1 AS uncorrected, CAST(code AS INTEGER) AS error_code, CASE WHEN (hi >> 31) & 1 = 1 THEN CASE WHEN (hi >> 25) & 1 = 1 THEN 'fatal' WHEN (hi >> 29) & 1 = 1 THEN 'uncorrected' ELSE 'corrected' END END AS severity FROM n""")
 def _(s, d):
-    return STATUS.df(s).select("id", hardware.mci_status(F.col("status")).alias("m")).select("id", "m.valid", "m.uncorrected", "m.error_code", "m.severity")
+    return STATUS.df(s, d).select("id", hardware.mci_status(F.col("status")).alias("m")).select("id", "m.valid", "m.uncorrected", "m.error_code", "m.severity")
 
 
-TAINTS = Literal("id int, value string", [(1, "4096"), (2, "G W"), (3, "16"), (4, "Tainted: P M"), (5, "0")])
+TAINTS = Derived("id long, value string", [("4096",), ("G W",), ("16",), ("Tainted: P M",), ("0",)])
 
 
-@query("x36_taint", expected("id, letter, meaning, hardware", [
-    "1, 'O', 'Out-of-tree module loaded', false", "2, 'G', 'Proprietary module loaded', false", "2, 'W', 'Kernel warning triggered', false", "3, 'M', 'Machine Check Exception occurred', true",
-    "4, 'P', 'unknown', false", "4, 'M', 'Machine Check Exception occurred', true",
-]))
+@query("x36_taint", TAINTS.expected("id, letter, meaning, hardware", {
+    0: ["id, 'O', 'Out-of-tree module loaded', false"], 1: ["id, 'G', 'Proprietary module loaded', false", "id, 'W', 'Kernel warning triggered', false"], 2: ["id, 'M', 'Machine Check Exception occurred', true"],
+    3: ["id, 'P', 'unknown', false", "id, 'M', 'Machine Check Exception occurred', true"],
+}))
 def _(s, d):
-    return TAINTS.df(s).select("id", F.explode(hardware.taint(F.col("value"))).alias("f")).select("id", "f.*")
+    return TAINTS.df(s, d).select("id", F.explode(hardware.taint(F.col("value"))).alias("f")).select("id", "f.*")
 
 
 @query("x37_device_major", "SELECT p_partkey, CASE p_size WHEN 1 THEN 'ramdisk' WHEN 2 THEN 'fd (floppy)' WHEN 3 THEN 'ide0 / pata' WHEN 7 THEN 'loop' WHEN 8 THEN 'sd (SCSI/SATA/USB disk)' WHEN 9 THEN 'md (software RAID)' WHEN 11 THEN 'sr (SCSI CD-ROM)' WHEN 22 THEN 'ide1' WHEN 43 THEN 'nbd (network block device)' ELSE 'unknown' END AS driver FROM part")
@@ -169,10 +170,13 @@ def _(s, d):
     return t(s, d, "part").select("p_partkey", hardware.device_major(F.col("p_size"), F.lit("block"))["driver"].alias("driver"))
 
 
-@query("a19_ordered_hash_merge", "SELECT o_custkey, CAST(count(DISTINCT left(sha256(o_orderpriority), 12)) AS INTEGER) AS n FROM orders GROUP BY 1")
+@query("a19_ordered_hash_merge", "SELECT o_custkey, list(h ORDER BY first) AS hashes FROM (SELECT o_custkey, sha256(o_orderpriority) AS h, min(o_orderkey) AS first FROM orders GROUP BY 1, 2) GROUP BY 1")
 def _(s, d):
-    g = t(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.sha2(F.col("o_orderpriority"), 256))).alias("h"))
-    return g.select("o_custkey", F.size(text.merge_hashes(F.array().cast("array<string>"), F.col("h"))).alias("n"))
+    g = t(s, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", F.sha2(F.col("o_orderpriority"), 256).alias("h")))).alias("a"))
+    half = F.floor(F.size("a") / 2).cast("int")
+    known, more = F.slice("a", F.lit(1), half), F.slice("a", half + 1, F.size("a"))
+    kept = text.merge_hashes(F.array().cast("array<string>"), F.transform(known, lambda x: x["h"]))
+    return g.select("o_custkey", text.merge_hashes(kept, F.transform(more, lambda x: x["h"])).alias("hashes"))
 
 
 @query("g12_owners", """SELECT n_name, string_agg(c_name, ', ' ORDER BY c_name) AS people FROM nation JOIN customer ON c_nationkey = n_nationkey WHERE n_name LIKE '%1' GROUP BY 1""")
