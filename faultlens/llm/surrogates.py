@@ -1,7 +1,7 @@
 """Replacement of personal data by surrogates. DataFrame operations only.
 
 Detected entities are mail addresses, payment cards (Luhn), phone numbers, IPv4 addresses, US social security
-numbers, IBANs, access keys, assigned secrets (password=..., token = "..."), and names behind a title. Each is taken
+numbers, IBANs, access keys, IPv6 addresses, assigned secrets (password=..., token = "..."), and names behind a title. Each is taken
 apart into literal parts and values; every value gets a keyed surrogate of its own type and form: digits stay
 digits, letters letters of the same case, script and (hex) alphabet; an IPv4 address keeps its octets' lengths and its
 range (private, loopback, link-local, shared, documentation and other reserved ones keep what makes them so, public
@@ -9,8 +9,12 @@ ones stay public), a card its first digit and a valid check digit, an IBAN its c
 address's domain its last label; a given name becomes one of the same gender and script, a family name a made-up one
 of the same script. Values are replaced alike wherever they stand, part by part, so mentions still corefer (Mr. A.
 Smith and Mr. Smith, two mail users of one host). Names found in a document are also replaced where they stand there
-without a title, as whole words or parts of hyphenated ones (Smith said; Smith's); a word that was found both as a
-family and as a given name counts as the former.
+without a title, as whole words or parts of hyphenated ones (Smith said; Smith's; Smiths Haus); a word that was found
+both as a family and as a given name counts as the former. Capitals make no difference to a name or a mail address:
+MR. SMITH, Smith and SMITH are one value, and each mention's surrogate is written in its own capitals. Titles are found
+as they are listed and all in capitals; of a name of two words with a hyphen each word is a value (Smith-Jones holds
+Smith's surrogate). Phone numbers without any separator and local ones without an area code are not looked for, as they
+look like other numbers.
 
 Collision check: over all distinct values, two values of a type with the same surrogate, or a surrogate that is
 itself a value found in the texts, are given new ones from the next attempt of the key; checked again until none is
@@ -55,8 +59,15 @@ SYLLABLES = {
     "cyrillic": ["ба", "вен", "гор", "дил", "кар", "лем", "мов", "нор", "пал", "рус", "сев", "тим", "фор", "хан", "чер", "юл"],
 }
 
+# Further given names whose gender is known behind a title without one
+KNOWN = {
+    "f": ["Anna", "Maria", "Laura", "Sarah", "Julia", "Emma", "Sophie", "Marie", "Elena", "Lucia", "Carmen", "Isabel", "Ana", "Claire", "Jane", "Mary", "Linda", "Susan", "Karen", "Petra", "Monika", "Ursula", "Nina", "Eva"],
+    "m": ["John", "Peter", "Hans", "Michael", "Thomas", "David", "James", "Robert", "William", "Paul", "Pierre", "Jean", "Louis", "Carlos", "Juan", "Pedro", "Miguel", "Luis", "Klaus", "Karl", "Stefan", "Andreas", "Martin", "Daniel"],
+}
+
 _NAME = r"(?:\p{Lu}\.|\p{Lu}[\p{L}'’]+(?:-\p{Lu}[\p{L}'’]+)*)"
-_TITLE = "|".join(sorted([*TITLES_M, *TITLES_F, *TITLES_N], key=len, reverse=True))
+_TITLES = [*TITLES_M, *TITLES_F, *TITLES_N]
+_TITLE = "|".join(sorted({*_TITLES, *(t.upper() for t in _TITLES)}, key=lambda t: (-len(t), t)))
 EMAIL = r"(?<![\w.+%-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 SECRET = r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*\"?)[^\s\"<>|&*!?$%#,;]{6,}"
 ACCESS = r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)"
@@ -64,6 +75,7 @@ IBAN = r"(?<!\w)[A-Z]{2}\d{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?
 IP = r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)"
 CARD = r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
+IP6 = r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}:){2,6}(?::[0-9A-Fa-f]{1,4}){1,5}|(?=[0-9A-Fa-f]{0,3}\d)[0-9A-Fa-f]{3,4}:(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])"
 PHONE = r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\w)"
 NAME = rf"(?<![\p{{L}}\d])(?:{_TITLE})\.?[ \u00a0]{_NAME}(?:[ \u00a0]{_NAME}){{0,3}}"
 HINT = rf"[0-9@=:]|AKIA|ASIA|(?:{_TITLE})\.?[ \u00a0]\p{{Lu}}"  # every entity has one of these; quick to search for
@@ -73,7 +85,7 @@ RANGES_1 = [0, 10, 127, *range(224, 256)]
 RANGES_2 = [(100, 64, 127), (169, 254, 254), (172, 16, 31), (192, 168, 168), (198, 18, 19)]
 RANGES_3 = ["192.0.0", "192.0.2", "192.88.99", "198.51.100", "203.0.113"]
 PUBLIC_3 = [o for o in range(101, 224) if o not in (127, 169, 172, 192, 198, 203)]
-ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS, NAME, IBAN, IP, SSN, CARD, PHONE))
+ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ACCESS, NAME, IBAN, IP6, IP, SSN, CARD, PHONE))
 
 
 def luhn(number: Column) -> Column:
@@ -104,15 +116,17 @@ def parts(match: Column) -> Column:
     bare = F.regexp_replace(title, r"\.$", "")
     words = F.regexp_extract_all(F.regexp_replace(match, rf"^(?:{_TITLE})\.?", ""), F.lit(r"[ \u00a0]|[^ \u00a0]+"), F.lit(0))
     n = F.size(words)
-    said = F.when(bare.isin(TITLES_M), F.lit("m")).when(bare.isin(TITLES_F), F.lit("f"))
+    titled = lambda titles: F.upper(bare).isin([t.upper() for t in titles])
+    said = F.when(titled(TITLES_M), F.lit("m")).when(titled(TITLES_F), F.lit("f"))
 
     def word(w: Column, i: Column) -> Column:
-        known = [w.isin([x for s in ("latin", "cyrillic") for x in GIVEN[(g, s)]]) for g in "mf"]
+        """The parts of a word; a hyphenated one has a part for each name in it."""
+        known = [F.arrays_overlap(F.split(F.lower(w), "-"), F.array(*[F.lit(x.lower()) for x in [*GIVEN[(g, "latin")], *GIVEN[(g, "cyrillic")], *KNOWN[g]]])) for g in "mf"]
         gender = F.coalesce(said, F.when(known[0], F.lit("m")).when(known[1], F.lit("f")), F.lit("n"))
         kind = F.when(w.rlike("^[ \u00a0]$") | w.rlike(r"^\p{L}\.$"), F.lit("")).when(i == n - 1, F.lit("family")).otherwise(F.concat(F.lit("given_"), gender))
-        return _part(kind, w)
+        return F.transform(F.regexp_extract_all(w, F.lit("[^-]+|-"), F.lit(0)), lambda x: _part(F.when(x == "-", F.lit("")).otherwise(kind), x))
 
-    name = F.concat(F.array(_part("", title)), F.transform(words, word))
+    name = F.concat(F.array(_part("", title)), F.flatten(F.transform(words, word)))
     lead = F.regexp_extract(match, r'^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*"?)', 0)
     secret = F.array(_part("", lead), _part("secret", F.regexp_replace(match, r'^(?i:(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*"?)', "")))
     host = F.regexp_extract(match, r"@(.*?)((?:[A-Za-z0-9-]+\.)?[A-Za-z]{2,})$", 1)
@@ -130,6 +144,7 @@ def parts(match: Column) -> Column:
             F.when(match.rlike(f"^(?:{ACCESS})$"), F.lit("access"))
             .when(match.rlike(f"^(?:{IBAN})$"), F.lit("iban"))
             .when(match.rlike(f"^(?:{IP})$"), F.lit("ip"))
+            .when(match.rlike(f"^(?:{IP6})$"), F.lit("ip6"))
             .when(match.rlike(f"^(?:{SSN})$"), F.lit("ssn"))
             .when(match.rlike(f"^(?:{CARD})$") & luhn(match), F.lit("card"))
             .when(match.rlike(f"^(?:{PHONE})$"), F.lit("phone"))
@@ -168,10 +183,11 @@ def _let(value: Column, body) -> Column:
 
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a value at an attempt; a function of its arguments alone."""
+    """The surrogate of a value at an attempt; a function of its arguments alone, capitals aside where they are folded."""
+    value = folded(kind, value)
     base = F.concat_ws("\u0001", F.lit(key), kind, attempt.cast("string"), value)
     stream = F.concat(F.sha2(base, 512), F.sha2(F.concat(base, F.lit("+")), 512))
-    hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$")
+    hexadecimal = value.rlike("^(?:[0-9a-f]{16,}|[0-9A-F]{16,})$") | (kind == "ip6")
     return _let(stream, lambda s: _let(_shaped(value, s, hexadecimal), lambda shaped: _surrogate(kind, value, attempt, s, shaped)))
 
 
@@ -236,6 +252,7 @@ def _surrogate(kind: Column, value: Column, attempt: Column, stream: Column, sha
         .when(kind == "host", host)
         .when(kind == "ssn", F.concat(shaped, digits(late * 4)))
         .when(kind.isin("user", "secret", "domain"), longer)
+        .when(kind == "ip6", F.concat(F.regexp_extract(value, "^[^:]*", 0), F.substring(shaped, F.length(F.regexp_extract(value, "^[^:]*", 0)) + 1, F.length(shaped)), F.when(grown > 0, F.concat(F.lit(":"), F.substring(stream, F.lit(1), F.lit(4)))).otherwise(F.lit(""))))
         .otherwise(shaped)
     )
 
@@ -246,30 +263,57 @@ def entities(text: Column) -> Column:
     return F.when(F.coalesce(text.rlike(HINT), F.lit(False)), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
+FOLDED = ("family", "given_m", "given_f", "given_n", "user", "host", "domain")
+
+
+def folded(kind: Column, value: Column) -> Column:
+    """A value as surrogates are keyed by it: names and parts of mail addresses without regard to capitals."""
+    return F.when(kind.isin(*FOLDED), F.lower(value)).otherwise(value)
+
+
+def recased(kind: Column, mention: Column, made: Column) -> Column:
+    """A surrogate in the letters of a mention: names in capitals get one in capitals, parts of mail addresses have
+    capitals where the mention has them."""
+    capitals = (F.upper(mention) == mention) & (F.lower(mention) != mention) & (F.length(mention) > 1)
+    letters = F.transform(F.split(made, ""), lambda c, i: F.when(F.substring(mention, i + 1, F.lit(1)).rlike(r"^\p{Lu}$"), F.upper(c)).otherwise(c))
+    mixed = kind.isin("user", "host", "domain") & (F.lower(mention) != mention)
+    return F.when(mixed, F.array_join(letters, "")).when(kind.isin(*FOLDED) & capitals, F.upper(made)).otherwise(made)
+
+
 def dictionary(values: DataFrame, key: str, most_attempts: int = 64) -> DataFrame:
-    """kind, value, surrogate: one to one within a kind, and no surrogate is a value of its kind."""
+    """kind, value, surrogate: one to one within a kind, and no surrogate is a value of its kind, capitals aside."""
     spark, settled, places = values.sparkSession, [], []
-    real = values.select("kind", F.col("value").alias("surrogate")).distinct()
-    open_ = values.select("kind", "value").distinct()
+    whole = values.select("kind", F.col("value").alias("mention"), folded(F.col("kind"), F.col("value")).alias("value")).distinct()
+    values = whole.select("kind", "value").distinct()
+    real = values.select("kind", F.col("value").alias("taken"))
+    open_ = values
     for attempt in range(most_attempts):
-        new = surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key)
-        first = open_.withColumn("surrogate", new).groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        for taken in (real, *settled):
-            first = first.join(taken.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won, _ = stored(first.select("kind", "value", "surrogate"), "surrogates")
+        new = open_.withColumn("surrogate", surrogate(F.col("kind"), F.col("value"), F.lit(attempt), key))
+        first = new.groupBy("kind", folded(F.col("kind"), F.col("surrogate")).alias("taken")).agg(F.min(F.struct("value", "surrogate")).alias("m"))
+        for other in (real, *settled):
+            first = first.join(other.select("kind", "taken"), ["kind", "taken"], "left_anti")
+        won, _ = stored(first.select("kind", "m.value", "m.surrogate", "taken"), "surrogates")
         settled.append(won)
         open_, place = stored(open_.join(won, ["kind", "value"], "left_anti"), "surrogates-open")
         places.append(place)
         if open_.isEmpty():
             for place in places:
                 delete(spark, place)
-            return reduce(DataFrame.unionByName, settled)
+            made = whole.join(reduce(DataFrame.unionByName, settled), ["kind", "value"])
+            return made.select("kind", F.col("mention").alias("value"), recased(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("surrogate"))
     raise RuntimeError("values without a surrogate of their own are left")
 
 
 def _looked_up(word: Column, known: Column) -> Column:
-    """The surrogate of a word that is a name in the map `known` of (kind, value), preferring family names."""
-    return F.coalesce(*[F.try_element_at(known, F.concat_ws("\u0001", F.lit(k), word)) for k in ("family", "given_m", "given_f", "given_n")])
+    """The surrogate of a word that is a name in the map `known` of (kind, value), preferring family names; also of one
+    with an s behind it."""
+
+    def of(w: Column) -> Column:
+        return F.coalesce(*[F.try_element_at(known, F.concat_ws("\u0001", F.lit(k), F.lower(w))) for k in ("family", "given_m", "given_f", "given_n")])
+
+    stem = F.regexp_replace(word, "[sS]$", "")
+    ended = F.when((stem != word) & (F.length(stem) > 2), F.concat(recased(F.lit("family"), stem, of(stem)), F.right(word, F.lit(1))))
+    return F.coalesce(recased(F.lit("family"), word, of(word)), ended)
 
 
 def _without_names(literal: Column, known: Column) -> Column:
@@ -289,7 +333,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", keep_counts: bool = True)
             added[i] += "_"
     tagged, _ = stored(docs.withColumn(found, entities(F.col("text"))), "entity-tags")
     some = tagged.where(F.size(found) > 0).withColumn(split, F.transform(found, parts)).withColumn(row, F.sha2("text", 256))
-    each = some.select(row, F.explode(F.array_distinct(F.flatten(split))).alias("p")).where("p.kind <> ''").select(row, "p.kind", "p.value").distinct()
+    each = some.select(row, F.explode(F.array_distinct(F.flatten(split))).alias("p")).where("p.kind <> ''").select(row, "p.kind", folded(F.col("p.kind"), F.col("p.value")).alias("value")).distinct()
     each, _ = stored(each, "entities")
     names = dictionary(each.select("kind", "value").distinct(), key)
     maps = (
@@ -299,7 +343,7 @@ def replaced(docs: DataFrame, key: str = "surrogates", keep_counts: bool = True)
         .select(row, F.map_from_entries("m").alias(known), kinds)
     )
     said = lambda match: F.array_join(
-        F.transform(match, lambda p: F.when(p["kind"] == "", p["value"]).otherwise(F.try_element_at(F.col(known), F.concat_ws("\u0001", p["kind"], p["value"])))), ""
+        F.transform(match, lambda p: F.when(p["kind"] == "", p["value"]).otherwise(recased(p["kind"], p["value"], F.try_element_at(F.col(known), F.concat_ws("\u0001", p["kind"], folded(p["kind"], p["value"])))))), ""
     )
     changed = joined_hot(some, maps, row)
     has_name = F.exists(F.col(kinds), lambda k: (k == "family") | k.startswith("given_"))
