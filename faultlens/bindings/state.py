@@ -6,6 +6,7 @@ from uuid import uuid4
 
 from pyspark.sql import functions as F
 
+import faultlens.bindings.quality  # noqa: F401  (its SQL is used below)
 from faultlens.bindings.registry import ORACLE, query
 from faultlens.operators import quality
 from faultlens.session import shared_folder

@@ -10,7 +10,7 @@ from faultlens.bindings import registry
 from faultlens.plans import search
 from faultlens.session import table
 
-for _name in ("relational", "scalar", "retrieval", "quality", "knowledge", "more", "state"):
+for _name in ("relational", "scalar", "retrieval", "quality", "knowledge", "more", "state", "stored"):
     import_module(f"faultlens.bindings.{_name}")
 
 
