@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
 
-from faultlens.functions import hardware, logs, symbols
-from faultlens.operators import lookups
+from faultlens.functions import hardware, logs
+from faultlens.operators import callgraph, lookups
 from faultlens.plans import routes, search
 from faultlens.sources import archives
 
@@ -27,10 +27,13 @@ class Store:
     """Tables by name: commits (hash, short_hash, subject, body, commit_date, fixes_refs, affected_versions, patch_id),
     bugs, cves, crashes, messages, log_events, edges_symbol (commit, symbol, file, kind), edges_crash (crash, commit),
     edges_revert (reverter, reverted, source), code (file, symbol, text), diffs (hash, repo, diff), patches (message,
-    series, number, total), ecc (corrected, uncorrected), maintainers (name, people, files, excluded)."""
+    series, number, total), ecc (corrected, uncorrected), maintainers (name, people, files, excluded). A table with an index is searched through it, without being read; without one
+    a search reads and tokenises all of it. Calls go to the stored graph where there is one."""
 
     spark: SparkSession
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    indexes: dict[str, search.Index] = field(default_factory=dict)  # of the tables that are searched
+    graph: callgraph.CallGraph | None = None  # of `code`
 
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
@@ -57,7 +60,13 @@ def registry(store: Store) -> dict[str, Tool]:
     s, spark = store, store.spark
 
     def searcher(table: str, key: str, text: str):
-        return lambda keywords, limit=10: search.tiered_search(s[table], key, text, keywords.lower().split(), clamp(limit, 1, 100))
+        def run(keywords: str, limit: int = 10) -> DataFrame:
+            words, most = keywords.lower().split(), clamp(limit, 1, 100)
+            if table in s.indexes:
+                return s.indexes[table].tiered_search(words, most)
+            return search.tiered_search(s[table], key, text, words, most)
+
+        return run
 
     def commit_detail(commit_hash: str) -> DataFrame:
         return _by_hash(s["commits"], commit_hash).orderBy("hash").limit(1)
@@ -100,14 +109,12 @@ def registry(store: Store) -> dict[str, Tool]:
         return routes.or_else(named, near.select("file", "symbol", "text"))
 
     def calls(symbol: str, direction: str = "callers") -> DataFrame:
-        called = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Za-z_]\w*)\s*\("), F.lit(1))))
         if direction not in ("callers", "callees"):
             raise ValueError(f"direction is callers or callees, not {direction}")
-        if direction == "callers":
-            rows = s["code"].where(F.col("text").contains(symbol)).select("file", "symbol", called.alias("called")).where((F.col("called") == symbol) & (F.col("symbol") != symbol))
-        else:
-            rows = s["code"].where(F.col("symbol") == symbol).select("file", "symbol", called.alias("called")).where((F.col("called") != symbol) & ~F.col("called").isin(symbols.KEYWORDS + ["sizeof"]))
-        return rows.distinct().orderBy("file", "symbol", "called")
+        healthy = spark.createDataFrame([(s.graph is not None,)], "healthy boolean")
+        found = callgraph.look_up(asked(symbol=symbol), s.graph, s["code"] if s.graph is None else None, healthy, direction, limit=10_000)
+        own, other = ("called", "symbol") if direction == "callers" else ("symbol", "called")
+        return found.select("file", F.col("other").alias(other), F.col("symbol").alias(own)).select("file", "symbol", "called").distinct().orderBy("file", "symbol", "called")
 
     def series(message_id: str) -> DataFrame:
         return lookups.patch_series(asked(message=message_id), s["patches"]).orderBy(F.asc_nulls_last("number"), "message")

@@ -49,6 +49,27 @@ def test_lookups(spark):
     assert [tuple(r) for r in spark.sql("select kind, summary from log_events('BUG: x y')").collect()] == [("bug", "BUG: x y")]
 
 
+def test_searches_and_calls_without_reading_the_tables(spark, tmp_path):
+    """With an index and a stored graph, a lookup scans neither the commits nor the code."""
+    from faultlens.operators.callgraph import CallGraph
+    from faultlens.plans.segments import SegmentIndex
+
+    place = f"file://{tmp_path}"
+    commits = [("aa1", "fixes tcp leak"), ("bb2", "tcp leak added"), ("cc3", "docs")]
+    code = [("x.c", "up", "tcp_x(1)"), ("y.c", "tcp_x", "down()")]
+    spark.createDataFrame(commits, "hash string, body string").write.parquet(f"{place}/commits")
+    spark.createDataFrame(code, "file string, symbol string, text string").write.parquet(f"{place}/code")
+    tables = {n: spark.read.parquet(f"{place}/{n}") for n in ("commits", "code")}
+    plain = tools.registry(tools.Store(spark, tables))
+    indexes = {"commits": SegmentIndex.write(tables["commits"], "hash", "body", f"{place}/index")}
+    quick = tools.registry(tools.Store(spark, tables, indexes, CallGraph.write(tables["code"], f"{place}/graph")))
+    for name, args in (("search_commits", ("tcp leak",)), ("get_call_graph", ("tcp_x",)), ("get_call_graph", ("tcp_x", "callees"))):
+        a, b = plain[name].run(*args), quick[name].run(*args)
+        assert sorted(tuple(r) for r in a.collect()) == sorted(tuple(r) for r in b.collect()) and a.columns == b.columns
+        files = lambda df: {f.rsplit("/", 2)[1] for f in df.inputFiles()}
+        assert files(a) & {"commits", "code"} and not files(b) & {"commits", "code"}
+
+
 def test_feeds(spark, tmp_path):
     (tmp_path / "f.xml").write_text('<feed><entry><title>T</title><link href="https://h/l/a@b.c/"/><updated>2024-01-02T03:04:05Z</updated><summary>s</summary></entry><entry><title>U</title><link href="https://h/x/"/></entry></feed>')
     assert [(r["message_id"], r["title"], r["snippet"]) for r in archives.atom_hits(spark, str(tmp_path / "f.xml")).collect()] == [("a@b.c", "T", "s")]
