@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from faultlens.bindings.registry import query
 from faultlens.plans import routes, search
 from faultlens.plans.segments import SegmentIndex
-from faultlens.session import shared_folder
+from faultlens.session import checkpointed, shared_folder
 from faultlens.session import table as t
 
 _written: dict[tuple[str, str, str], SegmentIndex] = {}
@@ -125,7 +125,8 @@ def _(s, d):
         .unionByName(t(s, d, "orders").where("o_orderstatus = 'P'").select(F.lit("commit").alias("route"), F.col("o_orderkey").alias("id"), (F.col("o_orderkey") % 29).cast("double").alias("score"), F.lit(1).alias("tier")))
     )
     e = t(s, d, "lineitem").where("l_returnflag = 'R'")
-    by = lambda c: e.select(F.col(c).alias("source"), F.col("l_orderkey").alias("target")).distinct()
+    by = lambda c: e.select(F.col(c).alias("source"), F.col("l_orderkey").alias("target"))
+    hits = checkpointed(hits)  # they are read three times
     more = [search.inject(hits, by("l_suppkey"), "cve", 0.9, 1), search.inject(hits, by("l_partkey"), "bug", 0.9, 2, per_source=5)]
     return search.merged(hits, more).select("route", "id", "step", F.round("final", 6).alias("final"))
 

@@ -137,9 +137,10 @@ def tiered_search(docs: DataFrame, key: str, text: str, words: list[str], limit:
 
 
 def inject(hits: DataFrame, edges: DataFrame, source_route: str, factor: float, step: int, sources: int = 10, per_source: int | None = None) -> DataFrame:
-    """Commit hits reached over links from a route's best hits: score x factor; per_source caps links of one hit."""
+    """Commit hits reached over links from a route's best hits: score x factor; per_source caps links of one hit. A link
+    may stand in edges several times; only those of the best hits are made distinct."""
     top = top_n(hits.where(F.col("route") == source_route), ["route"], [F.desc("score"), F.col("id")], sources)
-    linked = F.broadcast(top.select("id", "score")).join(edges.select(F.col("source").alias("id"), F.col("target")), "id")
+    linked = F.broadcast(top.select("id", "score")).join(edges.select(F.col("source").alias("id"), F.col("target")), "id").distinct()
     if per_source:
         linked = top_n(linked, ["id"], [F.col("target")], per_source)
     return linked.select(F.lit("commit").alias("route"), F.col("target").alias("id"), (F.col("score") * factor).alias("score"), F.lit(step).alias("step"))
