@@ -12,7 +12,7 @@ begin and end together; the members of a component are expanded into its links.
    lists of units. So what is moved is a row for each different pair of a block, not for each link.
 3. Pairs are summed over the corpus; B ids get their highest count (as many rows as B has ids, broadcast). The counts
    go back to the blocks by a join on the pair, in which a pair has one row a block, and add up over units and
-   documents.
+   documents; a task takes one block at a time.
 
 Results: null and empty texts, and texts whose tokens do not give back a space and the text (U+2581 in a text is one
 such case), have no tokens: zeros and '' for groups_sha256; they count nothing. Strings of special tokens are plain
@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultlens.llm.shared import by_bytes, delete, stored, trimmed
+from faultlens.llm.shared import WIDE_ROWS, by_bytes, delete, stored, trimmed
 
 STEP = 4 << 20
 KEPT = 200_000
@@ -335,23 +335,17 @@ def _blocks(docs: DataFrame, definition: str, model: bytes, step: int) -> DataFr
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-@trimmed
-def _finish(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with the counts of their pairs -> a row for each document."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            of = {c: batch.column(c)[row].values for c in ("doc_id", *_SUMS, "groups_sha256")}
-            doc_first, unit, times, unit_first, pair = (
-                batch.column(c)[row].values.to_numpy() for c in ("doc_first", "doc_unit", "doc_times", "unit_first", "unit_pair")
-            )
-            found = batch.column("counts")[row].values
-            sums = []
-            for what in ("best", "n"):
-                value = np.zeros(0, np.int64) if found is None else found.field(what).to_numpy(zero_copy_only=False).astype(np.int64)
-                per_unit = np.diff(np.concatenate(([0], np.cumsum(value[pair])))[unit_first])
-                sums.append(np.diff(np.concatenate(([0], np.cumsum(per_unit[unit] * times)))[doc_first]))
-            columns = [*of.values(), pa.array(sums[0]), pa.array(sums[1])]
-            yield pa.RecordBatch.from_arrays(columns, [*of, "n_best", "count_sum"])
+def _finish(block: pa.Table, counts: pa.Table) -> pa.Table:
+    """A block and a row for each of its pairs -> a row for each document."""
+    of = {c: block.column(c)[0].values for c in ("doc_id", *_SUMS, "groups_sha256")}
+    doc_first, unit, times, unit_first, pair = (block.column(c)[0].values.to_numpy() for c in ("doc_first", "doc_unit", "doc_times", "unit_first", "unit_pair"))
+    pos, sums = counts.column("pos").to_numpy(), []
+    for what in ("best", "n"):
+        value = np.zeros(len(pos), np.int64)
+        value[pos] = counts.column(what).to_numpy()
+        per_unit = np.diff(np.concatenate(([0], np.cumsum(value[pair])))[unit_first])
+        sums.append(np.diff(np.concatenate(([0], np.cumsum(per_unit[unit] * times)))[doc_first]))
+    return pa.table([*of.values(), pa.array(sums[0]), pa.array(sums[1])], [*of, "n_best", "count_sum"])
 
 
 def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, step: int = STEP) -> tuple[DataFrame, DataFrame]:
@@ -363,7 +357,7 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, step: int = S
     with open(piece_model, "rb") as f:
         model = f.read()
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    blocks, _ = stored(_blocks(docs, definition, model, step), "align-blocks")
+    blocks, _ = stored(_blocks(docs, definition, model, step), "align-blocks", WIDE_ROWS)
     summed = blocks.select(F.explode(F.arrays_zip("pairs", "times")).alias("p")).groupBy(F.col("p.pairs").alias("pair")).agg(F.sum("p.times").alias("n"))
     summed, summed_place = stored(summed, "align-sums")
     b_id = F.col("pair").bitwiseAND(0xFFFFFFFF)
@@ -371,14 +365,10 @@ def align(docs: DataFrame, byte_vocabulary: str, piece_model: str, step: int = S
     counted = summed.withColumn("b_id", b_id).join(F.broadcast(highest), "b_id").select("pair", "b_id", "n", (F.col("n") == F.col("most")).alias("best"))
     counted, _ = stored(counted, "align-pairs")
     delete(docs.sparkSession, summed_place)
-    back = (
-        blocks.select("block", F.posexplode("pairs").alias("pos", "pair"))
-        .join(counted.select("pair", "n", "best"), "pair")
-        .groupBy("block")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "n", "best"))).alias("counts"))
-    )
-    rest = blocks.drop("pairs", "times").join(back, "block", "left")
+    # sorted by block on both sides, so a task holds one block and its counts at a time
+    back = blocks.select("block", F.posexplode("pairs").alias("pos", "pair")).join(counted.select("pair", "n", "best"), "pair").select("block", "pos", "n", "best")
+    rest = blocks.drop("pairs", "times").withColumnRenamed("block", "own").groupBy("own").cogroup(back.groupBy("block"))
     result = f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, n_best long, count_sum long"
-    documents = rest.mapInArrow(_finish, result).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    documents = rest.applyInArrow(_finish, result).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
     pairs = counted.select(F.shiftright("pair", 32).cast("int").alias("a_id"), F.col("b_id").cast("int").alias("b_id"), "n", "best")
     return documents, pairs
