@@ -109,6 +109,7 @@ def _(s, d):
 @query("j12_pair_import", """WITH p AS (SELECT DISTINCT l_orderkey, p_name FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'N')
  SELECT DISTINCT p.l_orderkey AS commit_id, q.p_partkey AS bug_id, 0.92 AS confidence FROM p JOIN part q ON q.p_name = p.p_name""")
 def _(s, d):
+    """Pairs are distinct as they come, but for bugs with several names: only those pairs are compared with each other."""
     pairs = t(s, d, "lineitem").where("l_returnflag = 'N'").join(t(s, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", "p_name").distinct()
     named = t(s, d, "part").where("p_name is not null").select("p_name", "p_partkey").distinct()
     names = named.groupBy("p_partkey").agg(F.min("p_name").alias("p_name"), F.count(F.lit(1)).alias("n"))
@@ -299,8 +300,8 @@ def _(s, d):
 
 @query("t04_calls_in_the_last_hour", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS calls FROM events")
 def _(s, d):
-    w = Window.partitionBy("user_id").orderBy(F.col("ts").cast("timestamp").cast("long")).rangeBetween(-3600, 0)
-    return t(s, d, "events").withColumn("calls", F.count(F.lit(1)).over(w)).select("event_id", "calls")
+    hour = F.expr("count(1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL '1' HOUR PRECEDING AND CURRENT ROW)")  # to the microsecond
+    return t(s, d, "events").select("event_id", hour.alias("calls"))
 
 
 # --- order, limits, sets
