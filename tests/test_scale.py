@@ -45,3 +45,59 @@ def test_the_hour_is_exact_to_the_microsecond(spark, tmp_path):
     con = written(spark, tmp_path, events=(rows, "event_id long, user_id long, ts timestamp_ntz"))
     found, expected = both(spark, con, tmp_path, "t04_calls_in_the_last_hour")
     assert found == expected == [(1, 1), (2, 2), (3, 2), (4, 1), (5, 2)]
+
+
+# --- x27_fault_domains
+
+
+def test_no_key_reads_as_a_domain(spark, tmp_path):
+    """Key 4302 is edac in letters."""
+    con = written(spark, tmp_path, orders=([(k,) for k in (4302, 4303, 4304, 4305, 4306, 4307)], "o_orderkey long"))
+    found, expected = both(spark, con, tmp_path, "x27_fault_domains")
+    assert found == expected
+
+
+def test_edac_in_a_subject_is_hardware(spark):
+    from faultlens.functions import logs
+
+    (row,) = spark.range(1).select(logs.domain_tags(F.lit("net: add edac"), F.lit("")).alias("t")).collect()
+    assert "hardware" in [t["domain"] for t in row["t"]]
+
+
+# --- vx_nearest_vectors
+
+
+def test_nearest_as_a_plain_loop(spark):
+    import random
+
+    from faultlens.operators import vectors
+
+    rng = random.Random(5)
+    rows = [(i, [rng.choice([0.0, 0.5, -1.25, rng.random()]) for _ in range(6)]) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 330)]
+    rows += [(400, None), (401, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (402, [9.0]), (403, [9.0]), (404, []), (500, None)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(5)
+    found = sorted(tuple(r) for r in vectors.nearest(df, F.col("id") % 100 == 0, "id", "v", 5, 2).collect())
+    q = df.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("v").alias("qv"))
+    dot = F.aggregate(F.zip_with("qv", "v", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    expected = {}
+    for r in df.join(q, F.col("id") != F.col("query")).select("query", "id", F.round(dot, 2).alias("score")).collect():
+        expected.setdefault(r["query"], []).append(((r["score"] is None, -(r["score"] or 0)), r["id"], r["score"]))
+    assert found == sorted((a, i, s) for a, of in expected.items() for _, i, s in sorted(of)[:5])
+
+
+def test_nearest_makes_no_row_for_each_pair(spark):
+    plan = catalog.queries()["vx_nearest_vectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "MapInArrow" in plan
+
+
+# --- x08_subsystem, x24_stack_signature
+
+
+@pytest.mark.parametrize("name", ["subsystem", "extract_trace"])
+def test_shared_parts_are_computed_once(spark, name):
+    from faultlens.functions import stack, text
+
+    c = {"subsystem": lambda: text.subsystem(F.col("x")), "extract_trace": lambda: stack.extract_trace(F.col("x"))}[name]()
+    df = spark.createDataFrame([], "x array<string>" if name == "subsystem" else "x string")
+    tree = df.select(c.alias("y"))._jdf.queryExecution().optimizedPlan().expressions().toString().lower()
+    assert tree.count("[^/]*$" if name == "subsystem" else "rlike") == 1
