@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ SEVERITY = {
 LEVELS = {"DEBUG": 0, "INFO": 1, "WARN": 2, "WARNING": 2, "ERROR": 3}
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once however often then names it: functions of arrays are evaluated as they are
+    written, and what stands inside one of their lambdas is evaluated for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
 def every(text: Column, pattern: str, group: int = 1) -> Column:
     """All matches of a group; none for NULL."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
@@ -82,12 +90,17 @@ def subsystem(files: Column) -> Column:
     """Common prefix (by characters) of the files' directories, at most three segments; NULL without directories.
     The prefix of all equals that of the smallest and the largest."""
     dirs = F.transform(F.filter(files, lambda f: f.contains("/")), lambda f: F.regexp_replace(f, "[^/]*$", ""))
-    low, high = F.array_min(dirs), F.array_max(dirs)
-    length = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.length(low), F.length(high))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(low, 1, i) == F.substring(high, 1, i)), i).otherwise(n)
-    )
-    prefix = F.regexp_replace(F.substring(low, F.lit(1), length), "/+$", "")
-    return F.when(F.size(dirs) > 0, F.nullif(F.array_join(F.slice(F.split(prefix, "/"), 1, 3), "/"), F.lit("")))
+
+    def common(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        length = F.aggregate(
+            F.sequence(F.lit(1), F.least(F.length(low), F.length(high))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.substring(low, n + 1, F.lit(1)) == F.substring(high, n + 1, F.lit(1))), i).otherwise(n)
+        )
+        prefix = F.regexp_replace(F.substring(low, F.lit(1), length), "/+$", "")
+        return F.nullif(F.array_join(F.slice(F.split(prefix, "/"), 1, 3), "/"), F.lit(""))
+
+    found = let(dirs, lambda of: F.struct(F.array_min(of).alias("low"), F.array_max(of).alias("high")))
+    return let(found, lambda ends: F.when(ends["low"].isNotNull(), common(ends)))
 
 
 def message_ids(body: Column, host: str = r"lore\.kernel\.org") -> Column:
