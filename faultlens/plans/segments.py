@@ -38,6 +38,8 @@ BLOCK = 128
 FAN = 4
 SLICE_DOCS = 1_000_000
 TOKENS = 200_000  # of one counting step
+BUCKET_TOKENS = 1_000_000  # about so many are sorted by one task
+WORD_CHARS = 5
 RARE = 1000  # postings of a word that is looked at whole for the least score
 PUSHED = 1000  # block numbers that are sent along as a filter of the scan
 
@@ -160,7 +162,8 @@ class SegmentIndex(Index):
         gone = reduce(DataFrame.unionByName, keys).where(F.col(self.key).isNotNull()).distinct() if keys else None
         segments = self.segments if gone is None else [self._without(s, gone) for s in self.segments]
         if changed is not None:
-            made = self._build(self._tokenised(changed.where(F.col(self.key).isNotNull())), changed.count())
+            n_docs, chars = changed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(self.text)), F.lit(0))).first()
+            made = self._build(self._tokenised(changed.where(F.col(self.key).isNotNull())), n_docs, chars // WORD_CHARS)
             segments = [*segments, made]
         return self._next([s for s in segments if s.n_docs], merge)
 
@@ -172,7 +175,7 @@ class SegmentIndex(Index):
             full = [t for t in tiers.values() if len(t) >= FAN]
             if not full:
                 break
-            made = self._build(reduce(DataFrame.unionByName, map(self._rows, full[0])), sum(s.n_docs for s in full[0]))
+            made = self._build(reduce(DataFrame.unionByName, map(self._rows, full[0])), sum(s.n_docs for s in full[0]), sum(s.sum_dl for s in full[0]))
             segments = [*[s for s in segments if s not in full[0]], made]
         listed = [(s.name, s.n_docs, s.sum_dl, s.n_deleted, s.slices, s.buckets, list(s.deletes)) for s in segments]
         _save(self.spark, self.place, self.version + 1, (self.key, self.key_type, self.text, self.stem, self.stop, listed))
@@ -194,9 +197,10 @@ class SegmentIndex(Index):
         k = self.key_type
         return f"bucket int, term string, block long, n int, first {k}, last {k}, peak_tf array<int>, peak_dl array<int>, keys array<{k}>, tfs array<int>, dls array<int>, positions array<array<int>>"
 
-    def _build(self, rows: DataFrame, n_docs: int) -> Segment:
-        """A segment of postings rows; n_docs: about how many documents they are of."""
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def _build(self, rows: DataFrame, n_docs: int, tokens: int) -> Segment:
+        """A segment of postings rows; n_docs and tokens: about how many documents and words they are of. Buckets grow with
+        the words, so that a task sorts its bucket in memory at any size."""
+        buckets = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
         slices = max(1, min(buckets, -(-n_docs // SLICE_DOCS)))
         name = f"{self.version + 1:08d}-{uuid4().hex[:8]}"
         dealt = rows.withColumn("bucket", _bucket(F.col("term"), F.col(self.key), slices, buckets)).repartitionById(buckets, "bucket").sortWithinPartitions("bucket", "term", self.key)

@@ -101,3 +101,16 @@ def test_shared_parts_are_computed_once(spark, name):
     df = spark.createDataFrame([], "x array<string>" if name == "subsystem" else "x string")
     tree = df.select(c.alias("y"))._jdf.queryExecution().optimizedPlan().expressions().toString().lower()
     assert tree.count("[^/]*$" if name == "subsystem" else "rlike") == 1
+
+
+# --- the stored index
+
+
+def test_buckets_grow_with_the_words(spark, tmp_path, monkeypatch):
+    from faultlens.plans import segments
+
+    monkeypatch.setattr(segments, "BUCKET_TOKENS", 100)
+    docs = spark.createDataFrame([(i, "some words of a text " * 5) for i in range(200)], "doc_id long, text string")
+    made = segments.SegmentIndex.write(docs, "doc_id", "text", f"file://{tmp_path}/index")
+    assert made.segments[0].buckets >= 40
+    assert made.postings(["words"]).count() == 200 and made.top_k(["words", "text"], 3).count() == 3
