@@ -8,6 +8,7 @@ and the runs within the watermark's delay.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -25,12 +26,13 @@ def backoff(errors: int) -> int:
 
 
 class _Health(StatefulProcessor):
-    """Times are microseconds."""
+    """Times are microseconds. What waits is a list: a batch is appended in one call, read in one, and written anew when the
+    watermark has passed some of it. One timer stands for the earliest run that waits, one for the end of a cooldown."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.settled = handle.getValueState("settled", "errors int, last_success long, last_error long, seq long")
-        self.waiting = handle.getMapState("waiting", "at long, tie long", "bad boolean")
+        self.waiting = handle.getListState("waiting", "at long, tie long, bad boolean")
 
     def _state(self) -> tuple:
         return tuple(self.settled.get()) if self.settled.exists() else (0, None, None, 0)
@@ -40,34 +42,42 @@ class _Health(StatefulProcessor):
         errors, success, error, seq = state
         return (errors + 1, success, at, seq) if bad else (0, at, error, seq)
 
-    def _present(self, source: str, watermark: int) -> Row:
-        state = self._state()
-        self.settled.update((*state[:3], state[3] + 1))
-        for (at, _), (bad,) in sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator()):
+    @staticmethod
+    def _in_order(runs: list[tuple]) -> list[tuple]:
+        """A run that came twice is one, as it came last."""
+        return sorted((*k, bad) for k, bad in {(at, tie): bad for at, tie, bad in runs}.items())
+
+    def _present(self, source: str, watermark: int, settled: tuple, waiting: list[tuple]) -> Row:
+        seq = settled[3] + 1
+        self.settled.update((*settled[:3], seq))
+        state = settled
+        for at, _, bad in waiting:
             state = self._after(state, at, bad)
-        errors, success, error, seq = state
+        errors, success, error, _ = state
         minutes = backoff(errors)
         until = error + minutes * 60_000_000 if minutes else None
-        if until is not None and until > watermark:
-            self.handle.registerTimer(until // 1000 + 1)
-        return Row(source=source, last_success=success, last_error=error, consecutive_errors=errors, backoff_minutes=minutes, cooldown_until=until, retry_allowed=until is None or until <= watermark, seq=seq + 1)
+        for moment in {waiting[0][0] if waiting else None, until if until is not None and until > watermark else None} - {None}:
+            self.handle.registerTimer(moment // 1000 + 1)
+        return Row(source=source, last_success=success, last_error=error, consecutive_errors=errors, backoff_minutes=minutes, cooldown_until=until, retry_allowed=until is None or until <= watermark, seq=seq)
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.waiting.updateValue((r["at"], r["tie"]), (r["bad"],))
-            self.handle.registerTimer(r["at"] // 1000 + 1)
-        yield self._present(key[0], timerValues.getCurrentWatermarkInMs() * 1000)
+        new = [(r["at"], r["tie"], r["bad"]) for r in rows]
+        before = [tuple(r) for r in self.waiting.get()] if self.waiting.exists() else []
+        self.waiting.appendList(new)
+        yield self._present(key[0], timerValues.getCurrentWatermarkInMs() * 1000, self._state(), self._in_order(before + new))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        passed = sorted((tuple(k), tuple(v)) for k, v in self.waiting.iterator() if k[0] <= watermark)
+        runs = self._in_order([tuple(r) for r in self.waiting.get()]) if self.waiting.exists() else []
+        n = bisect_right(runs, watermark, key=lambda r: r[0])
         state = self._state()
-        for (at, tie), (bad,) in passed:
+        for at, _, bad in runs[:n]:
             state = self._after(state, at, bad)
-            self.waiting.removeKey((at, tie))
-        if passed:
-            self.settled.update(state)
-        yield self._present(key[0], watermark)
+        if n and runs[n:]:
+            self.waiting.put(runs[n:])
+        elif n:
+            self.waiting.clear()
+        yield self._present(key[0], watermark, state, runs[n:])
 
     def close(self) -> None:
         pass
