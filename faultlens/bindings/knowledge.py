@@ -65,6 +65,14 @@ class Base(Mapping[str, DataFrame]):
         rows = t(*self.at, source).selectExpr(*columns)
         return rows.distinct() if once else rows
 
+    def dealt(self, name: str, column: str) -> DataFrame:
+        """The table with its rows dealt by a column. What the columns are made from is moved, which is narrower than they
+        are; rows are made distinct where they then lie."""
+        source, columns, once = BASE[name]
+        made = next(c.removesuffix(f" AS {column}") for c in columns if c.endswith(f" AS {column}"))
+        rows = t(*self.at, source).repartition(F.expr(made)).selectExpr(*columns)
+        return rows.distinct() if once else rows
+
     def __iter__(self) -> Iterator[str]:
         return iter(BASE)
 

@@ -66,39 +66,51 @@ def checks(vendor: str = "vendor") -> list[Check]:
     ]
 
 
+def dealt(tables: Tables, name: str, column: str) -> DataFrame:
+    """The table for a join or grouping by the column. A mapping with a method `dealt` gives rows that already lie by it,
+    and so spares moving what it derives from less, or makes distinct, once more."""
+    own = getattr(tables, "dealt", None)
+    return own(name, column) if own else tables[name]
+
+
 def _counted(rows: DataFrame, table: str, found: dict[str, Column]) -> DataFrame:
     """table, check, violations from one aggregate over the rows."""
     every = [F.struct(F.lit(name).alias("check"), n.alias("violations")) for name, n in found.items()]
     return rows.agg(F.array(*every).alias("_c")).select(F.lit(table).alias("table"), F.inline("_c"))
 
 
+def _violations(tables: Tables, table: str, own: list[Check]) -> DataFrame:
+    """Ends are looked up one after the other. Only counts go on from one to the next, by the ends that are still to be
+    looked up: of the rows (_n), and for each check of those that break it by now."""
+    ends = list(dict.fromkeys(e for c in own for e in c.ends))
+    rows = dealt(tables, table, ends[0][0]) if ends else tables[table]
+    bad = {c.name: f"_bad{i}" for i, c in enumerate(own)}
+    breaks = [F.coalesce(F.expr(c.breaks or "false"), F.lit(False)).cast("long").alias(bad[c.name]) for c in own]
+    rows = rows.select(*[column for column, _, _ in ends], F.lit(1).cast("long").alias("_n"), *breaks)
+    for at, end in enumerate(ends):
+        column, node, key = end
+        if at:
+            rows = rows.groupBy(*[c for c, _, _ in ends[at:]]).agg(*[F.sum(c).alias(c) for c in ("_n", *bad.values())])
+        known = dealt(tables, node, key).select(F.col(key).alias("_known")).distinct()
+        rows = rows.join(known, F.col(column) == F.col("_known"), "left")
+        rows = rows.withColumns({bad[c.name]: F.when(F.col("_known").isNull(), F.col("_n")).otherwise(F.col(bad[c.name])) for c in own if end in c.ends}).drop("_known")
+    return _counted(rows, table, {name: F.coalesce(F.sum(c), F.lit(0)) for name, c in bad.items()})
+
+
 def invariants(tables: Tables, vendor: str = "vendor") -> DataFrame:
     """table, check, violations, passed: a row for each of the 21.
 
     All checks of a table share one scan of it; the keys that ends refer to are made distinct once and joined, so a
-    key that is stored twice counts no edge twice. Nothing but counts reaches the last step."""
+    key that is stored twice counts no edge twice. An edge's row moves once, its further ends move as counts by end, and
+    nothing but counts reaches the last step."""
     by_table: dict[str, list[Check]] = {}
     for c in checks(vendor):
         by_table.setdefault(c.table, []).append(c)
-    parts = []
-    for table, own in by_table.items():
-        rows, at = tables[table], {}
-        for end in dict.fromkeys(e for c in own for e in c.ends):
-            at[end] = f"_known{len(at)}"
-            column, node, key = end
-            known = tables[node].select(F.col(key).alias(at[end])).distinct()
-            rows = rows.join(known, F.col(column) == F.col(at[end]), "left")
-        wrong = {}
-        for c in own:
-            bad = F.expr(c.breaks) if c.breaks else F.lit(False)
-            for end in c.ends:
-                bad = bad | F.col(at[end]).isNull()
-            wrong[c.name] = F.count_if(bad)
-        parts.append(_counted(rows, table, wrong))
-    commits = tables["commits"]
-    parts.append(_counted(commits.groupBy("hash").count(), "commits", {"hash_unique": F.count_if(F.col("count") > 1)}))
-    claimed = commits.where(F.col("origin") == vendor).select(F.col("upstream_commit").alias("hash")).where("hash is not null").distinct()
-    parts.append(_counted(claimed.join(commits, "hash", "left_anti"), "commits", {"upstream_commit_known": F.count(F.lit(1))}))
+    parts = [_violations(tables, table, own) for table, own in by_table.items()]
+    stored = dealt(tables, "commits", "hash").select("hash")
+    parts.append(_counted(stored.groupBy("hash").count(), "commits", {"hash_unique": F.count_if(F.col("count") > 1)}))
+    claimed = tables["commits"].where(F.col("origin") == vendor).select(F.col("upstream_commit").alias("hash")).where("hash is not null").distinct()
+    parts.append(_counted(claimed.join(stored, "hash", "left_anti"), "commits", {"upstream_commit_known": F.count(F.lit(1))}))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -114,3 +114,31 @@ def test_buckets_grow_with_the_words(spark, tmp_path, monkeypatch):
     made = segments.SegmentIndex.write(docs, "doc_id", "text", f"file://{tmp_path}/index")
     assert made.segments[0].buckets >= 40
     assert made.postings(["words"]).count() == 200 and made.top_k(["words", "text"], 3).count() == 3
+
+
+# --- g19_all_invariants
+
+
+def moved(spark, name):
+    """What the shuffles of a query are dealt by."""
+    plan = catalog.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    return [line.split("Exchange hashpartitioning(", 1)[1] for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+
+
+def test_invariants_move_no_edge_by_its_hash(spark):
+    """Edges are dealt by what their commit's hash is made from; of further ends only counts move."""
+    found = moved(spark, "g19_all_invariants")
+    assert found and not [x for x in found if x.startswith(("commit#", "fixer#", "reverter#"))]
+    assert not [x for x in found if "source#" in x or "match_method#" in x or "kind#" in x]
+
+
+def test_ends_are_counted_by_row(spark):
+    from faultlens.operators import integrity
+
+    known = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "hash string")
+    rows = [(x, y, s) for x in ("a", "b", "n", None) for y in ("a", "m", None) for s in ("s", None)] + [("a", "m", "s")] * 3
+    edges = spark.createDataFrame(rows, "fixer string, fixed string, source string")
+    own = [c for c in integrity.checks() if c.table == "commit_fixes"]
+    found = {r["check"]: r["violations"] for r in integrity._violations({"commits": known, "commit_fixes": edges}, "commit_fixes", own).collect()}
+    ok = {"a", "b"}
+    assert found == {"both_ends_known": sum(x not in ok or y not in ok for x, y, _ in rows), "source_present": sum(s is None for *_, s in rows)}
