@@ -73,6 +73,21 @@ def dealt(tables: Tables, name: str, column: str) -> DataFrame:
     return own(name, column) if own else tables[name]
 
 
+def _packed(value: Column) -> Column:
+    """A full hash as its 20 bytes, anything else behind 21 zero bytes; `_unpacked` gives it back."""
+    return F.when(value.rlike("^[0-9a-f]{40}$"), F.unhex(value)).otherwise(F.concat(F.lit(bytes(21)), F.encode(value, "UTF-8")))
+
+
+def _unpacked(value: Column) -> Column:
+    return F.when(F.octet_length(value) == 20, F.lower(F.hex(value))).otherwise(F.decode(F.substring(value, F.lit(22), F.octet_length(value)), "UTF-8"))
+
+
+def dealt_packed(rows: DataFrame, column: str, *hashes: str) -> DataFrame:
+    """rows dealt by a column; hashes move packed."""
+    packed = rows.withColumns({h: _packed(F.col(h)) for h in hashes})
+    return packed.repartition(_unpacked(F.col(column)) if column in hashes else F.col(column)).withColumns({h: _unpacked(F.col(h)) for h in hashes})
+
+
 def _counted(rows: DataFrame, table: str, found: dict[str, Column]) -> DataFrame:
     """table, check, violations from one aggregate over the rows."""
     every = [F.struct(F.lit(name).alias("check"), n.alias("violations")) for name, n in found.items()]
@@ -138,37 +153,42 @@ def _cites_bug(source: Column, body: Column, external: Column) -> Column:
 
 
 def audits(tables: Tables) -> dict[str, tuple[DataFrame, list[str], Column]]:
-    """Of each audit: rows with all they are judged by, the columns that name a row, and whether it holds."""
-    commits = tables["commits"]
-    evidence = lambda prefix, *names: commits.select(F.col("hash").alias(prefix), *[F.col(n).alias(f"{prefix}_{n}") for n in names])
+    """Of each audit: rows with all they are judged by, the columns that name a row, and whether it holds.
+
+    Edges are dealt by the end that is joined first; where a second one follows, what was found out at the first goes
+    along instead of the texts."""
+    edges = lambda table, by: dealt(tables, table, by)
+    evidence = lambda prefix, *names: dealt(tables, "commits", "hash").select(F.col("hash").alias(prefix), *[F.col(n).alias(f"{prefix}_{n}") for n in names])
+    fixing = dealt(tables, "cves", "cve_id").select(F.col("cve_id").alias("cve"), F.transform("fix_commits", lambda h: F.left(F.lower(h), F.lit(12))).alias("_fixing"))
+    bugs = dealt(tables, "bugs", "bug_id").select(F.col("bug_id").alias("bug"), F.col("external_id").cast("string").alias("external_id"))
     cited = F.exists(text.fixes(F.col("fixer_body")), lambda r: F.col("fixed").startswith(r))
     quoted = F.trim(text.first(F.col("reverter_subject"), r'(?i)^Revert\s+"(.+)"'))
     named = F.regexp_like(F.lower("reverter_body"), F.concat(F.lit(r"this reverts commit\s+"), F.left("reverted", F.lit(12))))
+    reverts = edges("commit_revert", "reverter").join(evidence("reverter", "subject", "body"), "reverter").select(
+        "reverter", "reverted", "source", F.when(F.col("source") == "subject", quoted).alias("_quoted"), F.when(F.col("source") == "body", named).alias("_named")
+    )
     label, file, symbol = F.col("subsystem"), F.col("file"), F.col("symbol")
     return {
         "commits.subsystem": (
-            commits.where("subsystem is not null"), ["hash"],
+            tables["commits"].where("subsystem is not null"), ["hash"],
             ~label.rlike("[ \t]") & F.length(label).between(2, 80) & ~_any(label, "startswith", TRAILERS),
         ),
-        "commit_cve": (
-            tables["commit_cve"].join(tables["cves"].select(F.col("cve_id").alias("cve"), "fix_commits"), "cve"), ["commit", "cve"],
-            F.exists("fix_commits", lambda h: F.left(F.lower(h), F.lit(12)) == F.left("commit", F.lit(12))),
-        ),
+        "commit_cve": (edges("commit_cve", "cve").join(fixing, "cve"), ["commit", "cve"], F.array_contains("_fixing", F.left("commit", F.lit(12)))),
         "commit_message": (
-            tables["commit_message"].where("match_method = 'link_trailer'").join(evidence("commit", "body"), "commit"), ["commit", "message"],
+            edges("commit_message", "commit").where("match_method = 'link_trailer'").join(evidence("commit", "body"), "commit"), ["commit", "message"],
             F.col("commit_body").contains(F.col("message")),
         ),
         "commit_bug": (
-            tables["commit_bug"].join(tables["bugs"].select(F.col("bug_id").alias("bug"), "external_id"), "bug").join(evidence("commit", "body"), "commit"), ["commit", "bug"],
-            _cites_bug(F.col("source"), F.col("commit_body"), F.col("external_id").cast("string")),
+            dealt_packed(edges("commit_bug", "bug").join(bugs, "bug"), "commit", "commit").join(evidence("commit", "body"), "commit"), ["commit", "bug"],
+            _cites_bug(F.col("source"), F.col("commit_body"), F.col("external_id")),
         ),
-        "commit_fixes": (tables["commit_fixes"].where("source = 'trailer'").join(evidence("fixer", "body"), "fixer"), ["fixer", "fixed"], cited),
+        "commit_fixes": (edges("commit_fixes", "fixer").where("source = 'trailer'").join(evidence("fixer", "body"), "fixer"), ["fixer", "fixed"], cited),
         "commit_revert": (
-            tables["commit_revert"].join(evidence("reverter", "subject", "body"), "reverter").join(evidence("reverted", "subject"), "reverted"), ["reverter", "reverted"],
-            F.when(F.col("source") == "subject", F.col("reverted_subject").contains(quoted)).when(F.col("source") == "body", named).otherwise(False),
+            dealt_packed(reverts, "reverted", "reverted", "reverter").join(evidence("reverted", "subject"), "reverted"), ["reverter", "reverted"],
+            F.when(F.col("source") == "subject", F.col("reverted_subject").contains(F.col("_quoted"))).when(F.col("source") == "body", F.col("_named")).otherwise(False),
         ),
         "commit_symbol": (
-            tables["commit_symbol"].where(F.col("kind").isin("function", "struct", "macro")), ["commit", "symbol", "file"],
+            edges("commit_symbol", "commit").where(F.col("kind").isin("function", "struct", "macro")), ["commit", "symbol", "file"],
             ~file.rlike("[ \t]") & (file.contains("/") | _any(file, "endswith", FILE_ENDINGS)) & ~symbol.isin(NO_SYMBOLS) & (F.length(symbol) >= 2),
         ),
     }
@@ -177,15 +197,17 @@ def audits(tables: Tables) -> dict[str, tuple[DataFrame, list[str], Column]]:
 def audited(tables: Tables, sample: int | None = 200, seed: int = 7, threshold: float = 0.95, examples: int = 5) -> DataFrame:
     """audit, n, held, passed_share (NULL without rows), ok (true without rows), examples (first failing keys in order).
 
-    sample: so many rows of each audit, the same on every run; None: all rows, in two aggregates without a sort."""
+    sample: so many rows of each audit, the same on every run; None: all rows, in two aggregates without a sort. Both
+    need the keys of the rows, so that they read the same shuffles."""
     out = None
     for name, (rows, key, holds) in audits(tables).items():
         judged = rows.select(F.concat_ws("/", *key).alias("_key"), F.coalesce(holds, F.lit(False)).alias("_ok"))
         if sample is not None:
             judged = repeatable_sample(judged, ["_key"], seed, sample)
         rate = F.avg(F.col("_ok").cast("double"))
-        totals = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if("_ok").alias("held"), F.round(rate, 6).alias("passed_share"), F.coalesce(rate >= threshold, F.lit(True)).alias("ok"))
+        totals = judged.agg(F.count(F.lit(1)).alias("n"), F.count_if("_ok").alias("held"), F.round(rate, 6).alias("passed_share"), F.coalesce(rate >= threshold, F.lit(True)).alias("ok"), F.min(F.when(~F.col("_ok"), F.col("_key"))).alias("_least"))
         failing = judged.where("not _ok").select("_key").orderBy("_key").limit(examples).agg(F.array_sort(F.collect_list("_key")).alias("examples"))
-        one = totals.join(F.broadcast(failing)).select(F.lit(name).alias("audit"), "*")
+        shown = F.when(F.col("_least").isNull(), F.array().cast("array<string>")).otherwise(F.col("examples")).alias("examples")
+        one = totals.join(F.broadcast(failing)).select(F.lit(name).alias("audit"), "n", "held", "passed_share", "ok", shown)
         out = one if out is None else out.unionByName(one)
     return out

@@ -142,3 +142,22 @@ def test_ends_are_counted_by_row(spark):
     found = {r["check"]: r["violations"] for r in integrity._violations({"commits": known, "commit_fixes": edges}, "commit_fixes", own).collect()}
     ok = {"a", "b"}
     assert found == {"both_ends_known": sum(x not in ok or y not in ok for x, y, _ in rows), "source_present": sum(s is None for *_, s in rows)}
+
+
+# --- g20_all_audits
+
+
+def test_audits_move_no_edge_by_its_hash(spark):
+    found = moved(spark, "g20_all_audits")
+    assert found and not [x for x in found if x.startswith(("commit#", "fixer#", "reverter#", "hash#"))]
+
+
+def test_hashes_are_packed_and_unpacked(spark):
+    from faultlens.operators import integrity
+
+    values = ["a" * 40, "0123456789abcdef" * 2 + "01234567", "A" * 40, "a" * 39, "a" * 41, "a" * 20, "\0" * 20, "", "\u00e9\u20ac", "g" * 40, None]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, h string")
+    packed = rows.select("i", integrity._packed(F.col("h")).alias("p")).collect()
+    assert [len(r["p"]) for r in packed[:2]] == [20, 20] and len({bytes(r["p"]) for r in packed if r["p"] is not None}) == len(values) - 1
+    for by in ("i", "h"):
+        assert sorted(tuple(r) for r in integrity.dealt_packed(rows, by, "h").collect()) == list(enumerate(values))
